@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +11,8 @@ from ..operators import choice as G
 from ..operators import collocations as C
 from ..operators import reports as R
 from ..operators import scoring as K
-from ..runtime import materialise, same_name, same_name_sql, table
+from ..runtime import same_name, same_name_sql, table
+from .reports import d2_task_list
 
 _PREPS = C.PREPOSITIONS
 _VERBS = ["note", "says", "said", "is", "are", "was", "were"]
@@ -374,3 +376,69 @@ ORACLES = {
     "s26_unscored": "SELECT DISTINCT sentence_good AS text FROM source_pair WHERE sentence_good IS NOT NULL AND sentence_good NOT IN (SELECT good_text FROM pair_score WHERE good_text IS NOT NULL)",
 }
 del ORACLES["f3_detokenise"]
+
+
+# ---- generation ------------------------------------------------------------------------
+
+
+def swap_pools(spark, d, low=2.2, high=3.0):
+    """Pools of a frequency window: nouns, adjectives, and verbs by frame."""
+    lex = _lexicon(spark, d).where(T.in_window("zipf", low, high))
+    part = F.substring("pos", 1, 1)
+    kinds = senses(spark, d).select("lemma", part.alias("p")).where("p in ('n', 'a')").distinct()
+    words = kinds.select(F.when(F.col("p") == "n", F.lit("noun")).otherwise(F.lit("adj")).alias("pool"), "lemma")
+    verbs = frames(spark, d).select(F.concat(F.lit("verb:"), "kind").alias("pool"), "lemma")
+    return words.unionByName(verbs).join(lex.select("lemma"), "lemma", "left_semi").select("pool", "lemma")
+
+
+def _lexicon(spark, d):
+    return table(spark, d, "zipf_lexicon").groupBy(F.lower("word").alias("lemma")).agg(F.max("zipf").alias("zipf"))
+
+
+def tag_lexicon(spark, d, limit: int = 50_000) -> dict[str, tuple[str, str]]:
+    """Surface -> (tag, lemma) of the words that swaps replaced, the most frequent ``limit``."""
+    got = _swaps(spark, d).where("old is not null and tag is not null").groupBy(F.lower(F.trim("old")).alias("w"), "tag").agg(F.count("*").alias("n"))
+    best = got.groupBy("w").agg(F.max_by("tag", F.struct("n", "tag")).alias("tag"), F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(limit)
+    from ..functions.inflection import singularise
+
+    out = {}
+    for r in best.collect():
+        w, tag = r["w"], r["tag"]
+        lemma = (singularise(w) or w) if tag == "NNS" else w[:-2] if tag in ("VBD", "VBN") and w.endswith("ed") else w[:-1] if tag == "VBZ" and w.endswith("s") else w
+        out[w] = (tag, lemma)
+    return out
+
+
+def g12_generate(spark, d):
+    """Source pairs with nouns, adjectives and verbs swapped out of a window's pools."""
+    from ..operators import swaps as S
+    from ..operators.parsing import RuleParser
+
+    src = table(spark, d, "source_pair").where("idx is not null and deleted_at is null")
+    cfg = d2_task_list(spark, d).select("subtask", "phenomenon")
+    once = src.groupBy(same_name("subtask").alias("subtask"), "idx").agg(F.max_by(F.struct("sentence_good", "sentence_bad"), F.struct("loaded_at", "sentence_good")).alias("s"))
+    pairs = once.select("subtask", "idx", "s.*").join(F.broadcast(cfg), "subtask", "left")
+    lexicon = tag_lexicon(spark, d)
+    return S.generate(pairs, swap_pools(spark, d), lambda: RuleParser(lexicon))
+
+
+def t3_targets(spark, d):
+    """Frames of the source sentences' verbs, counted."""
+    from ..operators import parsing as P
+
+    lexicon = tag_lexicon(spark, d)
+
+    def run(parts):
+        parser = P.RuleParser(lexicon)
+        for pdf in parts:
+            rows = []
+            for text in pdf["sentence_good"]:
+                for v in P.verb_targets(P.Sentence(parser.parse(text))):
+                    rows.append((v.lemma, v.kind, v.prep.low if v.prep else None))
+            yield pd.DataFrame(rows, columns=["lemma", "kind", "prep"])
+
+    src = table(spark, d, "source_pair").select("sentence_good").where("sentence_good is not null").distinct()
+    return src.mapInPandas(run, "lemma string, kind string, prep string").groupBy("lemma", "kind", "prep").agg(F.count("*").alias("n"))
+
+
+QUERIES |= {f.__name__: f for f in (g12_generate, t3_targets)}
