@@ -138,7 +138,7 @@ def regime(low: Column | str, high: Column | str, variant: Column | str | None =
 
 def zipf_text(z: Column | str) -> Column:
     """``3.4`` as ``3_4``."""
-    return F.replace(F.format_number(_c(z), "0.0##"), F.lit("."), F.lit("_"))
+    return F.replace(_c(z).cast("double").cast("string"), F.lit("."), F.lit("_"))
 
 
 def model_slug(c: Column | str) -> Column:

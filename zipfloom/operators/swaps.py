@@ -210,3 +210,19 @@ def generate(
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ") if not c.startswith(("new", "old"))][:10])
 
     return ready.mapInPandas(texts, RECORD)
+
+
+def as_records(generated: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Generated pairs in the shape of ``generated_pair``: ``meta`` with traces and aggregates."""
+    from .reports import swapped_words, zipf_aggregates
+
+    key = F.xxhash64("subtask", "idx")
+    traced = generated.withColumn("record_id", key).withColumn(
+        "meta", F.struct("g_swaps", "b_swaps", "swap_failed_reason")
+    )
+    stats = zipf_aggregates(swapped_words(traced), lexicon)
+    one = F.struct("role", F.struct(*[F.col(c).cast(k).alias(c) for c, k in (("n", "int"), ("oov_count", "int"), ("mean", "double"), ("median", "double"), ("min", "double"))]))
+    maps = stats.groupBy("record_id").agg(F.map_from_entries(F.collect_list(one)).alias("zipf_swapped_position_aggregates"))
+    got = traced.join(maps, "record_id", "left")
+    meta = F.struct("g_swaps", "b_swaps", "swap_failed_reason", "zipf_swapped_position_aggregates")
+    return got.select("phenomenon", "subtask", "idx", "good_original", "bad_original", "good_freq", "bad_freq", meta.alias("meta"))
