@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.inflection import adjective_surface, inflect
+from ..runtime import materialise
 from . import choice
 from . import parsing as P
 
@@ -171,6 +172,7 @@ def generate(
     results, in any partitioning.  A pair with a null side is a failure
     (``no_swap``).
     """
+    pool = materialise(pool.select("pool", "lemma").distinct(), "pool")  # read several times below
     # the names of the pools, not their lemmas: a handful
     names = {r["pool"] for r in pool.select("pool").distinct().collect()}
     wanted = set(stages)
@@ -185,14 +187,16 @@ def generate(
                 rows.append((r.subtask, r.idx, r.phenomenon, good, bad, *found))
             yield pd.DataFrame(rows, columns=["subtask", "idx", "phenomenon", "good", "bad", "slots", "reasons"])
 
-    src = pairs.select("subtask", F.col("idx").cast("int"), "phenomenon", "sentence_good", "sentence_bad")
+    # parsing costs more than the bytes suggest, so the rows are spread by number, not by size
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    src = pairs.select("subtask", F.col("idx").cast("int"), "phenomenon", "sentence_good", "sentence_bad").repartition(n, "subtask", "idx")
     found = src.mapInPandas(slots, _FOUND)
     keys = found.select("subtask", "idx", F.explode("slots").alias("s")).select("subtask", "idx", "s.stage", "s.key", "s.pool").distinct()
-    drawn = choice.pick_uniform(keys, pool.select("pool", "lemma").distinct(), ["pool"], ["subtask", "idx", "stage", "key"], seed, TRIES)
+    drawn = choice.pick_uniform(keys, pool, ["pool"], ["subtask", "idx", "stage", "key"], seed, TRIES)
     one = F.struct("stage", "key", "attempt", "lemma")
     picks = drawn.groupBy("subtask", "idx").agg(F.array_sort(F.collect_list(one)).alias("picks"))
     cond = [found["subtask"].eqNullSafe(picks["subtask"]), found["idx"].eqNullSafe(picks["idx"])]
-    ready = found.join(picks, cond, "left").select(found["*"], picks["picks"])
+    ready = found.join(picks, cond, "left").select(found["*"], picks["picks"]).repartition(n, "subtask", "idx")
 
     def texts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = parser()
