@@ -371,9 +371,9 @@ def bin_of(x: str, edges: list[float]) -> Column:
 
 def bin_mid(edges: list[float], b: Column) -> Column:
     """The middle of a bin by its printed edges: three digits, the first moved 0.001 left."""
-    printed = [round(v, 3) for v in edges]
+    printed = [float(np.round(v, 3)) for v in edges]
     if printed:
-        printed[0] = round(printed[0] - 0.001, 3)
+        printed[0] = float(np.round(printed[0] - 0.001, 3))
     mids = [(lo + hi) / 2 for lo, hi in zip(printed, printed[1:])]
     return F.element_at(F.array(*map(F.lit, mids or [0.0])), b + 1)
 

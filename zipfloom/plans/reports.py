@@ -401,7 +401,7 @@ def _bins(x: str, y: str, by: str, q: int, least: int, source: str) -> str:
     edges AS (SELECT list_sort(list_distinct(quantile_cont({x}, [{ats}]))) AS e FROM pts WHERE {x} IS NOT NULL AND {y} IS NOT NULL),
     el AS (SELECT unnest(e) AS v, generate_subscripts(e, 1) AS k FROM edges),
     b AS (SELECT p.*, (SELECT greatest(count(*) - 1, 0) FROM el WHERE el.v < p.{x}) AS bin FROM pts p WHERE {x} IS NOT NULL AND {y} IS NOT NULL),
-    printed AS (SELECT k, CASE WHEN k = 1 THEN round(round(v, 3) - 0.001, 3) ELSE round(v, 3) END AS v FROM el),
+    printed AS (SELECT k, CASE WHEN k = 1 THEN round_even(round_even(v, 3) - 0.001, 3) ELSE round_even(v, 3) END AS v FROM el),
     mids AS (SELECT a.k - 1 AS bin, round((a.v + z.v) / 2, 6) AS mid FROM printed a JOIN printed z ON z.k = a.k + 1),
     binned AS (SELECT {b}bin, count(*) AS n, round(avg({y}), 6) AS mean, round(avg({x}), 6) AS mean_x FROM b GROUP BY {b}bin HAVING count(*) >= {least})"""
 
