@@ -140,3 +140,33 @@ def test_generated_records(spark, d):
             assert r["good_freq"] != r["bad_freq"] and len(r["meta"]["g_swaps"]) == len(r["meta"]["b_swaps"])
             for role in ("good_freq", "bad_freq"):
                 assert r["meta"]["zipf_swapped_position_aggregates"][role] is not None
+
+
+def test_control_subtasks_draw_each_side_from_its_pool(spark):
+    from zipfloom.functions.wordlists import CONTROL_ADJECTIVES, RAISING_ADJECTIVES, TOUGH_ADJECTIVES
+
+    tokens = sent("He/he/PRON/PRP/nsubj/1", "is/be/AUX/VBZ/ROOT/1", "?/?/ADJ/JJ/acomp/1", "to/to/PART/TO/aux/4", "go/go/VERB/VB/xcomp/2").tokens
+
+    class Fixed:
+        """A parser of the one shape; sent to the workers by value."""
+
+        def parse(self, text):
+            word = text.split()[2]
+            return [P.Token(t.i, word if t.text == "?" else t.text, word if t.text == "?" else t.lemma, t.pos, t.tag, t.dep, t.head) for t in tokens]
+
+    rows = [(s, 0, "control_raising", "He is likely to go", "He is eager to go") for s in ("x", "tough_vs_raising_1")]
+    pairs = spark.createDataFrame(rows, "subtask string, idx int, phenomenon string, sentence_good string, sentence_bad string")
+    got = {r["subtask"]: r for r in S.generate(pairs, S.control_pools(spark), Fixed, stages=("adj",)).collect()}
+    assert got["x"]["g_swaps"][0]["lemma"] in RAISING_ADJECTIVES and got["x"]["b_swaps"][0]["lemma"] in CONTROL_ADJECTIVES
+    assert got["tough_vs_raising_1"]["g_swaps"][0]["lemma"] in TOUGH_ADJECTIVES
+
+
+def test_small_helpers(spark):
+    assert S.normal_targets("all") == {"noun", "adj", "verb"} and S.normal_targets(["Nouns", "", "x"]) == {"noun"} and S.normal_targets(None) == set()
+    lemmas = spark.createDataFrame([("table",), ("water",), ("kindness",)], "lemma string")
+    classes = spark.createDataFrame([("water", "MASS")], "lemma string, cls string")
+    pick = lambda r: sorted(x["lemma"] for x in S.noun_pools(lemmas, r, classes).collect())
+    assert pick("COUNT") == ["table"] and pick("MASS") == ["water"] and len(pick(None)) == 3
+    other = [P.Token(t.i, "girl" if t.text == "woman" else t.text, t.lemma, t.pos, t.tag) for t in WOMAN.tokens]
+    assert P.tags_preserved(WOMAN.tokens, other) and not P.tags_preserved(WOMAN.tokens, other[:-1])
+    assert P.describe(WOMAN)[2][:5] == (2, "woman", "woman", "NOUN", "NN")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.inflection import adjective_surface, inflect
+from ..functions.wordlists import CONTROL_POOLS, control_adjective_pools, raising_verb_pool
 from ..runtime import materialise
 from . import choice
 from . import parsing as P
@@ -21,7 +22,7 @@ from . import parsing as P
 #: Candidates that each slot draws; the first that fits is taken.
 TRIES = 8
 
-_SLOT = "struct<stage:string,key:string,pool:string,g:int,b:int,g_tag:string,b_tag:string,lemma:string>"
+_SLOT = "struct<stage:string,g_key:string,b_key:string,g_pool:string,b_pool:string,g:int,b:int,g_tag:string,b_tag:string,lemma:string>"
 _FOUND = f"subtask string, idx int, phenomenon string, good string, bad string, slots array<{_SLOT}>, reasons array<string>"
 _SWAP = "struct<i:int,old:string,new:string,tag:string,lemma:string,pos:string>"
 RECORD = (
@@ -46,10 +47,13 @@ def find_slots(good: str, bad: str, parser: P.Parser, pools: set[str], phenomeno
     g, b = P.Sentence(parser.parse(good)), P.Sentence(parser.parse(bad))
     slots, reasons = [], []
 
-    def add(stage: str, pool: str | None, x: P.Token, y: P.Token, gt: str, bt: str, key: str, lemma: str) -> bool:
-        if pool is None or pool not in pools:
+    def add(stage: str, pool: str | None, x: P.Token, y: P.Token, gt: str, bt: str, key: str, lemma: str, b_pool: str | None = None) -> bool:
+        """``b_pool``: the bad side's own pool, from which it draws a lemma of its own."""
+        own = b_pool is not None and b_pool != pool
+        if pool not in pools or (own and b_pool not in pools):
             return False
-        slots.append({"stage": stage, "key": key, "pool": pool, "g": x.i, "b": y.i, "g_tag": gt, "b_tag": bt, "lemma": lemma})
+        slots.append({"stage": stage, "g_key": key, "b_key": f"{key}/{b_pool}" if own else key, "g_pool": pool, "b_pool": b_pool if own else pool,
+                      "g": x.i, "b": y.i, "g_tag": gt, "b_tag": bt, "lemma": lemma})
         return True
 
     def stage(name: str, gs: list, bs: list, of: Callable, zip_rest: bool = False) -> None:
@@ -67,6 +71,7 @@ def find_slots(good: str, bad: str, parser: P.Parser, pools: set[str], phenomeno
                 reasons.append(f"{name}_swap_failed")
                 return
 
+    control = phenomenon == "control_raising"
     if "verb" in stages and phenomenon != "irregular_forms":
         head = (P.passive_head(g), P.passive_head(b)) if subtask in ("passive_1", "passive_2") else (None, None)
         if all(head):
@@ -76,7 +81,12 @@ def find_slots(good: str, bad: str, parser: P.Parser, pools: set[str], phenomeno
         else:
 
             def verb_slot(x: P.VerbTarget, y: P.VerbTarget) -> tuple:
+                if control and x.lemma != y.lemma:  # the verbs that the contrast is about
+                    return "verb", raising_verb_pool(subtask), x.token, y.token, x.tag, y.tag, x.lemma, x.lemma, _pool_of("control", pools) or _pool_of("trans", pools)
                 kind, _ = P.forced_frame(phenomenon, subtask, "good", x.kind)
+                bad_kind, _ = P.forced_frame(phenomenon, subtask, "bad", y.kind)
+                if phenomenon == "argument_structure" and bad_kind != kind:
+                    return "verb", _pool_of(kind, pools), x.token, y.token, x.tag, y.tag, x.lemma, x.lemma, _pool_of(bad_kind, pools)
                 return "verb", _pool_of(kind, pools), x.token, y.token, x.tag, y.tag, x.lemma, x.lemma
 
             stage("verb", P.verb_targets(g), P.verb_targets(b), lambda v: (v.lemma, v.token.text, verb_slot), zip_rest=True)
@@ -94,11 +104,11 @@ def find_slots(good: str, bad: str, parser: P.Parser, pools: set[str], phenomeno
         bs = [t for t in P.noun_targets(b, bound_b) if t.i not in taken[1]]
         stage("noun", gs, bs, lambda t: (t.lemma.lower(), t.text, noun_slot))
     if "adj" in stages and phenomenon != "irregular_forms":
-        control = phenomenon == "control_raising"
+        good_pool, bad_pool = control_adjective_pools(subtask) if control else ("adj", "adj")
         tag = lambda t: t.tag if t.tag.startswith("JJ") else "JJ"
 
         def adj_slot(x: P.Token, y: P.Token) -> tuple:
-            return "adj", "adj", x, y, tag(x), tag(y), x.lemma.lower(), x.lemma.lower()
+            return "adj", good_pool, x, y, tag(x), tag(y), x.lemma.lower(), x.lemma.lower(), bad_pool
 
         find = lambda s: P.adjective_targets(s) + (P.control_adjectives(s) if control else [])
         stage("adj", find(g), find(b), lambda t: (t.lemma.lower(), t.text, adj_slot), zip_rest=control)
@@ -122,11 +132,11 @@ def realise_pair(good: str, bad: str, slots: list, picks: dict[tuple[str, str],
         own = [s for s in slots if s["stage"] == stage]
         chosen: dict[str, str] = {}
         failed = False
-        for key in {s["key"] for s in own}:
-            group = [s for s in own if s["key"] == key]
+        for key in sorted({s[f"{k}_key"] for s in own for k in "gb"}):
+            group = [(s, k) for s in own for k in "gb" if s[f"{k}_key"] == key]
             for lemma in picks.get((stage, key), []):
-                forms = [(form(stage, lemma, s[f"{k}_tag"], sides[k].tokens[s[k]]), sides[k].tokens[s[k]].text) for s in group for k in "gb"]
-                if lemma != group[0]["lemma"] and all(f and (fits is None or fits(old, f)) for f, old in forms):
+                forms = [(form(stage, lemma, s[f"{k}_tag"], sides[k].tokens[s[k]]), sides[k].tokens[s[k]].text) for s, k in group]
+                if lemma != group[0][0]["lemma"] and all(f and (fits is None or fits(old, f)) for f, old in forms):
                     chosen[key] = lemma
                     break
             failed |= key not in chosen
@@ -136,14 +146,15 @@ def realise_pair(good: str, bad: str, slots: list, picks: dict[tuple[str, str],
         for s in own:
             for k in "gb":
                 old, tag = sides[k].tokens[s[k]], s[f"{k}_tag"]
-                new = form(stage, chosen[s["key"]], tag, old)
+                lemma = chosen[s[f"{k}_key"]]
+                new = form(stage, lemma, tag, old)
                 if stage == "noun":
                     was = P.place_noun(sides[k], old, new, words[k])
                 else:
                     was = old.text
                     new = P.cased(old.text, new) if stage == "verb" else new
                     words[k][s[k]] = new
-                swaps[k].append({"i": s[k], "old": was, "new": new, "tag": tag, "lemma": chosen[s["key"]], "pos": {"adj": "adjective"}.get(stage, stage)})
+                swaps[k].append({"i": s[k], "old": was, "new": new, "tag": tag, "lemma": lemma, "pos": {"adj": "adjective"}.get(stage, stage)})
     if not swaps["g"]:
         return None, None, [], [], "|".join(dict.fromkeys(reasons)) or "no_swap"
     for w in words.values():
@@ -168,7 +179,7 @@ def generate(
 
     ``pairs``: ``subtask, idx, phenomenon, sentence_good, sentence_bad``, each key
     once.  ``pool``: ``pool, lemma``, where pool is ``noun``, ``noun:person``,
-    ``noun:<gender>``, ``adj`` or ``verb:<kind>``.  Equal seeds give equal
+    ``noun:<gender>``, ``adj``, ``verb:<kind>`` or one of :func:`control_pools`.  Equal seeds give equal
     results, in any partitioning.  A pair with a null side is a failure
     (``no_swap``).
     """
@@ -191,7 +202,9 @@ def generate(
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     src = pairs.select("subtask", F.col("idx").cast("int"), "phenomenon", "sentence_good", "sentence_bad").repartition(n, "subtask", "idx")
     found = src.mapInPandas(slots, _FOUND)
-    keys = found.select("subtask", "idx", F.explode("slots").alias("s")).select("subtask", "idx", "s.stage", "s.key", "s.pool").distinct()
+    side = lambda k: F.struct(F.col("s.stage").alias("stage"), F.col(f"s.{k}_key").alias("key"), F.col(f"s.{k}_pool").alias("pool"))
+    each = found.select("subtask", "idx", F.explode("slots").alias("s")).select("subtask", "idx", F.explode(F.array(side("g"), side("b"))).alias("x"))
+    keys = each.select("subtask", "idx", "x.*").distinct()
     drawn = choice.pick_uniform(keys, pool, ["pool"], ["subtask", "idx", "stage", "key"], seed, TRIES)
     one = F.struct("stage", "key", "attempt", "lemma")
     picks = drawn.groupBy("subtask", "idx").agg(F.array_sort(F.collect_list(one)).alias("picks"))
@@ -216,6 +229,40 @@ def generate(
     return ready.mapInPandas(texts, RECORD)
 
 
+def control_pools(spark) -> DataFrame:
+    """``pool, lemma`` of the lists that control and raising subtasks draw from."""
+    rows = [(k, w) for k, words in CONTROL_POOLS.items() for w in words]
+    return spark.createDataFrame(rows, "pool string, lemma string")
+
+
+def normal_targets(spec: str | list[str] | None) -> set[str]:
+    """Stages that a specification names: nouns, adjectives, verbs, both, all."""
+    words = [spec] if isinstance(spec, str) else list(spec or [])
+    out: set[str] = set()
+    for w in (str(x).strip().lower() for x in words if x):
+        for stage, names in (("noun", ("noun", "nouns")), ("adj", ("adj", "adjective", "adjectives")), ("verb", ("verb", "verbs"))):
+            if w in names or w in ("both", "all"):
+                out.add(stage)
+    return out
+
+
+def noun_pools(lemmas: DataFrame, requirement: str | None, classes: DataFrame) -> DataFrame:
+    """Noun lemmas that fit a quantifier: COUNT keeps countable ones, MASS those that may be mass.
+
+    ``lemmas``: lemma; ``classes``: lemma, cls.
+    """
+    from ..functions.inflection import countable
+    from ..functions.wordlists import MASS_NOUNS
+
+    known = lemmas.join(classes, "lemma", "left")
+    if requirement == "MASS":
+        return known.where(F.col("cls").isin("MASS", "FLEX")).select("lemma")
+    if requirement != "COUNT":
+        return known.select("lemma")
+    ok = F.pandas_udf(lambda w, c: pd.Series([countable(a, b) for a, b in zip(w, c)]), "boolean")
+    return known.where(~F.col("lemma").isin(MASS_NOUNS)).where(ok("lemma", "cls")).select("lemma")
+
+
 def as_records(generated: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Generated pairs in the shape of ``generated_pair``: ``meta`` with traces and aggregates."""
     from .reports import swapped_words, zipf_aggregates

@@ -441,4 +441,27 @@ def t3_targets(spark, d):
     return src.mapInPandas(run, "lemma string, kind string, prep string").groupBy("lemma", "kind", "prep").agg(F.count("*").alias("n"))
 
 
-QUERIES |= {f.__name__: f for f in (g12_generate, t3_targets)}
+def a25_frames(spark, d):
+    """Frames of the documents' verbs: tokens and documents of each (lemma, frame, prep)."""
+    from ..operators import parsing as P
+
+    lexicon = tag_lexicon(spark, d)
+
+    def run(parts):
+        parser = P.RuleParser(lexicon)
+        for pdf in parts:
+            rows = []
+            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+                s = P.Sentence(parser.parse(text))
+                for t in s.tokens:
+                    if t.pos == "VERB" and (got := P.corpus_frame(s, t)):
+                        rows.append((doc, t.lemma.lower(), *got))
+            yield pd.DataFrame(rows, columns=["doc_id", "lemma", "frame", "prep"])
+
+    sents = C.sentences(tokens(spark, d)).select("doc_id", "text")
+    seen = sents.mapInPandas(run, "doc_id string, lemma string, frame string, prep string")
+    per_doc = seen.groupBy("lemma", "frame", "prep", "doc_id").agg(F.count("*").alias("n"))
+    return per_doc.groupBy("lemma", "frame", "prep").agg(F.sum("n").alias("token_count"), F.count("*").alias("doc_count"))
+
+
+QUERIES |= {f.__name__: f for f in (g12_generate, t3_targets, a25_frames)}
