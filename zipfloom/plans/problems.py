@@ -116,10 +116,53 @@ WHERE s.idx IS NOT NULL AND NOT EXISTS (
     AND p.written_at <= s.scored_at AND (p.withdrawn_at IS NULL OR p.withdrawn_at > s.scored_at))
 """
 
-_LATEST = """latest AS (
-  SELECT record_id, arg_max(meta, written_at) AS meta FROM generated_pair GROUP BY record_id)"""
+_NODES = """
+WITH rec AS (SELECT * FROM generated_pair QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY written_at DESC) = 1),
+arr AS (SELECT record_id AS id, 'g_swaps' AS child, unnest(meta.g_swaps) AS e, generate_subscripts(meta.g_swaps, 1) - 1 AS i FROM rec
+        UNION ALL SELECT record_id, 'b_swaps', unnest(meta.b_swaps), generate_subscripts(meta.b_swaps, 1) - 1 FROM rec),
+mp AS (SELECT record_id AS id, unnest(map_keys(meta.zipf_swapped_position_aggregates)) AS k, unnest(map_values(meta.zipf_swapped_position_aggregates)) AS v FROM rec),
+obj AS (SELECT DISTINCT line_id AS id, payload::JSON AS j FROM raw_line WHERE json_valid(payload)),
+m0 AS (SELECT id, json_extract(j, '$.meta') AS m FROM obj WHERE json_type(j) = 'OBJECT'),
+m1 AS (SELECT id, CASE WHEN json_type(m) <> 'VARCHAR' THEN m WHEN json_valid(m ->> '$') THEN (m ->> '$')::JSON END AS m FROM m0),
+kv AS (SELECT id, k, json_extract(m, '$."' || k || '"') AS v FROM (SELECT id, m, unnest(json_keys(m)) AS k FROM m1 WHERE json_type(m) = 'OBJECT')),
+sw AS (SELECT id, k, CASE json_type(v) WHEN 'OBJECT' THEN [v] WHEN 'ARRAY' THEN json_extract(v, '$[*]') END AS a FROM kv WHERE suffix(k, '_swaps')),
+el AS (SELECT id, k, unnest(a) AS e, generate_subscripts(a, 1) - 1 AS i FROM sw),
+pr AS (SELECT id, k, i, CASE json_type(p) WHEN 'OBJECT' THEN [p] WHEN 'ARRAY' THEN json_extract(p, '$[*]') END AS a
+       FROM (SELECT id, k, i, json_extract(e, '$.preps') AS p FROM el WHERE json_type(e) = 'OBJECT')),
+pe AS (SELECT id, k, i, unnest(a) AS e, generate_subscripts(a, 1) - 1 AS n FROM pr),
+zk AS (SELECT id, v, unnest(json_keys(v)) AS z FROM kv WHERE k = 'zipf_swapped_position_aggregates' AND json_type(v) = 'OBJECT')
+SELECT 'generated_pair' AS table_name, id AS rec_id, child, i::VARCHAR AS child_key FROM arr WHERE e IS NOT NULL
+UNION ALL SELECT 'generated_pair', id, 'zipf_swapped_position_aggregates', k FROM mp WHERE v IS NOT NULL
+UNION ALL SELECT 'raw_line', id, k, i::VARCHAR FROM el WHERE json_type(e) <> 'NULL'
+UNION ALL SELECT 'raw_line', id, k || '.preps', i || '.' || n FROM pe WHERE json_type(e) <> 'NULL'
+UNION ALL SELECT 'raw_line', id, 'zipf_swapped_position_aggregates', z FROM zk WHERE json_type(json_extract(v, '$."' || z || '"')) <> 'NULL'
+"""
+
+_KIND = """CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'integer' WHEN 'UBIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'decimal'
+  WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' END"""
+_DRIFT = f"""
+WITH lines AS (SELECT file_name, file_stream, file_ts, line_no, CASE WHEN json_valid(payload) THEN payload::JSON END AS j FROM raw_line),
+files AS (SELECT DISTINCT file_stream, file_ts, file_name FROM lines),
+pairs AS (SELECT file_name, lag(file_name) OVER (PARTITION BY file_stream ORDER BY file_ts, file_name) AS prev FROM files),
+kv AS (SELECT file_name, line_no, {_KEY("j ->> '$.subtask'")} AS sub, j ->> '$.idx' AS idx, k, json_extract(j, '$."' || k || '"') AS v
+       FROM (SELECT *, unnest(json_keys(j)) AS k FROM lines WHERE json_type(j) = 'OBJECT')),
+vals AS (SELECT *, {_KIND} AS kind FROM kv),
+sch AS (SELECT file_name, k, list_sort(list_distinct(list(kind) FILTER (kind IS NOT NULL))) AS kinds FROM vals GROUP BY ALL),
+fresh AS (SELECT p.file_name, p.prev, s.k FROM pairs p JOIN sch s USING (file_name) WHERE prev IS NOT NULL AND NOT EXISTS (SELECT 1 FROM sch o WHERE o.file_name = p.prev AND o.k = s.k)),
+gone AS (SELECT p.file_name, p.prev, s.k FROM pairs p JOIN sch s ON s.file_name = p.prev WHERE NOT EXISTS (SELECT 1 FROM sch o WHERE o.file_name = p.file_name AND o.k = s.k)),
+one AS (SELECT file_name, k, sub, idx, arg_max(kind || ':' || v::VARCHAR, line_no) AS v FROM vals WHERE kind IS NOT NULL AND sub IS NOT NULL AND idx IS NOT NULL GROUP BY ALL),
+ren AS (SELECT f.file_name, f.k AS new, g.k AS old FROM fresh f JOIN gone g USING (file_name) JOIN one a ON a.file_name = f.file_name AND a.k = f.k
+        JOIN one b ON b.file_name = f.prev AND b.k = g.k AND a.sub = b.sub AND a.idx = b.idx GROUP BY ALL HAVING count(*) FILTER (a.v = b.v) * 2 > count(*))
+SELECT DISTINCT file_name, new AS field, 'renamed' AS drift FROM ren
+UNION ALL SELECT file_name, k, 'added' FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM ren r WHERE r.file_name = f.file_name AND r.new = f.k)
+UNION ALL SELECT file_name, k, 'removed' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM ren r WHERE r.file_name = g.file_name AND r.old = g.k)
+UNION ALL SELECT p.file_name, a.k, 'retyped' FROM pairs p JOIN sch a USING (file_name) JOIN sch b ON b.file_name = p.prev AND b.k = a.k
+  WHERE len(a.kinds) > 0 AND len(b.kinds) > 0 AND a.kinds <> b.kinds
+"""
 
 ORACLES = {
+    "p2_found": _DRIFT,
+    "p4_found": _NODES,
     "p1_found": f"SELECT DISTINCT table_name, rec_id FROM ({_PAIR_CASES})",
     "p1_report": f"""SELECT table_name, strftime(ref_at, '%Y-%m') AS month, reason, count(*) AS n_refs
         FROM (SELECT DISTINCT * FROM ({_PAIR_CASES})) GROUP BY ALL""",
