@@ -276,7 +276,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def schema_changes(lines: DataFrame) -> DataFrame:
+def schema_changes(lines: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
     """Changes of top-level fields against the stream's previous file.
 
     Input: ``file_stream, file_ts, file_name, line_no, payload``.  Files of a
@@ -296,6 +296,8 @@ def schema_changes(lines: DataFrame) -> DataFrame:
     object has no fields; an empty table gives no rows; other columns are
     ignored, whatever their names.
 
+    ``schemas``: the lines' :func:`file_schemas`, where they are at hand.
+
     Scale: lines shrink to counted signatures in their task; windows run over
     files, not lines; of the values only hashes of fields under comparison are
     shuffled, by record.
@@ -303,7 +305,7 @@ def schema_changes(lines: DataFrame) -> DataFrame:
     raw = lines.select("file_stream", F.col("file_ts").cast("string"), "file_name", F.col("line_no").cast("bigint"), "payload")
     order = Window.partitionBy("file_stream").orderBy(F.col("file_ts").asc_nulls_first(), "file_name")
     pairs = (
-        file_schemas(raw)
+        (file_schemas(raw) if schemas is None else schemas)
         .withColumn("prev_name", F.lag("file_name").over(order))
         .withColumn("prev_fields", F.lag("fields").over(order))
         .where(F.col("prev_name").isNotNull())

@@ -60,8 +60,9 @@ def p2_changes(spark: SparkSession, d: str) -> DataFrame:
 def p2_table(spark: SparkSession, d: str) -> DataFrame:
     """All lines as one consistent table."""
     lines = table(spark, d, "raw_line").select(*_LINES)
-    changes = materialise(drift.schema_changes(lines), "drift")
-    return drift.unified_table(lines, drift.canonical_names(changes, drift.file_schemas(lines)))
+    schemas = materialise(drift.file_schemas(lines), "schemas")
+    changes = materialise(drift.schema_changes(lines, schemas), "drift")
+    return drift.unified_table(lines, drift.canonical_names(changes, schemas))
 
 
 def _nodes(spark: SparkSession, d: str, payload: bool) -> DataFrame:
