@@ -131,3 +131,30 @@ def test_table_of_clashing_names(spark):
     got = D.unified_table(df, names).orderBy("line_no").collect()
     assert [r["n"] for r in got] == [2.0, 2.5, None] and got[0]["line_id_field"] == "own" and got[0]["Status_field"] == 1
     assert [r["status"] for r in got] == ["ok", "ok", "empty"]
+
+
+def test_a_field_renamed_and_retyped_is_one_column(spark):
+    one = [pair(i, variant="freq", good_freq=f"t{i}", count=f"c{i}", count_of_x=i) for i in range(4)]
+    two = [pair(i, Variant={"name": "freq"}, goodFreq=f"u{i}", seed=[i], count_of_y=i + 9) for i in range(4)]
+    df = spark.createDataFrame(lines("f1", "1", one) + lines("f2", "2", two), LINES)
+    tried = D.compared(df)
+    changes, schemas = D.decided(tried), D.file_schemas(df)
+    assert changes.where("drift = 'renamed'").count() == 0
+    names = D.canonical_names(changes, schemas, tried)
+    assert names["variant"] == names["Variant"] == ("Variant", "string") and names["good_freq"] == names["goodFreq"]
+    assert names["count"][0] != names["seed"][0]  # selected, but not alike
+    assert names["count_of_x"][0] != names["count_of_y"][0]  # alike, but the values differ
+    assert D.canonical_names(changes, schemas)["variant"] == names["variant"]
+    got = D.unified_table(df, names).orderBy("file_name", "line_no").collect()
+    assert [r["Variant"] for r in got] == ["freq"] * 4 + ['{"name": "freq"}'] * 4
+
+
+def test_files_without_shared_records_and_names_that_meet(spark):
+    one, two = [pair(i, variant="freq") for i in range(3)], [pair(i + 9, variant_kind=2) for i in range(3)]
+    rows = lines("f1", "1", one) + lines("f2", "2", two)
+    df = spark.createDataFrame(rows, LINES)
+    names = D.canonical_names(D.schema_changes(df), D.file_schemas(df))
+    assert names["variant"] == names["variant_kind"]
+    df = spark.createDataFrame(rows + lines("f3", "1", [pair(1, variant="a", variant_kind=1)], "other"), LINES)
+    names = D.canonical_names(D.schema_changes(df), D.file_schemas(df))
+    assert names["variant"][0] != names["variant_kind"][0]

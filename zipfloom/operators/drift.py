@@ -3,7 +3,8 @@
 Each file's schema is a graph of names, types and nesting.  Similarity flooding
 (Melnik, Garcia-Molina, Rahm 2002) scores every vanished field against every
 new one, a one-to-one selection orders the correspondences, and equal values of
-records that both files hold decide which of them are renames.
+records that both files hold decide which of them are renames.  The one table
+also joins selected names that are alike, unless the values speak against it.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from pyspark.sql import functions as F
 #: Distinct (file, signature) counters that a task holds before it emits them.
 HELD_SIGNATURES = 20_000
 ROUNDS, TOLERANCE = 50, 1e-4
+#: Likeness of names from which a correspondence that flooding selects is joined
+#: without equal values.  Scores shrink with the size of the graphs, so none is
+#: a bound for all.
+ALIKE = 0.6
 
 
 def _number(text: str) -> float | int:
@@ -240,9 +245,15 @@ def _changes(old: tuple, new: tuple) -> list[tuple]:
     return out
 
 
+_CODE = {k: i for i, k in enumerate(_KIND.values())}
+
+
 def _hash(value: object) -> int:
+    """A bigint whose lowest three bits are the value's type."""
     text = value if type(value) is str else json.dumps(value, sort_keys=True)
-    return xxhash.xxh3_64_intdigest(f"{_KIND[type(value)]}:{text}".encode("utf-8", "surrogatepass")) - (1 << 63)
+    kind = _KIND[type(value)]
+    digest = xxhash.xxh3_64_intdigest(f"{kind}:{text}".encode("utf-8", "surrogatepass"))
+    return (digest & ~7 | _CODE[kind]) - (1 << 63)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,6 +287,17 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
+def _adjacent(schemas: DataFrame) -> DataFrame:
+    """Each file's fields beside those of the stream's previous file."""
+    order = Window.partitionBy("file_stream").orderBy(F.col("file_ts").asc_nulls_first(), "file_name")
+    return (
+        schemas.withColumn("prev_name", F.lag("file_name").over(order))
+        .withColumn("prev_fields", F.lag("fields").over(order))
+        .where(F.col("prev_name").isNotNull())
+        .select("file_stream", "file_name", "prev_name", "fields", "prev_fields")
+    )
+
+
 def schema_changes(lines: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
     """Changes of top-level fields against the stream's previous file.
 
@@ -302,16 +324,19 @@ def schema_changes(lines: DataFrame, schemas: DataFrame | None = None) -> DataFr
     files, not lines; of the values only hashes of fields under comparison are
     shuffled, by record.
     """
+    return decided(compared(lines, schemas))
+
+
+def compared(lines: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
+    """The changes before renames are decided.
+
+    A vanished and a new field are ``renamed?`` here, beside ``added`` and
+    ``removed``, with ``chosen`` (flooding selects the pair) and the numbers of
+    shared records: ``both`` with values on both sides, ``alike`` with values
+    of one type, ``same`` with equal ones; null where no record is shared.
+    """
     raw = lines.select("file_stream", F.col("file_ts").cast("string"), "file_name", F.col("line_no").cast("bigint"), "payload")
-    order = Window.partitionBy("file_stream").orderBy(F.col("file_ts").asc_nulls_first(), "file_name")
-    pairs = (
-        (file_schemas(raw) if schemas is None else schemas)
-        .withColumn("prev_name", F.lag("file_name").over(order))
-        .withColumn("prev_fields", F.lag("fields").over(order))
-        .where(F.col("prev_name").isNotNull())
-        .select("file_stream", "file_name", "prev_name", "fields", "prev_fields")
-    )
-    changes = pairs.mapInArrow(_compare, _CHANGES)
+    changes = _adjacent(file_schemas(raw) if schemas is None else schemas).mapInArrow(_compare, _CHANGES)
     tried = changes.where(F.col("drift") == "renamed?")
     sides = F.array(
         F.struct(F.col("prev_name").alias("file_name"), F.lit(0).alias("side"), F.col("old_field").alias("field")),
@@ -337,14 +362,22 @@ def schema_changes(lines: DataFrame, schemas: DataFrame | None = None) -> DataFr
     )
     old = held.where("side = 0").select("pair", "rec", F.col("field").alias("old_field"), F.col("value").alias("was"))
     new = held.where("side = 1").select("pair", "rec", "field", "value")
-    equal = (
+    kind = lambda c: F.col(c).bitwiseAND(7)
+    counts = (
         old.join(new, ["pair", "rec"])
         .groupBy("pair", "old_field", "field")
-        .agg(F.count("*").alias("both"), F.count_if(F.col("value") == F.col("was")).alias("same"))
-        .where(F.col("same") * 2 > F.col("both"))
-        .select(F.col("pair").alias("file_name"), "old_field", "field")
-    )
-    renamed = tried.join(equal, ["file_name", "old_field", "field"])
+        .agg(
+            F.count("*").alias("both"), F.count_if(kind("value") == kind("was")).alias("alike"),
+            F.count_if(F.col("value") == F.col("was")).alias("same"),
+        )
+        .select(F.col("pair").alias("file_name"), "old_field", "field", F.lit("renamed?").alias("drift"), "both", "alike", "same")
+    )
+    return changes.join(counts, ["file_name", "old_field", "field", "drift"], "left")
+
+
+def decided(changes: DataFrame) -> DataFrame:
+    """:func:`schema_changes` out of what :func:`compared` gives."""
+    renamed = changes.where((F.col("drift") == "renamed?") & (F.col("same") * 2 > F.col("both")))
     best = Window.partitionBy("file_name", "field").orderBy(F.desc("chosen"), F.desc("score"), "old_field")
     first = renamed.withColumn("_n", F.row_number().over(best)).where("_n = 1").withColumn("drift", F.lit("renamed"))
     taken = renamed.select("file_name", F.explode(F.array("field", "old_field")).alias("field"), F.lit(True).alias("_hit")).distinct()
@@ -354,26 +387,61 @@ def schema_changes(lines: DataFrame, schemas: DataFrame | None = None) -> DataFr
     return rest.select(*cols).unionByName(first.select(*cols))
 
 
-def canonical_names(changes: DataFrame, schemas: DataFrame) -> dict[str, tuple[str, str]]:
+def _folded(name: str) -> str:
+    return "".join(c for c in name.lower() if c.isalnum()) or name
+
+
+def _selected(tried: DataFrame) -> list[tuple[str, str]]:
+    """Pairs of names that flooding selected and that are alike, the most alike first.
+
+    Values of one type that mostly differ in shared records refute a pair,
+    unless its names differ in case and separators only.
+    """
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    got = tried.where("drift = 'renamed?' and chosen").groupBy("old_field", "field").agg(
+        F.count("*").alias("files"), F.max("score").alias("score"), n("alike"), n("same")
+    )
+    out = []
+    for r in got.collect():
+        x, y = r["old_field"], r["field"]
+        one = _folded(x) == _folded(y)
+        like = 1.0 if one else name_likeness(x, y)
+        if one or (like >= ALIKE and not (r["alike"] and r["same"] * 2 <= r["alike"])):
+            out.append((-like, -r["files"], -r["score"], x, y))
+    return [(x, y) for *_, x, y in sorted(out)]
+
+
+def canonical_names(changes: DataFrame, schemas: DataFrame, tried: DataFrame | None = None) -> dict[str, tuple[str, str]]:
     """Each field name's name and type in the one consistent table.
 
     Works on distinct names, of which a schema has few, not on files: renames
-    are joined, the best attested first, unless two names of one field occur
-    together in a file.  The name that most files have stands for the field.
+    are joined, the best attested first, then the names that flooding selected
+    for each other between adjacent files if they are alike (:data:`ALIKE`), as
+    for fields that are renamed and retyped at once or share no records, unless
+    two names of one field occur together in a file.  The name that most files
+    have stands for the field.
+
+    ``tried``: the lines' :func:`compared`, whose values may refute a selected
+    pair; without it flooding runs here and no values are asked.
     """
     fields = schemas.select("file_name", F.explode("fields").alias("f")).where("f.parent = ''")
     kinds = fields.groupBy("f.field").agg(F.collect_set("f.kind").alias("kinds"), F.count_distinct("file_name").alias("n"))
     known = {r["field"]: (set(r["kinds"]) - {"null"}, r["n"]) for r in kinds.collect()}
-    edges = changes.where("drift = 'renamed'").groupBy("old_field", "field").count().collect()
-    ends = sorted({x for e in edges for x in (e["old_field"], e["field"])})
+    proven = changes.where("drift = 'renamed'").groupBy("old_field", "field").count().collect()
+    edges = [(e["old_field"], e["field"]) for e in sorted(proven, key=lambda e: (-e["count"], e["old_field"], e["field"]))]
+    if tried is None:
+        none = F.lit(None).cast("bigint")
+        tried = _adjacent(schemas).mapInArrow(_compare, _CHANGES).withColumns({"alike": none, "same": none})
+    edges += [e for e in _selected(tried) if e not in edges]
+    ends = sorted({x for e in edges for x in e})
     together = set()
     if ends:
         own = fields.where(F.col("f.field").isin(ends)).select("file_name", F.col("f.field").alias("field")).distinct()
         sets = own.groupBy("file_name").agg(F.array_sort(F.collect_set("field")).alias("s")).groupBy("s").count().collect()
         together = {(x, y) for r in sets for x in r["s"] for y in r["s"] if x != y}
     group = {f: {f} for f in known}
-    for e in sorted(edges, key=lambda e: (-e["count"], e["old_field"], e["field"])):
-        x, y = group[e["old_field"]], group[e["field"]]
+    for old, new in edges:
+        x, y = group[old], group[new]
         if x is not y and not any((p, q) in together for p in x for q in y):
             x |= y
             for f in y:

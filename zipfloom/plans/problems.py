@@ -61,8 +61,8 @@ def p2_table(spark: SparkSession, d: str) -> DataFrame:
     """All lines as one consistent table."""
     lines = table(spark, d, "raw_line").select(*_LINES)
     schemas = materialise(drift.file_schemas(lines), "schemas")
-    changes = materialise(drift.schema_changes(lines, schemas), "drift")
-    return drift.unified_table(lines, drift.canonical_names(changes, schemas))
+    tried = materialise(drift.compared(lines, schemas), "drift")
+    return drift.unified_table(lines, drift.canonical_names(drift.decided(tried), schemas, tried))
 
 
 def _nodes(spark: SparkSession, d: str, payload: bool) -> DataFrame:
