@@ -170,3 +170,22 @@ def test_small_helpers(spark):
     other = [P.Token(t.i, "girl" if t.text == "woman" else t.text, t.lemma, t.pos, t.tag) for t in WOMAN.tokens]
     assert P.tags_preserved(WOMAN.tokens, other) and not P.tags_preserved(WOMAN.tokens, other[:-1])
     assert P.describe(WOMAN)[2][:5] == (2, "woman", "woman", "NOUN", "NN")
+
+
+def test_pools_of_the_augmented_inventory(spark, sf):
+    from zipfloom.plans.corpus import g12_generate, swap_pools
+
+    persons = spark.createDataFrame([(r["lemma"], "female") for r in swap_pools(spark, sf).where("pool = 'noun'").limit(2).collect()], "lemma string, gender string")
+    names = {r["pool"] for r in swap_pools(spark, sf, persons=persons).select("pool").distinct().collect()}
+    assert {"verb:trans", "verb:intr", "verb:intr_pp", "verb:subject_raising", "adj:tough", "noun:person", "noun:female"} <= names
+    got = g12_generate(spark, sf).where("good_original rlike ' (was|were) [a-z]+ed by '").collect()
+    assert got and all(any(s["pos"] == "verb" for s in r["g_swaps"]) for r in got)
+
+
+def test_particles_without_an_object(spark):
+    from zipfloom.operators import collocations as C
+
+    words = [("She", "pp"), ("sat", "vvd"), ("down", "rp"), (".", "y"), ("He", "pp"), ("fell", "vvd"), ("down", "ii"), ("it", "pp"), ("and", "cc"), ("gave", "vvd"), ("up", "rp")]
+    rows = [("f", i, "1", w, w, p) for i, (w, p) in enumerate(words)]
+    t = spark.createDataFrame(rows, "file string, line_no bigint, doc_id string, surface string, lemma string, pos string")
+    assert {tuple(r) for r in C.verb_particles(t).collect()} == {("sat", "down", 1, 1), ("gave", "up", 1, 1)}

@@ -107,6 +107,22 @@ def verb_prepositions(tokens: DataFrame, prepositions: list[str] = PREPOSITIONS)
     return _counts(hits, ["verb", "prep"])
 
 
+def verb_particles(tokens: DataFrame, particles: list[str] | None = None) -> DataFrame:
+    """``verb, particle, token_count, doc_count`` of verbs whose next word is a particle without an object.
+
+    The particle stands before a break or at the end of its document.
+    """
+    from .parsing import PARTICLES
+
+    t = document_runs(_cleaned(tokens))
+    w = Window.partitionBy("file", "run").orderBy("line_no")
+    end = breaks(F.col("lemma"), F.col("pos"))
+    around = t.withColumns({"_l": F.lag("lemma").over(w), "_p": F.lag("pos").over(w), "_end": F.lead(end).over(w)})
+    part = F.col("lemma").isin(sorted(particles or PARTICLES)) & F.coalesce(F.col("_end"), F.lit(True))
+    hits = around.where(part & is_verb(F.col("_p")) & ~breaks(F.col("_l"), F.col("_p")))
+    return _counts(hits.select("file", "run", F.col("_l").alias("verb"), F.col("lemma").alias("particle")), ["verb", "particle"])
+
+
 def marker_rates(markers: DataFrame, verbs: DataFrame, wh: tuple[str, ...] = ("what", "who"), min_doc: int = 25) -> DataFrame:
     """Markers per verb as columns, with rates to six digits; verbs with few documents left out."""
     of = lambda cond, c: F.sum(F.when(cond, F.col(c)).otherwise(0))

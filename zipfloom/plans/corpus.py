@@ -381,14 +381,38 @@ del ORACLES["f3_detokenise"]
 # ---- generation ------------------------------------------------------------------------
 
 
-def swap_pools(spark, d, low=2.2, high=3.0):
-    """Pools of a frequency window: nouns, adjectives, and verbs by frame."""
+def swap_frames(spark, d):
+    """The augmented inventory: frames of swapped verbs, and those that documents attest.
+
+    The corpus adds prepositions right after a verb, the parsed documents'
+    prepositional frames with and without an object, and particles.
+    """
+    none = F.lit(None).cast("string")
+    key = ["lemma", "kind", "prep", "particle"]
+    pp = a25_frames(spark, d).where("prep is not null").select("lemma", F.col("frame").alias("kind"), "prep", none.alias("particle"))
+    parts = C.verb_particles(tokens(spark, d)).select(
+        F.regexp_replace("verb", "ed$", "").alias("lemma"), F.lit("intr_particle").alias("kind"), none.alias("prep"), "particle"
+    )
+    return j11_augment(spark, d).select(*key).unionByName(pp).unionByName(parts).distinct()
+
+
+def swap_pools(spark, d, low=2.2, high=3.0, persons=None):
+    """Pools of a frequency window: nouns, adjectives, and verbs by frame; and the fixed lists of control subtasks.
+
+    ``persons``: ``lemma, gender`` (null: either) of person nouns, which give
+    ``noun:person`` and ``noun:<gender>``; the given tables have none.
+    """
+    from ..operators.swaps import control_pools
+
     lex = _lexicon(spark, d).where(T.in_window("zipf", low, high))
     part = F.substring("pos", 1, 1)
     kinds = senses(spark, d).select("lemma", part.alias("p")).where("p in ('n', 'a')").distinct()
     words = kinds.select(F.when(F.col("p") == "n", F.lit("noun")).otherwise(F.lit("adj")).alias("pool"), "lemma")
-    verbs = frames(spark, d).select(F.concat(F.lit("verb:"), "kind").alias("pool"), "lemma")
-    return words.unionByName(verbs).join(lex.select("lemma"), "lemma", "left_semi").select("pool", "lemma")
+    got = words.unionByName(swap_frames(spark, d).select(F.concat(F.lit("verb:"), "kind").alias("pool"), "lemma"))
+    if persons is not None:
+        names = F.array_compact(F.array(F.lit("noun:person"), F.concat(F.lit("noun:"), "gender")))
+        got = got.unionByName(persons.select(F.explode(names).alias("pool"), F.lower(F.trim("lemma")).alias("lemma")))
+    return got.join(lex.select("lemma"), "lemma", "left_semi").select("pool", "lemma").unionByName(control_pools(spark))
 
 
 def _lexicon(spark, d):
