@@ -189,3 +189,14 @@ def test_particles_without_an_object(spark):
     rows = [("f", i, "1", w, w, p) for i, (w, p) in enumerate(words)]
     t = spark.createDataFrame(rows, "file string, line_no bigint, doc_id string, surface string, lemma string, pos string")
     assert {tuple(r) for r in C.verb_particles(t).collect()} == {("sat", "down", 1, 1), ("gave", "up", 1, 1)}
+
+
+def test_a_slot_goes_through_its_whole_pool(spark):
+    pairs = [("s", i, "p", "The dog chased a dog .", "The dogs chased a dog .") for i in range(40)]
+    df = spark.createDataFrame(pairs, "subtask string, idx int, phenomenon string, sentence_good string, sentence_bad string")
+    pool = spark.createDataFrame([("noun", f"{a}{b}table") for a in "bcdfghklmn" for b in "bcdfghklmn"] + [("noun", "apple")], "pool string, lemma string")
+    run = lambda n, fits: S.generate(df.repartition(n), pool, lambda: P.RuleParser(LEX), stages=("noun",), fits=fits).collect()
+    one = run(2, lambda old, new: new.startswith("apple"))
+    assert len(one) == 40 and {s["lemma"] for r in one for s in r["g_swaps"]} == {"apple"} and all(r["swap_failed_reason"] is None for r in one)
+    half = lambda old, new: new[0] in "bd" and new[1] == "k"
+    assert {r["idx"]: r["good_freq"] for r in run(3, half)} == {r["idx"]: r["good_freq"] for r in run(1, half)}

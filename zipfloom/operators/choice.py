@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import broadcast_if_small
+from ..runtime import BROADCAST_ROWS, broadcast_if_small
 
 #: Hex digits of a draw, and the number of draws they tell apart.
 DIGITS, SPAN = 13, 16**13
@@ -51,6 +51,19 @@ def pick_uniform(items: DataFrame, pool: DataFrame, by: list[str], key: list[str
     return drawn.join(broadcast_if_small(placed.select(*by, "pos", "lemma")), [*by, "pos"]).drop("pos")
 
 
+def whole_pool(items: DataFrame, pool: DataFrame, by: list[str], key: list[str], seed: int) -> DataFrame:
+    """Each item with ``lemmas``: its group's whole pool in an order of the item's own.
+
+    For the few items that no drawn lemma fits; the pool stays one array per
+    group, so that items aren't multiplied by lemmas.
+    """
+    few = pool.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    groups = pool.groupBy(*by).agg(F.collect_list("lemma").alias("lemmas"))
+    placed = F.transform("lemmas", lambda x: F.struct(draw(F.lit(seed), *[F.col(k) for k in key], x).alias("u"), x.alias("lemma")))
+    got = items.join(F.broadcast(groups) if few else groups, by)
+    return got.withColumn("lemmas", F.transform(F.array_sort(placed), lambda x: x["lemma"]))
+
+
 def pick_weighted(items: DataFrame, pool: DataFrame, key: list[str], seed: int, temperature: float = 1.0) -> DataFrame:
     """One lemma per item, drawn in proportion to ``10^(zipf / temperature)``.
 

@@ -2,7 +2,8 @@
 
 Three steps: a map over pairs parses both sides and emits aligned slots; slots
 draw candidates from their pools by an equi-join on a seeded place; a map over
-pairs realises the texts.  Only slots and candidates are shuffled.
+pairs realises the texts.  Only slots and candidates are shuffled.  Slots that
+no candidate fits go through their whole pool in a seeded order.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ from ..runtime import materialise
 from . import choice
 from . import parsing as P
 
-#: Candidates that each slot draws; the first that fits is taken.
+#: Candidates that each slot draws at first; the first that fits is taken.
 TRIES = 8
 
 _SLOT = "struct<stage:string,g_key:string,b_key:string,g_pool:string,b_pool:string,g:int,b:int,g_tag:string,b_tag:string,lemma:string>"
 _FOUND = f"subtask string, idx int, phenomenon string, good string, bad string, slots array<{_SLOT}>, reasons array<string>"
 _SWAP = "struct<i:int,old:string,new:string,tag:string,lemma:string,pos:string>"
+_PICKS = "array<struct<stage:string,key:string,attempt:int,lemma:string>>"
 RECORD = (
     "phenomenon string, subtask string, idx int, good_original string, bad_original string, good_freq string, bad_freq string, "
     f"g_swaps array<{_SWAP}>, b_swaps array<{_SWAP}>, swap_failed_reason string"
@@ -39,6 +41,10 @@ def _pool_of(kind: str, pools: set[str]) -> str | None:
     return None
 
 
+#: What a pair with open slots carries on to its second turn.
+_OPEN = f"slots array<{_SLOT}>, reasons array<string>, picks {_PICKS}, open array<struct<stage:string,key:string,pool:string>>"
+
+
 def find_slots(good: str, bad: str, parser: P.Parser, pools: set[str], phenomenon: str, subtask: str, stages: set[str]) -> tuple[list[dict], list[str]]:
     """Aligned slots of a pair and the reasons why a stage has none.
 
@@ -115,10 +121,11 @@ def find_slots(good: str, bad: str, parser: P.Parser, pools: set[str], phenomeno
     return slots, reasons
 
 
-def realise_pair(good: str, bad: str, slots: list, picks: dict[tuple[str, str], list[str]], parser: P.Parser, reasons: list[str], fits=None) -> tuple:
+def realise_pair(good: str, bad: str, slots: list, picks: dict[tuple[str, str], list[str]], parser: P.Parser, reasons: list[str], fits=None, unresolved: list | None = None) -> tuple:
     """Texts and swaps of both sides: one lemma per (stage, key), the same on both sides.
 
     ``fits(old, new)`` may reject a form, as for equal numbers of tokens.
+    ``unresolved`` takes the (stage, key, pool) that no candidate fits.
     """
     sides = {"g": P.Sentence(parser.parse(good)), "b": P.Sentence(parser.parse(bad))}
     words = {k: [t.text for t in s.tokens] for k, s in sides.items()}
@@ -139,7 +146,10 @@ def realise_pair(good: str, bad: str, slots: list, picks: dict[tuple[str, str],
                 if lemma != group[0][0]["lemma"] and all(f and (fits is None or fits(old, f)) for f, old in forms):
                     chosen[key] = lemma
                     break
-            failed |= key not in chosen
+            if key not in chosen:
+                failed = True
+                if unresolved is not None:
+                    unresolved.append((stage, key, group[0][0][f"{group[0][1]}_pool"]))
         if failed:
             reasons.append(f"{stage}_no_token_match" if fits is not None else f"{stage}_swap_failed")
             continue
@@ -181,7 +191,8 @@ def generate(
     once.  ``pool``: ``pool, lemma``, where pool is ``noun``, ``noun:person``,
     ``noun:<gender>``, ``adj``, ``verb:<kind>`` or one of :func:`control_pools`.  Equal seeds give equal
     results, in any partitioning.  A pair with a null side is a failure
-    (``no_swap``).
+    (``no_swap``).  A stage fails for want of a word only if no lemma of the
+    pool fits.
     """
     pool = materialise(pool.select("pool", "lemma").distinct(), "pool")  # read several times below
     # the names of the pools, not their lemmas: a handful
@@ -211,22 +222,42 @@ def generate(
     cond = [found["subtask"].eqNullSafe(picks["subtask"]), found["idx"].eqNullSafe(picks["idx"])]
     ready = found.join(picks, cond, "left").select(found["*"], picks["picks"]).repartition(n, "subtask", "idx")
 
+    record = [c.split()[0] for c in RECORD.split(", ") if not c.startswith(("new", "old"))][:10]
+
     def texts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = parser()
         for pdf in parts:
             rows = []
             for r in pdf.itertuples(index=False):
-                drawn: dict[tuple[str, str], list[str]] = {}
-                for x in r.picks if r.picks is not None else []:
-                    drawn.setdefault((x["stage"], x["key"]), []).append(x["lemma"])
-                if not r.good or not r.bad:
-                    got = (None, None, [], [], "no_swap")
-                else:
-                    got = realise_pair(r.good, r.bad, list(r.slots), drawn, p, list(r.reasons), fits)
-                rows.append((r.phenomenon, r.subtask, r.idx, r.good, r.bad, *got))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ") if not c.startswith(("new", "old"))][:10])
-
-    return ready.mapInPandas(texts, RECORD)
+                got, kept = (None, None, [], [], "no_swap"), (None, None, None, [])
+                if r.good and r.bad:
+                    drawn, unresolved = {}, []
+                    picks = list(r.picks) if r.picks is not None else []
+                    for x in picks:
+                        drawn.setdefault((x["stage"], x["key"]), []).append(x["lemma"])
+                    for x in r.more if r.more is not None else []:
+                        drawn.setdefault((x["stage"], x["key"]), []).extend(x["lemmas"])
+                    got = realise_pair(r.good, r.bad, list(r.slots), drawn, p, list(r.reasons), fits, unresolved)
+                    if unresolved and r.more is None:
+                        kept = list(r.slots), list(r.reasons), picks, unresolved
+                rows.append((r.phenomenon, r.subtask, r.idx, r.good, r.bad, *got, *kept))
+            yield pd.DataFrame(rows, columns=[*record, "slots", "reasons", "picks", "open"])
+
+    rest = "array<struct<stage:string,key:string,lemmas:array<string>>>"
+    first = materialise(ready.withColumn("more", F.lit(None).cast(rest)).mapInPandas(texts, f"{RECORD}, {_OPEN}"), "swapped")
+    unresolved = first.where(F.size("open") > 0)
+    if unresolved.isEmpty():
+        return first.select(*record)
+    keys = unresolved.select("subtask", "idx", F.explode("open").alias("o")).select("subtask", "idx", "o.*")
+    whole = choice.whole_pool(keys, pool, ["pool"], ["subtask", "idx", "stage", "key"], seed)
+    own = [F.col("subtask").alias("_subtask"), F.col("idx").alias("_idx")]
+    more = whole.groupBy(*own).agg(F.collect_list(F.struct("stage", "key", "lemmas")).alias("more"))
+    cond = F.col("subtask").eqNullSafe(F.col("_subtask")) & F.col("idx").eqNullSafe(F.col("_idx"))
+    again = unresolved.join(more, cond).select(
+        "subtask", "idx", "phenomenon", F.col("good_original").alias("good"), F.col("bad_original").alias("bad"), "slots", "reasons", "picks", "more"
+    )
+    done = again.repartition(n, "subtask", "idx").mapInPandas(texts, f"{RECORD}, {_OPEN}")
+    return first.where(F.size("open") == 0).select(*record).unionByName(done.select(*record))
 
 
 def control_pools(spark) -> DataFrame:
