@@ -131,3 +131,20 @@ def test_domains_and_dominance(spark):
 def test_empty_streams(spark):
     t = spark.createDataFrame([], SCHEMA)
     assert C.clause_markers(t).count() == C.verb_prepositions(t).count() == C.sentences(t).count() == 0
+
+
+def test_texts_beyond_a_hundred_thousand_tokens(spark, tmp_path):
+    from compare import connect, differences
+
+    from zipfloom.plans import corpus
+
+    long = " ".join(["it was noted that they say what follows ."] * 15_000)
+    docs = [(1, "a", long), (2, "a", "He says that she noted up , who said because . " * 40), (3, "b", "noted by it ."), (4, "a", None)]
+    spark.createDataFrame(docs, "doc_id bigint, source string, text string").coalesce(1).write.parquet(str(tmp_path / "x"))
+    next((tmp_path / "x").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    for f in (tmp_path / "x").iterdir():
+        f.unlink()
+    (tmp_path / "x").rmdir()
+    con = connect(str(tmp_path))
+    for q in ("w1_clause_markers", "a15_verb_counts", "w2_verb_prepositions", "w3_sentences"):
+        assert differences(corpus.QUERIES[q], corpus.ORACLES[q], spark, str(tmp_path), con) == ([], []), q

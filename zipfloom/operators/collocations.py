@@ -1,6 +1,7 @@
 """Ordered scans over a tagged token stream: collocations, sentences, verb lists.
 
-A token has ``file, line_no, doc_id, surface, lemma, pos``.  A document run is a
+A token has ``file, line_no, doc_id, surface, lemma, pos``; ``line_no`` is any type
+that orders a file's tokens.  A document run is a
 stretch of one doc_id within a file; a doc_id that comes back later is a new
 run and counts again.
 """
@@ -26,9 +27,10 @@ def document_runs(tokens: DataFrame, lines_per_chunk: int = LINES_PER_CHUNK) ->
 
     Files are cut into chunks of lines, so a file that holds a third of all
     tokens isn't one window group: changes are summed within a chunk, and the
-    chunks' sums and last ids, which are few, carry over.
+    chunks' sums and last ids, which are few, carry over.  Tokens may bring the
+    numbers of their chunks as ``chunk``, which never falls along line_no.
     """
-    chunk = F.floor(F.col("line_no") / lines_per_chunk)
+    chunk = F.col("chunk") if "chunk" in tokens.columns else F.floor(F.col("line_no") / lines_per_chunk)
     t = tokens.withColumn("_chunk", chunk)
     inside = Window.partitionBy("file", "_chunk").orderBy("line_no")
     t = t.withColumn("_prev", F.lag("doc_id").over(inside)).withColumn("_first", F.row_number().over(inside) == 1)

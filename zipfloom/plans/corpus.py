@@ -15,6 +15,8 @@ from ..runtime import same_name, same_name_sql, table
 from .reports import d2_task_list
 
 _PREPS = C.PREPOSITIONS
+#: Documents of a source that one window group holds while runs are numbered.
+DOCS_PER_CHUNK = 5
 _VERBS = ["note", "says", "said", "is", "are", "was", "were"]
 
 
@@ -27,7 +29,9 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
         F.when(w.rlike("^[^a-z]"), "y").when(w == "that", "cst").when(w.isin(_PREPS), "ii")
         .when(w.endswith("ed") | w.isin(_VERBS), "vvd").otherwise("nn1")
     )
-    return words.select("file", (F.col("doc_id") * 100000 + F.col("p")).alias("line_no"), F.col("doc_id").cast("string").alias("doc_id"), "surface", w.alias("lemma"), pos.alias("pos"))
+    line = F.struct("doc_id", "p").alias("line_no")  # documents of any length follow each other
+    chunk = F.floor(F.col("doc_id") / DOCS_PER_CHUNK).alias("chunk")
+    return words.select("file", line, chunk, F.col("doc_id").cast("string").alias("doc_id"), "surface", w.alias("lemma"), pos.alias("pos"))
 
 
 def w1_clause_markers(spark, d):
