@@ -200,3 +200,44 @@ def test_a_slot_goes_through_its_whole_pool(spark):
     assert len(one) == 40 and {s["lemma"] for r in one for s in r["g_swaps"]} == {"apple"} and all(r["swap_failed_reason"] is None for r in one)
     half = lambda old, new: new[0] in "bd" and new[1] == "k"
     assert {r["idx"]: r["good_freq"] for r in run(3, half)} == {r["idx"]: r["good_freq"] for r in run(1, half)}
+
+
+def test_pools_by_preposition_particle_and_clause():
+    pools = {"verb:intr_pp", "verb:intr_pp:by", "verb:intr_particle+down", "verb:clause", "verb:clause:who", "verb:trans"}
+    slot = lambda s: [x["g_pool"] for x in S.find_slots(s, s, Given(), pools, "p", "s", {"verb"})[0]]
+    lay = "It/it/PRON/PRP/nsubj/1 lay/lie/VERB/VBD/ROOT/1 {0}/{0}/ADP/IN/prep/1 it/it/PRON/PRP/pobj/2"
+    assert slot(lay.format("by")) == ["verb:intr_pp:by"] and slot(lay.format("near")) == ["verb:intr_pp"]
+    sat = "She/she/PRON/PRP/nsubj/1 sat/sit/VERB/VBD/ROOT/1 {0}/{0}/ADP/RP/prt/1"
+    assert slot(sat.format("down")) == ["verb:intr_particle+down"]
+    both = sat.format("up") + " saw/see/VERB/VBD/conj/1 it/it/PRON/PRP/dobj/3"
+    assert slot(both) == ["verb:trans"]  # no pool of sit up; see is swapped all the same
+    know = "I/i/PRON/PRP/nsubj/1 know/know/VERB/VBP/ROOT/1 {0}/{0}/PRON/IN/mark/4 he/he/PRON/PRP/nsubj/4 is/be/AUX/VBZ/ccomp/1"
+    assert slot(know.format("that")) == ["verb:clause"] and slot(know.format("who")) == ["verb:clause:who"]
+
+
+class Given:
+    """A parser of parses that are written out."""
+
+    def parse(self, text):
+        return sent(*text.split()).tokens
+
+
+def test_pools_of_prepositions_and_clauses(spark, sf):
+    from zipfloom.plans.corpus import swap_pools
+
+    lists = spark.createDataFrame([("that", "x"), ("wh.who", "y")], "list_name string, lemma string")
+    word = swap_pools(spark, sf).where("pool = 'noun'").first()["lemma"]
+    lists = lists.withColumn("lemma", lists["lemma"].substr(1, 0)).selectExpr("list_name", f"concat(lemma, '{word}') lemma")
+    got = {r["pool"] for r in swap_pools(spark, sf, clauses=lists).select("pool").distinct().collect()}
+    assert {"verb:intr_pp", "verb:intr_pp:by", "verb:clause", "verb:clause:who"} <= got
+
+
+def test_frames_of_documents_are_those_of_the_operators(spark, sf):
+    from zipfloom.operators import collocations as C
+    from zipfloom.plans import corpus as X
+
+    want = {(r["verb"], "intr_pp", r["prep"], None) for r in X._vp(spark, sf).collect()}
+    want |= {(r["lemma"], r["frame"], r["prep"], None) for r in X.a25_frames(spark, sf).where("prep is not null").collect()}
+    want |= {(r["verb"].removesuffix("ed"), "intr_particle", None, r["particle"]) for r in C.verb_particles(X.tokens(spark, sf)).collect()}
+    rows = [tuple(r) for r in X.document_frames(spark, sf).collect()]
+    assert want and set(rows) == want and len(rows) == len(want)

@@ -33,14 +33,32 @@ RECORD = (
 )
 
 
-def _pool_of(kind: str, pools: set[str]) -> str | None:
-    """The pool of a verb frame; intransitives may fall back on transitives."""
+def _pool_of(kind: str, pools: set[str], prep: str | None = None, particle: str | None = None) -> str | None:
+    """The pool of a verb frame; intransitives may fall back on transitives.
+
+    The frame's own preposition and particle come first; another preposition's
+    verb may follow, as the sentence keeps its own.
+    """
     for k in [kind, *(["trans"] if kind == "intr" else [])]:
-        if f"verb:{k}" in pools:
-            return f"verb:{k}"
+        if k.endswith("_particle"):
+            names = [f"{k}+{particle}"] if particle else []
+        else:
+            names = [f"{k}:{prep}"] if prep else []
+        for name in [*names, k]:
+            if f"verb:{name}" in pools:
+                return f"verb:{name}"
     return None
 
 
+def _verb_pool(v: P.VerbTarget, kind: str, pools: set[str]) -> str | None:
+    """The pool of a verb target: by its clause's marker where it embeds one, else by its frame."""
+    if v.clause:
+        for name in [*([f"verb:clause:{v.wh}"] if v.wh else []), "verb:clause"]:
+            if name in pools:
+                return name
+    return _pool_of(kind, pools, v.prep.low if v.prep else None, v.particle.low if v.particle else None)
+
+
 #: What a pair with open slots carries on to its second turn.
 _OPEN = f"slots array<{_SLOT}>, reasons array<string>, picks {_PICKS}, open array<struct<stage:string,key:string,pool:string>>"
 
@@ -92,10 +110,12 @@ def find_slots(good: str, bad: str, parser: P.Parser, pools: set[str], phenomeno
                 kind, _ = P.forced_frame(phenomenon, subtask, "good", x.kind)
                 bad_kind, _ = P.forced_frame(phenomenon, subtask, "bad", y.kind)
                 if phenomenon == "argument_structure" and bad_kind != kind:
-                    return "verb", _pool_of(kind, pools), x.token, y.token, x.tag, y.tag, x.lemma, x.lemma, _pool_of(bad_kind, pools)
-                return "verb", _pool_of(kind, pools), x.token, y.token, x.tag, y.tag, x.lemma, x.lemma
+                    return "verb", _verb_pool(x, kind, pools), x.token, y.token, x.tag, y.tag, x.lemma, x.lemma, _verb_pool(y, bad_kind, pools)
+                return "verb", _verb_pool(x, kind, pools), x.token, y.token, x.tag, y.tag, x.lemma, x.lemma
 
-            stage("verb", P.verb_targets(g), P.verb_targets(b), lambda v: (v.lemma, v.token.text, verb_slot), zip_rest=True)
+            # a particle verb without a pool of its particle stays, and the others of its sentence are swapped
+            gs, bs = ([v for v in P.verb_targets(s) if v.particle is None or _verb_pool(v, v.kind, pools)] for s in (g, b))
+            stage("verb", gs, bs, lambda v: (v.lemma, v.token.text, verb_slot), zip_rest=True)
     taken = {s["g"] for s in slots}, {s["b"] for s in slots}
     if "noun" in stages:
         bound_g, bound_b = P.reflexive_subjects(g), P.reflexive_subjects(b)
@@ -189,7 +209,8 @@ def generate(
 
     ``pairs``: ``subtask, idx, phenomenon, sentence_good, sentence_bad``, each key
     once.  ``pool``: ``pool, lemma``, where pool is ``noun``, ``noun:person``,
-    ``noun:<gender>``, ``adj``, ``verb:<kind>`` or one of :func:`control_pools`.  Equal seeds give equal
+    ``noun:<gender>``, ``adj``, ``verb:<kind>``, ``verb:<kind>:<prep>``, ``verb:<kind>+<particle>``,
+    ``verb:clause``, ``verb:clause:<wh word>`` or one of :func:`control_pools`.  Equal seeds give equal
     results, in any partitioning.  A pair with a null side is a failure
     (``no_swap``).  A stage fails for want of a word only if no lemma of the
     pool fits.

@@ -385,26 +385,69 @@ del ORACLES["f3_detokenise"]
 # ---- generation ------------------------------------------------------------------------
 
 
-def swap_frames(spark, d):
-    """The augmented inventory: frames of swapped verbs, and those that documents attest.
+def document_frames(spark, d, lexicon=None):
+    """``lemma, kind, prep, particle`` that documents attest, each once, in one pass without a shuffle of tokens.
 
-    The corpus adds prepositions right after a verb, the parsed documents'
-    prepositional frames with and without an object, and particles.
+    What :func:`_vp`, :func:`a25_frames` (prepositional frames) and
+    :func:`C.verb_particles` find: prepositions right after a verb, the parsed
+    sentences' prepositions with and without an object, particles.
     """
-    none = F.lit(None).cast("string")
-    key = ["lemma", "kind", "prep", "particle"]
-    pp = a25_frames(spark, d).where("prep is not null").select("lemma", F.col("frame").alias("kind"), "prep", none.alias("particle"))
-    parts = C.verb_particles(tokens(spark, d)).select(
-        F.regexp_replace("verb", "ed$", "").alias("lemma"), F.lit("intr_particle").alias("kind"), none.alias("prep"), "particle"
-    )
-    return j11_augment(spark, d).select(*key).unionByName(pp).unionByName(parts).distinct()
+    from ..operators import parsing as P
 
+    lexicon = tag_lexicon(spark, d) if lexicon is None else lexicon
+    preps, verbs, marks = set(_PREPS), set(_VERBS), set(".,!?;:")
 
-def swap_pools(spark, d, low=2.2, high=3.0, persons=None):
+    def run(parts):
+        parser, seen = P.RuleParser(lexicon), set()
+        is_verb = lambda w: w not in marks and w != "that" and w not in preps and (w.endswith("ed") or w in verbs)
+        for pdf in parts:
+            new = set()
+            for words in pdf["words"]:
+                text, ends = "", len(words) - 1
+                for i, w in enumerate(words):
+                    if i and is_verb(words[i - 1]):
+                        lemma = words[i - 1].removesuffix("ed")
+                        if w in preps:
+                            new.add((lemma, "intr_pp", w, None))
+                        if w in P.PARTICLES and (i == ends or words[i + 1] in marks):
+                            new.add((lemma, "intr_particle", None, w))
+                    text += w if not text or w in marks else f" {w}"
+                    if w in (".", "!", "?") or i == ends:
+                        s = P.Sentence(parser.parse(text))
+                        found = ((t, P.corpus_frame(s, t)) for t in s.tokens if t.pos == "VERB")
+                        new |= {(t.lemma.lower(), *f, None) for t, f in found if f and f[1]}
+                        text = ""
+            yield pd.DataFrame(sorted(new - seen, key=str), columns=["lemma", "kind", "prep", "particle"])
+            seen |= new
+
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+|[.,!?;:])"), F.lit(1)).alias("words")
+    docs = table(spark, d, "documents").where("text is not null").select(words)
+    return docs.mapInPandas(run, "lemma string, kind string, prep string, particle string").distinct()
+
+
+def swap_frames(spark, d, lexicon=None):
+    """The augmented inventory: frames of swapped verbs, and those that documents attest."""
+    own = frames(spark, d).select("lemma", "kind", "prep", "particle")
+    return own.unionByName(document_frames(spark, d, lexicon)).distinct()
+
+
+def clause_pools(lists):
+    """``pool, lemma`` of :func:`C.clause_lists`: verbs of that-clauses, and those of each wh word besides."""
+    that = lists.where("list_name in ('that', 'both')").select("lemma")
+    pools = that.withColumn("pool", F.lit("verb:clause"))
+    for wh in ("what", "who"):
+        own = lists.where(F.col("list_name") == f"wh.{wh}").select("lemma").unionByName(that)
+        pools = pools.unionByName(own.withColumn("pool", F.lit(f"verb:clause:{wh}")))
+    return pools.select("pool", "lemma").distinct()
+
+
+def swap_pools(spark, d, low=2.2, high=3.0, persons=None, clauses=None, lexicon=None):
     """Pools of a frequency window: nouns, adjectives, and verbs by frame; and the fixed lists of control subtasks.
 
     ``persons``: ``lemma, gender`` (null: either) of person nouns, which give
     ``noun:person`` and ``noun:<gender>``; the given tables have none.
+    ``clauses``: ``list_name, lemma`` as of :func:`a17_clause_lists`, for
+    parsers that tell clausal complements, which the rule parser doesn't.
     """
     from ..operators.swaps import control_pools
 
@@ -412,7 +455,14 @@ def swap_pools(spark, d, low=2.2, high=3.0, persons=None):
     part = F.substring("pos", 1, 1)
     kinds = senses(spark, d).select("lemma", part.alias("p")).where("p in ('n', 'a')").distinct()
     words = kinds.select(F.when(F.col("p") == "n", F.lit("noun")).otherwise(F.lit("adj")).alias("pool"), "lemma")
-    got = words.unionByName(swap_frames(spark, d).select(F.concat(F.lit("verb:"), "kind").alias("pool"), "lemma"))
+    kind = F.concat(F.lit("verb:"), "kind")
+    own = F.when(F.col("particle").isNotNull(), F.array(F.concat(kind, F.lit("+"), "particle"))).otherwise(
+        F.array_compact(F.array(kind, F.concat(kind, F.lit(":"), "prep")))
+    )
+    one = swap_frames(spark, d, lexicon).where(~F.col("lemma").rlike("[ _-]"))
+    got = words.unionByName(one.select(F.explode(own).alias("pool"), "lemma"))
+    if clauses is not None:
+        got = got.unionByName(clause_pools(clauses))
     if persons is not None:
         names = F.array_compact(F.array(F.lit("noun:person"), F.concat(F.lit("noun:"), "gender")))
         got = got.unionByName(persons.select(F.explode(names).alias("pool"), F.lower(F.trim("lemma")).alias("lemma")))
@@ -447,7 +497,7 @@ def g12_generate(spark, d):
     once = src.groupBy(same_name("subtask").alias("subtask"), "idx").agg(F.max_by(F.struct("sentence_good", "sentence_bad"), F.struct("loaded_at", "sentence_good")).alias("s"))
     pairs = once.select("subtask", "idx", "s.*").join(F.broadcast(cfg), "subtask", "left")
     lexicon = tag_lexicon(spark, d)
-    return S.generate(pairs, swap_pools(spark, d), lambda: RuleParser(lexicon))
+    return S.generate(pairs, swap_pools(spark, d, lexicon=lexicon), lambda: RuleParser(lexicon))
 
 
 def t3_targets(spark, d):
