@@ -36,7 +36,7 @@ def test_sample_meets_targets(spark):
         TARGETS,
     )
     for seed in (0, 1):
-        sample, report = B.cube_sample(population(spark, sizes), t, seed)
+        sample, report, _ = B.cube_sample(population(spark, sizes), t, seed)
         rows = sample.collect()
         assert len(rows) == len({r["unit"] for r in rows}) == 151
         n = Counter(r["category"] for r in rows)
@@ -44,7 +44,65 @@ def test_sample_meets_targets(spark):
         assert n["small"] == 4 and not by["p", "small"]["met"] and by["p", "hot"]["met"]
         assert by["p", "none"]["drawn"] == 0 and not by["p", "none"]["met"]
         assert all(abs(r["imbalance"]) < 1 for r in by.values())
-        assert {r["unit"] for r in B.cube_sample(population(spark, sizes), t, seed)[0].collect()} == {r["unit"] for r in rows}
+        assert {r["unit"] for r in B.cube_sample(population(spark, sizes), t, seed).sample.collect()} == {r["unit"] for r in rows}
+
+
+def test_the_report_judges_the_drawn_rows(spark, monkeypatch):
+    """Minima that take another category's rows, minima beyond the size, and a flight that is switched off."""
+    rows = [("p", "a", 0.9, 0, 1000), ("p", "b", 0.1, 500, 1000), ("q", "a", 0.5, 800, 1000), ("q", "b", 0.5, 800, 1000), ("r", "a", 0.5, 0, 4000)]
+    t = spark.createDataFrame(rows, TARGETS)
+    units = population(spark, {"a": 1500, "b": 900})
+    every = units.union(units.selectExpr("'q'", "category", "unit")).union(units.selectExpr("'r'", "category", "unit"))
+    by = {(r["plan_name"], r["category"]): r for r in B.cube_sample(every, t).report.collect()}
+    assert by["p", "a"]["reason"] == "displaced" and by["p", "b"]["met"] and by["p", "a"]["drawn"] == 500
+    assert by["q", "a"]["drawn"] == 800 and by["q", "a"]["met"] and by["q", "a"]["planned"] == 1600
+    assert by["r", "a"]["reason"] == "short" and by["r", "a"]["drawn"] == 1500
+    monkeypatch.setattr(B, "judged", lambda df: JUDGED(df.withColumn("drawn", df["drawn"] * 0)))
+    off = B.cube_sample(every, t).report.collect()
+    assert not any(r["reason"] == "short" for r in off) and not any(r["met"] for r in off)
+
+
+JUDGED = B.judged
+
+
+def test_layout_does_not_matter(spark, monkeypatch):
+    """Equal rows and seed give an equal sample over other partitions, batches and orders, also through merging levels."""
+    monkeypatch.setattr(B, "CHUNK_RECORDS", 40)
+    monkeypatch.setattr(B, "FAN_IN", 3)
+    t = spark.createDataFrame([("p", "hot", 0.6, 0, 151), ("p", "mid", 0.4, 10, 151)], TARGETS)
+    df = population(spark, {"hot": 900, "mid": 300}).selectExpr("*", "unit % 3 as third", "cast(unit % 7 as string) as week")
+    draw = lambda x: {r["unit"] for r in B.cube_sample(x, t, 5, ("third", "week")).sample.collect()}
+    one = draw(df)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        assert one == draw(df.repartition(2)) == draw(df.orderBy("unit").coalesce(1)) and len(one) == 151
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert one != {r["unit"] for r in B.cube_sample(df, t, 6, ("third", "week")).sample.collect()}
+
+
+def test_several_columns_are_balanced_at_once(spark):
+    t = spark.createDataFrame([("p", "hot", 0.6, 0, 240), ("p", "mid", 0.4, 0, 240)], TARGETS)
+    df = population(spark, {"hot": 900, "mid": 300}).selectExpr("*", "unit % 4 as quarter", "cast(unit % 5 as string) as day")
+    worst = []
+    for seed in range(4):
+        got = B.cube_sample(df, t, seed, ("quarter", "day"))
+        worst += [abs(r["imbalance"]) for r in got.balance.collect()]
+        assert sum(r["drawn"] for r in got.balance.collect()) == 3 * 240
+    assert max(worst) <= 3
+
+
+def test_flight_keeps_every_constraint_and_the_means():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 3, 40), rng.integers(0, 4, 40)
+    m = np.array([np.ones(40), *[a == k for k in range(3)], *[b == k for k in range(4)]], float)
+    p = rng.uniform(0.1, 0.9, 40)
+    mean = np.zeros(40)
+    for s in range(400):
+        q = B.cube_flight(p, m, np.random.default_rng(s))
+        assert np.allclose(m @ q, m @ p, atol=1e-6) and len(B._open(q)) <= len(m)
+        mean += q / 400
+    assert np.abs(mean - p).max() < 0.12
 
 
 def test_inclusion_is_even(spark):
@@ -58,9 +116,9 @@ def test_inclusion_is_even(spark):
 def test_empty_sides(spark):
     t = spark.createDataFrame([("p", "a", 1.0, 5, 30)], TARGETS)
     none = spark.createDataFrame([], "plan_name string, category string, unit bigint, extra int")
-    sample, report = B.cube_sample(none, t)
+    sample, report, _ = B.cube_sample(none, t)
     assert sample.count() == 0 and report.collect()[0]["available"] == 0
-    sample, report = B.cube_sample(population(spark, {"a": 3}), t.limit(0))
+    sample, report, _ = B.cube_sample(population(spark, {"a": 3}), t.limit(0))
     assert sample.count() == 0 and report.count() == 0
     nulls = spark.createDataFrame([(None, "a", 1), ("p", None, 2), ("p", "a", None), ("p", "a", 4)], "plan_name string, category string, unit bigint")
     assert [r["unit"] for r in B.cube_sample(nulls, t)[0].collect()] == [4]

@@ -5,47 +5,63 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import latest, materialise, same_name, same_name_sql, table
+from ..runtime import broadcast_if_small, latest, materialise, same_name, same_name_sql, table
 from . import balanced, encoding, language, mixing, percentiles, terms
 
 # ---- 3: sample matching target proportions ----------------------------------
 
 
-def _sample(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _sample(spark: SparkSession, d: str) -> balanced.Drawn:
     config = table(spark, d, "task_config").select(same_name("subtask").alias("_sub"), "phenomenon")
     config = config.where("_sub is not null").groupBy("_sub").agg(F.min("phenomenon").alias("_phen"))
     rows = table(spark, d, "generated_pair").select(
-        "record_id", same_name("subtask").alias("_sub"), "written_at",
+        "record_id", same_name("subtask").alias("_sub"), "dataset", "written_at",
         (F.col("good_freq").isNotNull() & F.col("bad_freq").isNotNull()).alias("_whole"),
     )
-    recs = latest(rows, "record_id", ["written_at"], ["_sub", "_whole"]).where("_whole and record_id is not null")
-    known = recs.join(F.broadcast(config), "_sub")  # a fixed table
+    recs = latest(rows, "record_id", ["written_at"], ["_sub", "dataset", "_whole"]).where("_whole and record_id is not null")
+    # read by the counts and by the flight
+    known = materialise(recs.join(broadcast_if_small(config), "_sub").select("record_id", "_sub", "_phen", "dataset"), "units")
     plans = F.array(
         F.struct(F.lit("by_subtask").alias("plan_name"), F.col("_sub").alias("category")),
         F.struct(F.lit("by_phenomenon").alias("plan_name"), F.col("_phen").alias("category")),
     )
-    units = known.select(F.col("record_id").alias("unit"), F.explode(plans).alias("x")).select("x.*", "unit")
+    units = known.select(F.col("record_id").alias("unit"), F.col("_phen").alias("phenomenon"), "dataset", F.explode(plans).alias("x"))
+    units = units.select("x.*", "phenomenon", "dataset", "unit")
     key = F.when(F.col("plan_name") == "by_subtask", same_name("category")).otherwise(F.col("category"))
     targets = table(spark, d, "sample_target").withColumn("_given", F.col("category")).withColumn("category", key)
-    sample, report = balanced.cube_sample(units, targets)
+    drawn = balanced.cube_sample(units, targets, balance=("phenomenon", "dataset"))
     given = targets.select("plan_name", "category", "_given").distinct()
-    report = report.join(F.broadcast(given), ["plan_name", "category"]).withColumn("category", F.col("_given")).drop("_given")
-    return sample, report
+    report = drawn.report.join(broadcast_if_small(given), ["plan_name", "category"])
+    return drawn._replace(report=report.withColumn("category", F.col("_given")).drop("_given"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Targets that the records can't meet, from the report of the drawn sample."""
-    return _sample(spark, d)[1].where(~F.col("met")).select("plan_name", "category")
+    """Targets that the drawn sample misses though every record of the category is in it."""
+    return _sample(spark, d).report.where("reason = 'short'").select("plan_name", "category")
 
 
 def p3_sample(spark: SparkSession, d: str) -> DataFrame:
-    """The balanced sample of every plan."""
-    return _sample(spark, d)[0].withColumnRenamed("unit", "record_id")
+    """The sample of every plan, balanced on category, phenomenon and dataset."""
+    return _sample(spark, d).sample.withColumnRenamed("unit", "record_id")
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
-    """Target, expected and drawn rows of every category, and the imbalance."""
-    return _sample(spark, d)[1]
+    """Target, expected and drawn rows of every category, the imbalance and why a target is missed."""
+    return _sample(spark, d).report
+
+
+def p3_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Residual imbalance of every balancing column and value."""
+    return _sample(spark, d).balance
+
+
+def p3_targets(spark: SparkSession, d: str) -> DataFrame:
+    """The report without the drawn number, which chance rounds: is it within a row of the expected one?"""
+    got = _sample(spark, d).report.withColumn("within_a_row", F.abs("imbalance") < 1)
+    return got.select(
+        "plan_name", "category", "available", *[F.round(c, 4).alias(c) for c in ("wanted", "expected")], "within_a_row",
+        F.when(F.col("reason") == "short", "short").when(F.col("wanted") - F.col("expected") >= 1, "displaced").otherwise("").alias("reason"),
+    )
 
 
 # ---- 5: frequency of every term ----------------------------------------------
@@ -173,7 +189,7 @@ def p9_stretches(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p3_found, p3_sample, p3_report, p5_found, p5_terms, p6_percentiles, p6_days, p6_merged,
+        p3_found, p3_sample, p3_report, p3_balance, p3_targets, p5_found, p5_terms, p6_percentiles, p6_days, p6_merged,
         p7_ids, p8_mix, p8_report, p9_found, p9_documents, p9_stretches,
     )
 }
@@ -195,16 +211,37 @@ marked AS (SELECT *, CASE WHEN n_records < 3 THEN 'rare'
                           WHEN n_records > (SELECT count(DISTINCT record_id) FROM kept) / 50.0 THEN 'common' END AS mark FROM counts)
 """
 
-ORACLES = {
-    "p3_found": f"""
-WITH latest AS ({_LATEST_PAIRS}),
+_TARGETS = f"""
+WITH RECURSIVE latest AS ({_LATEST_PAIRS}),
 config AS (SELECT DISTINCT {_SUB('subtask')} AS sub, phenomenon FROM task_config),
 recs AS (SELECT c.sub, c.phenomenon FROM latest l JOIN config c ON {_SUB('l.subtask')} = c.sub WHERE l.whole),
 n AS (SELECT 'by_subtask' AS plan_name, sub AS cat, count(*) AS n FROM recs GROUP BY sub
-      UNION ALL SELECT 'by_phenomenon', phenomenon, count(*) FROM recs GROUP BY phenomenon)
-SELECT DISTINCT t.plan_name, t.category FROM sample_target t LEFT JOIN n
-  ON n.plan_name = t.plan_name AND n.cat = CASE WHEN t.plan_name = 'by_subtask' THEN {_SUB('t.category')} ELSE t.category END
-WHERE coalesce(n.n, 0) < t.min_rows OR coalesce(n.n, 0) < t.target_share * t.sample_size""",
+      UNION ALL SELECT 'by_phenomenon', phenomenon, count(*) FROM recs GROUP BY phenomenon),
+goal AS (SELECT DISTINCT t.plan_name, t.category, t.target_share, t.min_rows, t.sample_size, coalesce(n.n, 0) AS available FROM sample_target t LEFT JOIN n
+  ON n.plan_name = t.plan_name AND n.cat = CASE WHEN t.plan_name = 'by_subtask' THEN {_SUB('t.category')} ELSE t.category END)
+"""
+
+ORACLES = {
+    "p3_found": _TARGETS
+    + """SELECT DISTINCT plan_name, category FROM goal WHERE available < min_rows OR available < target_share * sample_size""",
+    "p3_targets": _TARGETS
+    + """,
+bound AS (SELECT *, CASE WHEN target_share * sample_size > available THEN available ELSE least(min_rows, available) END AS low FROM goal),
+plan AS (SELECT plan_name, least(max(sample_size), sum(available)) AS want, sum(low) AS lows FROM bound GROUP BY plan_name),
+-- the scale at which the shares within their bounds sum to the size, by halving
+scale(plan_name, n, lo, hi) AS (
+  SELECT plan_name, 0, 0.0::DOUBLE, 1024.0::DOUBLE FROM plan
+  UNION ALL
+  SELECT s.plan_name, n + 1, CASE WHEN t.total < p.want THEN (lo + hi) / 2 ELSE lo END, CASE WHEN t.total < p.want THEN hi ELSE (lo + hi) / 2 END
+  FROM scale s JOIN plan p USING (plan_name), LATERAL (
+    SELECT sum(least(greatest((lo + hi) / 2 * b.target_share * b.sample_size, b.low), b.available)) AS total FROM bound b WHERE b.plan_name = s.plan_name) t
+  WHERE n < 80),
+done AS (SELECT plan_name, hi FROM scale WHERE n = 80),
+planned AS (SELECT b.*, greatest(b.target_share * b.sample_size, b.min_rows) AS wanted,
+         CASE WHEN p.lows >= p.want THEN b.low ELSE least(greatest(d.hi * b.target_share * b.sample_size, b.low), b.available) END AS expected
+       FROM bound b JOIN plan p USING (plan_name) JOIN done d USING (plan_name))
+SELECT plan_name, category, available, round(wanted, 4) AS wanted, round(expected, 4) AS expected, true AS within_a_row,
+       CASE WHEN available < wanted THEN 'short' WHEN wanted - expected >= 1 THEN 'displaced' ELSE '' END AS reason FROM planned""",
     "p5_terms": _TERMS + "SELECT * FROM marked",
     "p5_found": _TERMS + "SELECT term, mark FROM marked WHERE mark IS NOT NULL",
     "p6_percentiles": f"""
