@@ -156,6 +156,31 @@ def test_mix_reaches_shares(spark):
     assert again == {(r["doc_id"], r["copies"]) for r in rows}
 
 
+def test_mix_does_not_depend_on_layout_but_on_the_seed(spark, monkeypatch):
+    monkeypatch.setattr(M, "CHUNK_DOCS", 100)
+    monkeypatch.setattr(M, "FAN_IN", 4)
+    w = spark.createDataFrame([("hot", 3.0, 1), ("small", 1.0, 4)], "source string, weight double, max_repeat int")
+    draw = lambda df, seed=0: {(r["doc_id"], r["copies"]) for r in M.mix_sources(df, w, 40_000, seed)[0].collect()}
+    one = draw(docs(spark))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 70)
+    try:
+        assert one == draw(docs(spark).orderBy("n_tokens").coalesce(1))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert one != draw(docs(spark), 1)
+    # the root alone draws: one document of each source
+    two = docs(spark).where("doc_id in (0, 5000)")
+    assert len({frozenset(r["doc_id"] for r in M.mix_sources(two, w, 150, s)[0].collect()) for s in range(8)}) > 1
+
+
+def test_repeated_documents_count_once(spark):
+    w = spark.createDataFrame([("hot", 1.0, 2)], "source string, weight double, max_repeat int")
+    df = docs(spark).where("source = 'hot'")
+    twice = df.union(df).union(spark.createDataFrame([(0, "hot", 1)], df.schema))
+    rows = M.mix_sources(twice, w)[0].collect()
+    assert len(rows) == len({r["doc_id"] for r in rows}) == 1500 and {r["copies"] for r in rows} == {2}
+
+
 def test_total_beyond_the_caps(spark):
     w = spark.createDataFrame([("hot", 1.0, 2), ("small", 1.0, 2)], "source string, weight double, max_repeat int")
     mix, report = M.mix_sources(docs(spark), w, total_tokens=1e6)

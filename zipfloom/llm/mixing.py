@@ -9,18 +9,18 @@ one document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import broadcast_if_small, materialise
 
 EPS = 1e-9
-MERGE_GROUPS = 64
+#: Documents of a chunk, on average; chunks that merge at a time.
+CHUNK_DOCS, FAN_IN = 100_000, 64
 
 
 def pivotal_rounds(p: np.ndarray, size: np.ndarray, group: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -53,42 +53,29 @@ def pivotal_rounds(p: np.ndarray, size: np.ndarray, group: np.ndarray, rng: np.r
         active = active[(p[active] > EPS) & (p[active] < 1 - EPS)]
 
 
-_SCHEMA = "doc_id bigint, source string, n_tokens bigint, base bigint, frac double, u bigint"
+_SCHEMA = "doc_id bigint, source string, n_tokens bigint, base bigint, frac double, u bigint, chunk bigint"
 _NAMES = [c.split()[0] for c in _SCHEMA.split(", ")]
 
 
-def _rounded(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["source", "u", "doc_id"], kind="stable")
-    seed = int(pdf["u"].iloc[0]) & 0x7FFFFFFF if len(pdf) else 0
-    codes = pd.factorize(pdf["source"])[0]
-    p = pivotal_rounds(pdf["frac"].to_numpy(float), pdf["n_tokens"].to_numpy(float), codes, np.random.default_rng(seed))
-    return pdf.assign(base=pdf["base"] + (p == 1.0), frac=np.where(p == 1.0, 0.0, p))
+def _rounds(seed: int, level: int, last: bool = False):
+    """Rounds a group's fractions; ``last``: at the root a source's one open fraction decides itself.
 
+    The draws depend on the seed, the level and the group's chunk alone.
+    """
 
-def _round_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rounds batch by batch; one unresolved document per source is carried on."""
-    held = None
-    for batch in batches:
-        pdf = batch.to_pandas()
-        pdf = _rounded(pd.concat([held, pdf]) if held is not None and len(held) else pdf)
-        open_ = pdf["frac"] > EPS
-        held = pdf[open_]
-        done = pdf[~open_ & (pdf["base"] > 0)]
-        yield pa.RecordBatch.from_pandas(done[_NAMES], schema=_ARROW, preserve_index=False)
-    if held is not None and len(held):
-        yield pa.RecordBatch.from_pandas(held[_NAMES], schema=_ARROW, preserve_index=False)
-
-
-_ARROW = pa.schema(
-    [("doc_id", pa.int64()), ("source", pa.string()), ("n_tokens", pa.int64()), ("base", pa.int64()), ("frac", pa.float64()), ("u", pa.int64())]
-)
-
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["source", "u", "doc_id"], kind="stable")
+        names, chunk = pdf["source"].to_numpy(), int(pdf["chunk"].iloc[0])
+        where = [chunk] if not last else [zlib.crc32(names[0].encode("utf-8", "surrogatepass"))]
+        rng = np.random.default_rng([seed & 0xFFFFFFFF, level, *where])
+        codes = pd.factorize(pdf["source"])[0]
+        p = pivotal_rounds(pdf["frac"].to_numpy(float), pdf["n_tokens"].to_numpy(float), codes, rng)
+        if last:
+            p = np.where((p > EPS) & (p < 1 - EPS), rng.random(len(p)) < p, p)
+        got = pdf.assign(base=pdf["base"] + (p >= 1 - EPS), frac=np.where((p <= EPS) | (p >= 1 - EPS), 0.0, p))
+        return got[(got["base"] > 0) | (got["frac"] > 0)][_NAMES]
 
-def _last(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The root of the tree: the last fraction of each source decides itself."""
-    pdf = _rounded(pdf)
-    u = np.random.default_rng(len(pdf)).random(len(pdf))
-    return pdf.assign(base=pdf["base"] + (u < pdf["frac"].to_numpy(float)), frac=0.0)[_NAMES]
+    return run
 
 
 def plan_sources(sizes: pd.DataFrame, total: float | None) -> pd.DataFrame:
@@ -126,8 +113,14 @@ def mix_sources(
     Defined cases: documents with a null id, a null source or a source without
     a weight, or without tokens (null and empty texts) get no copy; a source
     without tokens can't give its share, is reported ``short`` and the others'
-    shares are taken relative to theirs; repeated doc_ids are documents of their
-    own.  Equal inputs and seed give an equal mix.
+    shares are taken relative to theirs; rows that repeat a doc_id count once,
+    of differing ones the one with the most tokens, then the greatest source.
+    Equal documents and seed give an equal mix, whatever their partitions,
+    batches or order.
+
+    Scale: documents go to chunks by their id's hash, so a source that holds a
+    third of all rows spreads over chunks; one open document per source and
+    chunk goes up the tree.
     """
     w = (
         weights.where("source is not null")
@@ -137,6 +130,8 @@ def mix_sources(
     base = docs.where("doc_id is not null and source is not null and n_tokens > 0").select(
         F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.col("n_tokens").cast("bigint").alias("n_tokens")
     )
+    once = base.groupBy("doc_id").agg(F.max(F.struct("n_tokens", "source")).alias("x"))
+    base = materialise(once.select("doc_id", "x.source", "x.n_tokens"), "mix")
     sizes = base.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     # one row per weighted source: as small as the table of weights
     known = w.join(sizes, "source", "left").fillna(0, ["tokens", "docs"]).orderBy("source").toPandas()
@@ -147,23 +142,28 @@ def mix_sources(
     rows = [tuple(x.item() if hasattr(x, "item") else x for x in r) for r in plan[cols].itertuples(index=False, name=None)]
     rows = [(r[0], float(r[1]), int(r[2]), int(r[3]), int(r[4]), float(r[5]), float(r[6]), float(r[7]), bool(r[8])) for r in rows]
     goals = spark.createDataFrame(rows, ", ".join(f"{c} {k}" for c, k in zip(cols, kinds)))
-    entered = (
-        base.join(broadcast_if_small(goals.where("copies > 0").select("source", "copies")), "source")
-        .select(
-            "doc_id", "source", "n_tokens",
-            F.floor("copies").cast("bigint").alias("base"),
-            (F.col("copies") - F.floor("copies")).alias("frac"),
-            F.xxhash64(F.lit(seed), "doc_id").alias("u"),
-        )
-        .sortWithinPartitions("u", "doc_id")
+    chunks = max(1, -(-int(known["docs"].sum() if len(known) else 0) // CHUNK_DOCS))
+    entered = base.join(broadcast_if_small(goals.where("copies > 0").select("source", "copies")), "source").select(
+        "doc_id", "source", "n_tokens",
+        F.floor("copies").cast("bigint").alias("base"),
+        (F.col("copies") - F.floor("copies")).alias("frac"),
+        F.xxhash64(F.lit(seed), F.lit("draw"), "doc_id").alias("u"),
+        F.pmod(F.xxhash64(F.lit(seed), F.lit("chunk"), "doc_id"), F.lit(chunks)).alias("chunk"),
     )
-    level1 = entered.mapInArrow(_round_partition, _SCHEMA).withColumn("part", F.spark_partition_id() % MERGE_GROUPS)
-    level1 = materialise(level1, "mix")
-    level2 = materialise(
-        level1.where(F.col("frac") > EPS).groupBy("part").applyInPandas(lambda pdf: _rounded(pdf)[_NAMES], _SCHEMA), "mix"
-    )
-    root = level2.where(F.col("frac") > EPS).groupBy("source").applyInPandas(_last, _SCHEMA)
-    whole = level1.where(F.col("frac") <= EPS).select(*_NAMES).unionByName(level2.where(F.col("frac") <= EPS)).unionByName(root)
+    level, height, done = entered, 0, []
+    while True:
+        level = materialise(level.groupBy("chunk").applyInPandas(_rounds(seed, height), _SCHEMA), "mix")
+        done.append(level.where(F.col("frac") == 0))
+        rest = level.where(F.col("frac") > 0)
+        if chunks == 1:
+            break
+        height += 1
+        chunks = -(-chunks // FAN_IN)
+        level = rest.withColumn("chunk", F.floor(F.col("chunk") / FAN_IN))
+    done.append(rest.groupBy("source").applyInPandas(_rounds(seed, height + 1, last=True), _SCHEMA))
+    whole = done[0]
+    for part in done[1:]:
+        whole = whole.unionByName(part)
     mix = whole.where("base > 0").select("doc_id", "source", "n_tokens", F.col("base").alias("copies"))
     got = mix.groupBy("source").agg(
         F.sum(F.col("n_tokens") * F.col("copies")).alias("taken_tokens"), F.max("copies").alias("most_copies"), F.count("*").alias("docs_used")

@@ -81,7 +81,7 @@ def _terms(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_terms(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences and records of every term, rare and common ones marked."""
-    recs = _terms(spark, d)
+    recs = materialise(_terms(spark, d), "terms")  # read by the summary, the counts and the total
     total = recs.where(F.size("terms") > 0).agg(F.count("*"))
     counts = terms.term_frequencies(recs, "terms")
     return counts.select("term", "n_occurrences", "n_records", terms.mark("n_records", total.scalar()).alias("mark"))
@@ -161,6 +161,17 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Per source: is its goal reached to within a document, and no document repeated beyond its cap?"""
+    mix, report = _mix(spark, d)
+    most = mix.groupBy("source").agg(F.max("n_tokens").alias("_most"))
+    off = F.abs(F.col("taken_tokens") - F.col("goal_tokens"))
+    return report.join(most, "source", "left").select(
+        "source", F.round("target_share", 6).alias("target_share"), "docs",
+        (off <= F.coalesce("_most", F.lit(0))).alias("within_a_document"), (F.col("most_copies") <= F.col("max_repeat")).alias("within_repeats"),
+    )
+
+
 # ---- 9: languages -----------------------------------------------------------------
 
 
@@ -190,7 +201,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p3_found, p3_sample, p3_report, p3_balance, p3_targets, p5_found, p5_terms, p6_percentiles, p6_days, p6_merged,
-        p7_ids, p8_mix, p8_report, p9_found, p9_documents, p9_stretches,
+        p7_ids, p8_mix, p8_report, p8_kept, p9_found, p9_documents, p9_stretches,
     )
 }
 
@@ -242,6 +253,11 @@ planned AS (SELECT b.*, greatest(b.target_share * b.sample_size, b.min_rows) AS
        FROM bound b JOIN plan p USING (plan_name) JOIN done d USING (plan_name))
 SELECT plan_name, category, available, round(wanted, 4) AS wanted, round(expected, 4) AS expected, true AS within_a_row,
        CASE WHEN available < wanted THEN 'short' WHEN wanted - expected >= 1 THEN 'displaced' ELSE '' END AS reason FROM planned""",
+    "p8_kept": """
+WITH w AS (SELECT source, max(weight) AS weight FROM source_weight WHERE source IS NOT NULL GROUP BY source),
+n AS (SELECT source, count(DISTINCT doc_id) AS docs FROM documents WHERE text <> '' GROUP BY source)
+SELECT w.source, round(w.weight / sum(w.weight) OVER (), 6) AS target_share, coalesce(n.docs, 0) AS docs, true AS within_a_document, true AS within_repeats
+FROM w LEFT JOIN n USING (source)""",
     "p5_terms": _TERMS + "SELECT * FROM marked",
     "p5_found": _TERMS + "SELECT term, mark FROM marked WHERE mark IS NOT NULL",
     "p6_percentiles": f"""
