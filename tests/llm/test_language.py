@@ -19,7 +19,15 @@ def test_sentences_and_words():
 
 
 def test_codes_have_no_language():
-    assert L.named_sentences(None, [None, "", "0x12 3/64\n-----"]) == [[], [], [(0, 10, None, 0.0, False), (10, 15, None, 0.0, False)]]
+    assert L.named_sentences(None, [None, "", "0x12 3/64\n-----"]) == [[], [], [L.Stretch(0, 10), L.Stretch(10, 15)]]
+
+
+def test_nothing_is_cut():
+    word = "a" * 70 + "b" * 70
+    assert len(L.subwords(word)) == 1 + sum(142 - n + 1 for n in L.NGRAMS) and L.subwords(word) != L.subwords(word + "c")
+    for n in (199, 201, 5000):
+        assert L.words_of(f"One “{'x ' * n}” two <p {'y ' * n}> three {{{'z ' * n}}}.") == ["one", "two", "three"]
+    assert [w for _, _, w in L.split_sentences("他们 知道。 真的 吗？")] == [True, True]
 
 
 @pytest.fixture(scope="module")
@@ -45,6 +53,12 @@ def test_cases(spark, model):
         (5, None, None), (6, "xx", ""), (7, "xx", "0x1 3/64"), (8, "en", "It is not clear. " * 5000),
     ]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id bigint, lang string, text string, status string")
+    loose = "Niemand weiß warum der Parser den alten Schwellenwert prüfte"
+    more = spark.createDataFrame([(9, None, loose), (10, "de", f"- {loose}\n- Nobody knows why the parser skipped the old threshold")], "doc_id bigint, lang string, text string")
+    lines = {r["doc_id"]: r for r in L.name_languages(more, model).collect()}
+    assert lines[9]["lang"] == "de" and lines[9]["status"] == "no_sentence" and lines[9]["confidence"] > 0.6
+    assert [s["lang"] for s in lines[10]["stretches"]] == ["de", "en"]
+    assert L.label_cases(L.name_languages(more, model)).count() == 0
     named = L.name_languages(df, model)
     status = {r["doc_id"]: r["status"] for r in named.collect()}
     assert status == {1: "right", 2: "wrong", 3: "missing", 4: "mixed", 5: "no_sentence", 6: "no_sentence", 7: "no_sentence", 8: "right"}

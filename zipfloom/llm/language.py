@@ -14,6 +14,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled documents that the model is fitted on, at most.
-TRAIN_DOCS = 1_500
+#: Labelled documents that the model is fitted on, at most; longest text of one, in characters.
+TRAIN_DOCS, TRAIN_CHARS = 1_500, 100_000
 BUCKETS, WIDTH, EPOCHS, RATE, BATCH, NGRAMS = 1 << 15, 16, 2, 0.1, 32, (2, 3, 4)
 #: Held-out share, largest error of accepted held-out sentences, least confidence.
 HELD_OUT, MAX_ERROR, LEAST_CONFIDENCE = 0.15, 0.002, 0.6
@@ -42,10 +43,10 @@ SPELLINGS = {
 }
 _BY_SPELLING = {s: code for code, all_ in SPELLINGS.items() for s in all_}
 
-_END = regex.compile(r"[.!?…]+[\"'”»’)\]]*(?=\s|$|<)|\n")
+_END = regex.compile(r"[.!?…]+[\"'”»’)\]]*(?=\s|$|<)|[。！？؟।]+[\"'”»’)\]」』]*|\n")
 _WORD = regex.compile(r"(?<![\w=#@/\\])\p{L}[\p{L}\p{M}]*(?:['’-]\p{L}[\p{L}\p{M}]*)*(?![\w=])")
-_MARKUP = regex.compile(r"<[^<>\n]{1,200}>|\{[^{}\n]{1,400}\}")
-_QUOTED = regex.compile(r"“[^“”\n]{1,200}”|«[^«»\n]{1,200}»|„[^„“”\n]{1,200}[“”]|‘[^‘’\n]{1,200}’")
+_MARKUP = regex.compile(r"<[^<>\n]+>|\{[^{}\n]+\}")
+_QUOTED = regex.compile(r"“[^“”\n]+”|«[^«»\n]+»|„[^„“”\n]+[“”]|‘[^‘’\n]+’")
 
 
 def label_language(label: str | None) -> str | None:
@@ -79,13 +80,19 @@ def words_of(sentence: str) -> list[str]:
 
     A sentence that is quoted as a whole keeps its words.
     """
-    s = unicodedata.normalize("NFC", html.unescape(_MARKUP.sub(" ", sentence))).lower()
+    s = _MARKUP.sub(" ", sentence) if "<" in sentence or "{" in sentence else sentence
+    if "&" in s:
+        s = html.unescape(s)
+    s = s.lower()
+    if s.isascii():  # nothing to compose, no such quotes
+        return _WORD.findall(s)
+    s = unicodedata.normalize("NFC", s)
     return _WORD.findall(_QUOTED.sub(" ", s)) or _WORD.findall(s)
 
 
 def subwords(word: str, buckets: int = BUCKETS) -> list[int]:
     """Buckets of the word and of its n-grams with ends marked."""
-    s = f"<{word[:64]}>"
+    s = f"<{word}>"
     grams = [s, *(s[i : i + n] for n in NGRAMS for i in range(len(s) - n + 1))]
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in grams]
 
@@ -256,74 +263,104 @@ class Namer:
         return p.argmax(axis=1), p.max(axis=1)
 
 
-def named_sentences(namer: Namer | None, texts: list[str | None]) -> list[list[tuple[int, int, str | None, float, bool]]]:
-    """Per text: (start, end, language or None, confidence, whole) of each stretch."""
+class Stretch(NamedTuple):
+    """Text up to an end mark or line end; ``whole``: a sentence of several words."""
+
+    start: int
+    end: int
+    lang: str | None = None
+    guess: str | None = None
+    confidence: float = 0.0
+    whole: bool = False
+    words: int = 0
+
+
+def named_sentences(namer: Namer | None, texts: list[str | None]) -> list[list[Stretch]]:
+    """The stretches of each text, named wherever they hold a word.
+
+    ``guess`` is the likeliest language, ``lang`` the same unless its confidence
+    is below the calibrated one; headlines, list items and lines of chat are
+    named as sentences are, codes have no words and no language.
+    """
     spans = [split_sentences(t) if t else [] for t in texts]
     words, where = [], []
+    out: list[list[Stretch]] = [[] for _ in texts]
     for i, (t, s) in enumerate(zip(texts, spans)):
-        for k, (a, b, whole) in enumerate(s):
+        for a, b, ended in s:
             w = words_of(t[a:b])
-            if whole and len(w) >= LEAST_WORDS:
+            if w:
                 words.append(w)
-                where.append((i, k))
-    out = [[(a, b, None, 0.0, False) for a, b, _ in s] for s in spans]
-    for i, k in where:
-        out[i][k] = (*out[i][k][:4], True)
+                where.append((i, len(out[i])))
+            out[i].append(Stretch(a, b, whole=ended and len(w) >= LEAST_WORDS, words=len(w)))
     if namer is not None and words:
         cls, conf = namer.name(words)
-        for (i, k), c, p in zip(where, cls, conf):
-            a, b, *_ = out[i][k]
-            out[i][k] = (a, b, namer.m.languages[c] if p >= namer.m.threshold else None, float(p), True)
+        for (i, k), c, p in zip(where, cls.tolist(), conf.tolist()):
+            name = namer.m.languages[c]
+            out[i][k] = out[i][k]._replace(lang=name if p >= namer.m.threshold else None, guess=name, confidence=p)
     return out
 
 
-_STRETCHES = "array<struct<start:int,end:int,lang:string,confidence:double>>"
+_STRETCHES = "array<struct<start:int,end:int,lang:string,guess:string,confidence:double>>"
 _DOC = (
-    f"doc_id bigint, label string, label_lang string, lang string, confidence double, langs array<string>, "
+    f"doc_id bigint, label string, label_lang string, lang string, guess string, confidence double, langs array<string>, "
     f"status string, stretches {_STRETCHES}"
 )
 
 
-def _stretches(sentences: list[tuple]) -> list[tuple[int, int, str | None, float]]:
-    """Neighbouring sentences of one language as one stretch; codes join what precedes."""
+def _stretches(sentences: list[Stretch]) -> list[tuple]:
+    """Neighbouring stretches of one language as one; what holds no word, or too few to tell, joins what precedes."""
     out: list[list] = []
-    for a, b, lang, conf, whole in sentences:
-        if out and (not whole or out[-1][2] == lang):
-            out[-1][1] = b
-            if whole:
-                out[-1][3].append(conf)
-        elif out and not out[-1][3]:  # only codes so far
-            out[-1][1:] = [b, lang, [conf] if whole else []]
+    for s in sentences:
+        told = s.guess is not None and (s.whole or s.lang is not None and s.words >= LEAST_WORDS)
+        if out and (not told or (out[-1][4] and out[-1][2] == s.lang)):
+            out[-1][1] = s.end
+            if told:
+                out[-1][4].append(s)
+        elif out and not out[-1][4]:  # only codes so far
+            out[-1][1:] = [s.end, s.lang, None, [s]]
         else:
-            out.append([a, b, lang, [conf] if whole else []])
-    return [(a, b, lang, float(np.mean(c)) if c else 0.0) for a, b, lang, c in out]
+            out.append([s.start, s.end, s.lang, None, [s] if told else []])
+    return [
+        (a, b, lang, max(s, key=lambda x: x.confidence).guess if s else None, float(np.mean([x.confidence for x in s])) if s else 0.0)
+        for a, b, lang, _, s in out
+    ]
+
+
+def _mass(sentences: list[Stretch], name: str) -> dict[str, float]:
+    mass: dict[str, float] = {}
+    for s in sentences:
+        if lang := getattr(s, name):
+            mass[lang] = mass.get(lang, 0.0) + (s.end - s.start) * s.confidence
+    return mass
 
 
 def _documents(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         namer = Namer(model) if model else None
-        kinds = [pa.string(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.string(),
-                 pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())]))]
-        names = [c.split()[0] for c in ["doc_id ", "label ", "label_lang ", "lang ", "confidence ", "langs ", "status ", "stretches "]]
+        span = [("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("guess", pa.string()), ("confidence", pa.float64())]
+        kinds = [*[pa.string()] * 4, pa.float64(), pa.list_(pa.string()), pa.string(), pa.list_(pa.struct(span))]
+        names = ["doc_id", "label", "label_lang", "lang", "guess", "confidence", "langs", "status", "stretches"]
+        keys = [n for n, _ in span]
         for batch in batches:
             labels, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             cols: list[list] = [[] for _ in kinds]
             for label, sentences in zip(labels, named_sentences(namer, texts)):
-                mass: dict[str, float] = {}
-                for a, b, lang, conf, whole in sentences:
-                    if whole and lang:
-                        mass[lang] = mass.get(lang, 0.0) + (b - a) * conf
                 own = label_language(label)
-                langs = sorted(mass)
-                lang = max(langs, key=lambda x: mass[x]) if langs else None
-                told = sum(b - a for a, b, _, _, whole in sentences if whole)
+                whole = [s for s in sentences if s.whole]
+                langs = sorted(_mass(whole, "lang"))
+                # sentences name the document; where none is sure, whatever holds words does
+                told = whole if langs else [s for s in sentences if s.guess]
+                sure, any_ = _mass(told, "lang"), _mass(told, "guess")
+                lang, guess = max(sorted(sure), key=sure.get, default=None), max(sorted(any_), key=any_.get, default=None)
+                size = sum(s.end - s.start for s in told)
                 status = (
-                    "no_sentence" if not told else "unsure" if not langs else "mixed" if len(langs) > 1
+                    "no_sentence" if not whole else "unsure" if not langs else "mixed" if len(langs) > 1
                     else "missing" if own is None else "wrong" if own != lang else "right"
                 )
-                stretches = [dict(zip(("start", "end", "lang", "confidence"), s)) for s in _stretches(sentences)]
-                for c, v in zip(cols, (label, own, lang, mass[lang] / told if lang else None, langs, status, stretches)):
+                stretches = [dict(zip(keys, s)) for s in _stretches(sentences)]
+                conf = (sure[lang] if lang else any_[guess]) / size if guess else None
+                for c, v in zip(cols, (label, own, lang, lang or guess, conf, langs, status, stretches)):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=names)
 
@@ -333,12 +370,14 @@ def _documents(shared):
 def train(docs: DataFrame, limit: int = TRAIN_DOCS, seed: int = 0) -> Model | None:
     """Fit on at most ``limit`` labelled documents, those with the least hashes.
 
+    Texts longer than TRAIN_CHARS aren't drawn, so the sample's size is bounded.
     Hashes above a bound that follows from the count drop out before the sort,
     so that it holds about twice the sample, however many documents there are.
     The sample isn't evened out over languages: wrong labels are spread evenly,
     so they would make up much of what a rare language is given.
     """
     labelled = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", "text")
+    labelled = labelled.where(F.length("text") <= TRAIN_CHARS)
     n = labelled.count()
     hashed = labelled.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id"))
     if n > 2 * limit:
@@ -351,10 +390,12 @@ def name_languages(docs: DataFrame, model: Model | None) -> DataFrame:
     """Language and confidence of every document and of its stretches.
 
     ``docs`` has ``doc_id, lang, text``.  Result, one row per row: ``doc_id,
-    label, label_lang`` (what the label means), ``lang`` (of most of the text),
-    ``confidence``, ``langs`` (all that fill a whole sentence), ``status`` and
-    ``stretches`` (start, end, lang, confidence).  status is ``no_sentence``
-    (null and empty texts, codes), ``unsure`` (all sentences rejected),
+    label, label_lang`` (what the label means), ``lang`` (of most of the text;
+    null where the calibrated confidence isn't reached), ``guess`` (the
+    likeliest language of any text with words), ``confidence``, ``langs`` (all
+    that fill a whole sentence), ``status`` and ``stretches`` (start, end, lang,
+    guess, confidence).  Texts without whole sentences are named by what words
+    they have.  status is ``no_sentence`` (null and empty texts, codes, headlines), ``unsure`` (all sentences rejected),
     ``mixed``, ``missing`` (the label names no language), ``wrong`` or ``right``.
     Without a model nothing is named.  Whole texts are read, whatever their
     length.  A narrow map; the model is broadcast, its size is fixed.

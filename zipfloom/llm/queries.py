@@ -175,9 +175,16 @@ def p8_kept(spark: SparkSession, d: str) -> DataFrame:
 # ---- 9: languages -----------------------------------------------------------------
 
 
+_MODELS: dict[tuple[str, str], language.Model | None] = {}
+
+
 def _named(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "lang", "text")
-    return language.name_languages(docs, language.train(docs))
+    key = spark.sparkContext.applicationId, d
+    if key not in _MODELS:  # fitted once an application; of fixed size
+        _MODELS.clear()
+        _MODELS[key] = language.train(docs)
+    return language.name_languages(docs, _MODELS[key])
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -188,13 +195,13 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 def p9_documents(spark: SparkSession, d: str) -> DataFrame:
     """Language, confidence and the label's status of every document."""
     got = _named(spark, d)
-    return got.select("doc_id", "label", "label_lang", "lang", F.round("confidence", 6).alias("confidence"), "status")
+    return got.select("doc_id", "label", "label_lang", "lang", "guess", F.round("confidence", 6).alias("confidence"), "status")
 
 
 def p9_stretches(spark: SparkSession, d: str) -> DataFrame:
     """Every stretch in one language with its confidence."""
     got = _named(spark, d).select("doc_id", F.posexplode("stretches").alias("n", "s"))
-    return got.select("doc_id", "n", "s.start", "s.end", "s.lang", F.round("s.confidence", 6).alias("confidence"))
+    return got.select("doc_id", "n", "s.start", "s.end", "s.lang", "s.guess", F.round("s.confidence", 6).alias("confidence"))
 
 
 QUERIES = {
