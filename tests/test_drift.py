@@ -124,10 +124,15 @@ def test_one_table(spark, sf):
             assert r["subtask"] == o["subtask"]
 
 
+def names_of(df):
+    scanned = D.scan(df)
+    return D.canonical_names(D.compared(scanned), scanned.schemas)
+
+
 def test_table_of_clashing_names(spark):
     rows = lines("f1", "1", [{"line_id": "own", "Status": 1, "n": 2}, {"n": 2.5}, None])
     df = spark.createDataFrame(rows, LINES)
-    names = D.canonical_names(D.schema_changes(df), D.file_schemas(df))
+    names = names_of(df)
     got = D.unified_table(df, names).orderBy("line_no").collect()
     assert [r["n"] for r in got] == [2.0, 2.5, None] and got[0]["line_id_field"] == "own" and got[0]["Status_field"] == 1
     assert [r["status"] for r in got] == ["ok", "ok", "empty"]
@@ -137,14 +142,11 @@ def test_a_field_renamed_and_retyped_is_one_column(spark):
     one = [pair(i, variant="freq", good_freq=f"t{i}", count=f"c{i}", count_of_x=i) for i in range(4)]
     two = [pair(i, Variant={"name": "freq"}, goodFreq=f"u{i}", seed=[i], count_of_y=i + 9) for i in range(4)]
     df = spark.createDataFrame(lines("f1", "1", one) + lines("f2", "2", two), LINES)
-    tried = D.compared(df)
-    changes, schemas = D.decided(tried), D.file_schemas(df)
-    assert changes.where("drift = 'renamed'").count() == 0
-    names = D.canonical_names(changes, schemas, tried)
+    assert D.schema_changes(df).where("drift = 'renamed'").count() == 0
+    names = names_of(df)
     assert names["variant"] == names["Variant"] == ("Variant", "string") and names["good_freq"] == names["goodFreq"]
     assert names["count"][0] != names["seed"][0]  # selected, but not alike
     assert names["count_of_x"][0] != names["count_of_y"][0]  # alike, but the values differ
-    assert D.canonical_names(changes, schemas)["variant"] == names["variant"]
     got = D.unified_table(df, names).orderBy("file_name", "line_no").collect()
     assert [r["Variant"] for r in got] == ["freq"] * 4 + ['{"name": "freq"}'] * 4
 
@@ -153,8 +155,70 @@ def test_files_without_shared_records_and_names_that_meet(spark):
     one, two = [pair(i, variant="freq") for i in range(3)], [pair(i + 9, variant_kind=2) for i in range(3)]
     rows = lines("f1", "1", one) + lines("f2", "2", two)
     df = spark.createDataFrame(rows, LINES)
-    names = D.canonical_names(D.schema_changes(df), D.file_schemas(df))
+    names = names_of(df)
     assert names["variant"] == names["variant_kind"]
     df = spark.createDataFrame(rows + lines("f3", "1", [pair(1, variant="a", variant_kind=1)], "other"), LINES)
-    names = D.canonical_names(D.schema_changes(df), D.file_schemas(df))
+    names = names_of(df)
     assert names["variant"][0] != names["variant_kind"][0]
+
+
+def renamed(df, **how):
+    return {(r["field"], r["old_field"]) for r in D.schema_changes(df, **how).where("drift = 'renamed'").collect()}
+
+
+def test_flooding_finds_what_the_values_of_all_pairs_prove(spark):
+    """Names that say nothing, few shared records, two copies of a field: recall against the exact mode."""
+    import random
+
+    rnd, rows, want = random.Random(5), [], 0
+    for s in range(12):
+        names = [f"{rnd.choice('abcdefgh')}{rnd.randrange(10**6)}" for _ in range(16)]
+        old, new = names[:8], names[8:]
+        one = [pair(i, **{n: (f"{n} {i}" if k % 3 else i * 7 + k if k else {"x": [i, k]}) for k, n in enumerate(old)}) for i in range(60)]
+        two = [pair(i, **{new[k]: (f"{n} {i}" if k % 3 else i * 7 + k if k else {"x": [i, k]}) for k, n in enumerate(old)}) for i in range(40, 100)]
+        for o in two:
+            o["copy"] = o[new[1]]
+        rows += lines(f"{s}a", "1", one, f"s{s}") + lines(f"{s}b", "2", two, f"s{s}")
+    df = spark.createDataFrame(rows, LINES)
+    every, got = renamed(df, exact=True), renamed(df)
+    assert len(every) == 12 * 9 and got <= every and len(got) >= 0.95 * len(every)
+
+
+def test_without_flooding_renames_are_lost(spark, monkeypatch):
+    one = [pair(i, a=f"x{i}", b=f"y{i}", c=f"z{i}") for i in range(5)]
+    two = [pair(i, k=f"z{i}", l=f"x{i}", m=f"y{i}") for i in range(5)]
+    df = spark.createDataFrame(lines("f1", "1", one) + lines("f2", "2", two), LINES)
+    assert renamed(df) == {("k", "c"), ("l", "a"), ("m", "b")}
+    assert D.select({("a", "k"): 0.0}) == {} and D.candidates({("a", "k"): 0.0}, ["a"], ["k"]) == set()
+    field = lambda names: [{"parent": "", "field": f, "kind": "string", "n": 5, "mins": []} for f in names]
+    assert any(r[1] == "renamed?" for r in D._changes(field("abc"), field("klm")))
+    monkeypatch.setattr(D, "flood", lambda a, b, o=None: {(x, y): 0.0 for x in "abc" for y in "klm"})
+    assert {r[1] for r in D._changes(field("abc"), field("klm"))} == {"added", "removed"}
+
+
+def test_every_depth_and_every_element():
+    deep = {"a": [{"x": 1}, {"y": {"z": [[{"w": "t"}]]}}]}
+    assert {(p.replace("\x1f", "."), f, k) for p, f, k in D._fields(deep)} == {
+        ("", "a", "array"), ("a.", "x", "integer"), ("a.", "y", "object"), ("a.y.", "z", "array"), ("a.y.z.", "w", "string")}
+
+
+def test_nested_changes(spark):
+    one = [pair(0, meta={"g": [{"i": 1}, {"old": "a"}]}, list=[{"q": 1}])]
+    two = [pair(0, meta={"g": [{"i": 1}, {"old": 2, "new": [{"k": None}]}]}, list=[])]
+    got = D.nested_changes(spark.createDataFrame(lines("f1", "1", one) + lines("f2", "2", two), LINES)).collect()
+    assert {(r["path"], r["drift"]) for r in got} == {
+        ("meta.g.old", "retyped"), ("meta.g.new", "added"), ("meta.g.new.k", "added"), ("list.q", "removed")}
+
+
+def test_values_that_fit_no_column_are_kept(spark):
+    big, huge = 1 << 63, 10**400
+    objs = [{"n": 1, "m": 1, "k": 2**60, "d": 1}, {"n": big, "m": huge, "k": 3, "d": 1.5}, {"other": 2, "n": 5}]
+    df = spark.createDataFrame(lines("f1", "1", objs), LINES)
+    names = names_of(df)
+    assert names["n"][1] == names["m"][1] == "string" and names["k"][1] == "bigint" and names["d"][1] == "double"
+    got = D.unified_table(df, names).orderBy("line_no").collect()
+    assert got[1]["n"] == str(big) and got[1]["m"] == str(huge) and got[0]["k"] == 2**60
+    forced = {"n": ("n", "bigint"), "m": ("m", "double"), "other": ("n", "bigint")}
+    got = D.unified_table(df, forced).orderBy("line_no").collect()
+    assert got[1]["n"] is None and got[1]["other_fields"] == {"n": str(big), "m": str(huge), "k": "3", "d": "1.5"}
+    assert got[2]["n"] == 2 and got[2]["other_fields"] == {"n": "5"}

@@ -2,9 +2,10 @@
 
 Each file's schema is a graph of names, types and nesting.  Similarity flooding
 (Melnik, Garcia-Molina, Rahm 2002) scores every vanished field against every
-new one, a one-to-one selection orders the correspondences, and equal values of
-records that both files hold decide which of them are renames.  The one table
-also joins selected names that are alike, unless the values speak against it.
+new one, starting from the likeness of their names and of a sketch of their
+values; the correspondences that it selects are the candidates for renames, and
+equal values of records that both files hold confirm them.  The one table also
+joins selected names that are alike, unless the values speak against it.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import json
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +21,23 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Distinct (file, signature) counters that a task holds before it emits them.
-HELD_SIGNATURES = 20_000
+from ..runtime import BROADCAST_ROWS, materialise
+
+#: Distinct (file, field) counters that a task holds before it emits them.
+HELD_FIELDS = 100_000
 ROUNDS, TOLERANCE = 50, 1e-4
+#: A pair is a candidate if its score is this part of the best of either field.
+RELATIVE = 0.4
+#: Least hashes of a field's values that its sketch keeps; the share of common ones that counts as full likeness.
+SKETCH, FULL_OVERLAP = 32, 0.25
 #: Likeness of names from which a correspondence that flooding selects is joined
 #: without equal values.  Scores shrink with the size of the graphs, so none is
 #: a bound for all.
 ALIKE = 0.6
+#: Parts that a file's lines are joined in where the fields under comparison are too many to broadcast.
+SALTS = 16
+#: Columns of the one table; fields beyond stay whole in its map ``other_fields``.
+MAX_COLUMNS = 2_000
 
 
 def _number(text: str) -> float | int:
@@ -60,73 +72,150 @@ def kind_of(value: object) -> str:
     return _KIND[type(value)]
 
 
-def _shape(o: dict, depth: int = 0) -> tuple:
-    """Names, types and nesting: (name, kind, inner shape) of each field."""
-    out = []
-    for k, v in o.items():
-        inner: tuple = ()
-        if depth < 2:
-            if type(v) is dict:
-                inner = _shape(v, depth + 1)
-            elif type(v) is list and v and type(v[0]) is dict:
-                inner = _shape(v[0], depth + 1)
-        out.append((k, _KIND[type(v)], inner))
-    return tuple(out)
+#: Marks beside an integer field's type: values beyond a double's exact range, and beyond 64 bits.
+LONG, WIDE = "integer>53", "integer>63"
+
+
+def _fields(o: dict) -> set[tuple[str, str, str]]:
+    """(parent, field, type) of every field at every depth; of an array's objects each counts."""
+    out = set()
+    todo: list[tuple[str, object]] = [("", o)]
+    while todo:
+        parent, node = todo.pop()
+        if type(node) is list:
+            todo += [(parent, v) for v in node if type(v) is dict or type(v) is list]
+            continue
+        for k, v in node.items():
+            t = type(v)
+            out.add((parent, k, _KIND[t]))
+            if t is dict or t is list:
+                todo.append((f"{parent}{k}\x1f", v))
+            elif t is int and not -(1 << 53) <= v <= 1 << 53:
+                out.add((parent, k, LONG if -(1 << 63) <= v < 1 << 63 else WIDE))
+    return out
 
 
-def _paths(shape: tuple, parent: str = "") -> Iterator[tuple[str, str, str]]:
-    for name, kind, inner in shape:
-        yield parent, name, kind
-        yield from _paths(inner, f"{parent}{name}\x1f")
+_CODE = {k: i for i, k in enumerate(_KIND.values())}
+
 
+def _hash(value: object) -> int:
+    """A bigint whose lowest three bits are the value's type."""
+    text = value if type(value) is str else json.dumps(value, sort_keys=True)
+    kind = _KIND[type(value)]
+    digest = xxhash.xxh3_64_intdigest(f"{kind}:{text}".encode("utf-8", "surrogatepass"))
+    return (digest & ~7 | _CODE[kind]) - (1 << 63)
 
-def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+_SCANNED = pa.schema(
+    [("part", pa.string()), ("file_stream", pa.string()), ("file_ts", pa.string()), ("file_name", pa.string()), ("line_no", pa.int64()),
+     ("rec", pa.int64()), ("held", pa.map_(pa.string(), pa.int64())), ("parent", pa.string()), ("field", pa.string()), ("kind", pa.string()),
+     ("n", pa.int64()), ("mins", pa.list_(pa.int64()))]
+)
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pass over the lines: hashed values of each line, counted fields of each file."""
     held: Counter = Counter()
+    sketch: dict[tuple, np.ndarray] = {}
 
-    def emit() -> pa.RecordBatch:
-        rows: Counter = Counter()
-        for (stream, ts, name, shape), n in held.items():
-            rows[stream, ts, name, None, None, None] += n
-            for parent, field, kind in _paths(shape or ()):
-                rows[stream, ts, name, parent, field, kind] += n
-        held.clear()
+    def out(part: str, size: int, **cols: pa.Array) -> pa.RecordBatch:
+        cols["part"] = pa.array([part] * size, pa.string())
+        return pa.RecordBatch.from_arrays([cols[f.name] if f.name in cols else pa.nulls(size, f.type) for f in _SCANNED], schema=_SCANNED)
+
+    def fields() -> pa.RecordBatch:
+        rows = [(*file, *f) for (file, f) in held]
         cols = list(zip(*rows)) or [[]] * 6
-        return pa.RecordBatch.from_arrays(
-            [*[pa.array(c, pa.string()) for c in cols], pa.array(list(rows.values()), pa.int64())],
-            names=["file_stream", "file_ts", "file_name", "parent", "field", "kind", "n"],
-        )
+        names = ["file_stream", "file_ts", "file_name", "parent", "field", "kind"]
+        mins = [sketch.get((r[:3], r[4], r[5])) if r[3] == "" else None for r in rows]
+        got = out(
+            "field", len(rows), n=pa.array(list(held.values()), pa.int64()), mins=pa.array(mins, pa.list_(pa.int64())),
+            **{c: pa.array(v, pa.string()) for c, v in zip(names, cols)},
+        )
+        held.clear()
+        sketch.clear()
+        return got
 
     for batch in batches:
-        stream, ts, name, payload = (c.to_pylist() for c in batch.columns)
-        for s, t, f, p in zip(stream, ts, name, payload):
+        stream, ts, name, line_no, payload = (c.to_pylist() for c in batch.columns)
+        files, nos, recs, keys, values, ends = [], [], [], [], [], [0]
+        seen: dict[tuple, list[int]] = {}
+        for s, t, f, no, p in zip(stream, ts, name, line_no, payload):
             o = parse_object(p)
-            held[s, t, f, None if o is None else _shape(o)] += 1
-        if len(held) > HELD_SIGNATURES:
-            yield emit()
-    if held:
-        yield emit()
+            file = (s, t, f)
+            held[file, (None, None, None)] += 1
+            if o is None:
+                continue
+            for x in _fields(o):
+                held[file, x] += 1
+            sub, idx = o.get("subtask"), o.get("idx")
+            for k, v in o.items():
+                if v is not None and k != "subtask" and k != "idx":
+                    h = _hash(v)
+                    seen.setdefault((file, k, _KIND[type(v)]), []).append(h)
+                    keys.append(k)
+                    values.append(h)
+            if sub is None or idx is None:
+                del keys[ends[-1] :], values[ends[-1] :]
+                continue
+            sub = str(sub).strip().lower().replace("-", "_")
+            files.append(f)
+            nos.append(no)
+            recs.append(xxhash.xxh3_64_intdigest(f"{sub}\x1f{idx}".encode("utf-8", "surrogatepass")) - (1 << 63))
+            ends.append(len(keys))
+        for at, hashes in seen.items():
+            every = np.unique(np.r_[np.array(hashes, np.int64), sketch.get(at, np.empty(0, np.int64))])
+            sketch[at] = every[:SKETCH]
+        if files:
+            maps = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.int64()))
+            yield out(
+                "line", len(files), file_name=pa.array(files, pa.string()), line_no=pa.array(nos, pa.int64()),
+                rec=pa.array(recs, pa.int64()), held=maps,
+            )
+        if len(held) > HELD_FIELDS:
+            yield fields()
+    yield fields()
+
+
+class Scan(NamedTuple):
+    """What one pass over the lines leaves: ``schemas`` of files and ``prints`` of lines."""
+
+    schemas: DataFrame
+    prints: DataFrame
+
+
+def scan(lines: DataFrame) -> Scan:
+    """Parse the lines once.
+
+    ``schemas``: one row per file, ``file_stream, file_ts, file_name, fields``;
+    fields has (parent, field, kind, n, mins) of every field at any depth, of
+    each object of an array; parent is empty at the top, where mins sketches the
+    values.  ``prints``: file_name, line_no, rec (the hashed subtask and idx) and
+    the hashed top-level values of each line that has both.
+
+    Lines that aren't a complete JSON object count for no field, as do those
+    nested too deep for the parser.  Lines without file_stream or file_name
+    belong to no file and are left out.
+    """
+    src = lines.where(F.col("file_name").isNotNull() & F.col("file_stream").isNotNull()).select(
+        "file_stream", F.col("file_ts").cast("string").alias("file_ts"), "file_name", F.col("line_no").cast("bigint").alias("line_no"), "payload"
+    )
+    kind = (
+        "part string, file_stream string, file_ts string, file_name string, line_no bigint, rec bigint, held map<string,bigint>, "
+        "parent string, field string, kind string, n bigint, mins array<bigint>"
+    )
+    got = materialise(src.mapInArrow(_scan, kind), "scan", by="part")
+    by = ["file_stream", "file_ts", "file_name"]
+    counted = got.where("part = 'field'").groupBy(*by, "parent", "field", "kind").agg(
+        F.sum("n").alias("n"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("mins")))), 1, SKETCH).alias("mins")
+    )
+    one = F.when(F.col("field").isNotNull(), F.struct("parent", "field", "kind", "n", "mins"))
+    schemas = materialise(counted.groupBy(*by).agg(F.collect_list(one).alias("fields")), "schemas")
+    return Scan(schemas, got.where("part = 'line'").select("file_name", "line_no", "rec", "held"))
 
 
 def file_schemas(lines: DataFrame) -> DataFrame:
-    """One row per file: ``file_stream, file_ts, file_name, fields``.
-
-    ``fields`` has (parent, field, kind, n) of every field at up to two levels
-    of nesting; parent is empty at the top.  Lines that aren't a complete JSON
-    object count for no field.  Lines without file_stream or file_name belong
-    to no file and are left out.
-    """
-    counted = (
-        lines.where(F.col("file_name").isNotNull() & F.col("file_stream").isNotNull())
-        .select("file_stream", "file_ts", "file_name", "payload")
-        .mapInArrow(
-            _profile,
-            "file_stream string, file_ts string, file_name string, parent string, field string, kind string, n bigint",
-        )
-        .groupBy("file_stream", "file_ts", "file_name", "parent", "field", "kind")
-        .agg(F.sum("n").alias("n"))
-    )
-    one = F.when(F.col("field").isNotNull(), F.struct("parent", "field", "kind", "n"))
-    return counted.groupBy("file_stream", "file_ts", "file_name").agg(F.collect_list(one).alias("fields"))
+    """The schema of each file, see :func:`scan`."""
+    return scan(lines).schemas
 
 
 def _grams(name: str) -> set[str]:
@@ -139,12 +228,16 @@ def name_likeness(a: str, b: str) -> float:
     return 2 * len(x & y) / (len(x) + len(y))
 
 
-def flood(a: list[tuple[str, str, str]], b: list[tuple[str, str, str]]) -> dict[tuple[str, str], float]:
+def flood(
+    a: list[tuple[str, str, str]], b: list[tuple[str, str, str]], overlap: dict[tuple[str, str], float] | None = None
+) -> dict[tuple[str, str], float]:
     """Similarity flooding over two schema graphs.
 
     ``a`` and ``b`` list (parent, field, kind).  Nodes are the root, each field
-    and each kind; edges are ``child`` and ``kind``.  Returns the converged
-    score of every pair of top-level fields, at most 1.
+    and each kind; edges are ``child`` and ``kind``.  ``overlap`` is the
+    likeness of the values of pairs of top-level fields, from which a pair
+    starts where its names are less alike.  Returns the converged score of every
+    pair of top-level fields, at most 1.
     """
 
     def graph(s: list[tuple[str, str, str]]) -> tuple[list[str], dict[str, np.ndarray], list[str]]:
@@ -166,7 +259,7 @@ def flood(a: list[tuple[str, str, str]], b: list[tuple[str, str, str]]) -> dict[
             if x[0] == "\x1e" or y[0] == "\x1e":
                 start[i, j] = float(x == y)
             else:
-                start[i, j] = max(0.01, name_likeness(x.rpartition("\x1f")[2], y.rpartition("\x1f")[2]))
+                start[i, j] = max(0.01, name_likeness(x.rpartition("\x1f")[2], y.rpartition("\x1f")[2]), (overlap or {}).get((x, y), 0.0))
 
     def shared(m: np.ndarray, axis: int) -> np.ndarray:
         total = m.sum(axis=axis, keepdims=True)
@@ -195,42 +288,65 @@ def select(scores: dict[tuple[str, str], float]) -> dict[str, str]:
     chosen = {x: x for x in left & right}
     used = set(chosen)
     for (x, y), _ in sorted(scores.items(), key=lambda kv: (-kv[1], kv[0])):
-        if x not in chosen and y not in used:
+        if x not in chosen and y not in used and scores[x, y] > 0:
             chosen[x] = y
             used.add(y)
     return chosen
 
 
-_CHANGES = "file_stream string, file_name string, prev_name string, field string, drift string, old_field string, score double, chosen boolean, old_kinds string, new_kinds string"
+def candidates(scores: dict[tuple[str, str], float], gone: list[str], fresh: list[str]) -> set[tuple[str, str]]:
+    """The selection of correspondences to be confirmed by values.
 
+    A vanished and a new field are kept if their score is near the best of
+    either (RELATIVE), so that one field may match several new ones; a pair
+    without a score is none.
+    """
+    best_x = {x: max(scores[x, y] for y in fresh) for x in gone}
+    best_y = {y: max(scores[x, y] for x in gone) for y in fresh}
+    return {(x, y) for x in gone for y in fresh if 0 < scores[x, y] >= RELATIVE * max(best_x[x], best_y[y])}
+
+
+def _overlap(a: set[int], b: set[int]) -> float:
+    """Likeness of two sketches: the share of common values among the least of both, scaled.
+
+    Files that follow each other share part of their records only, so a share
+    of FULL_OVERLAP is as good as an equal name.
+    """
+    least = sorted(a | b)[:SKETCH]
+    return min(1.0, sum(h in a and h in b for h in least) / (FULL_OVERLAP * len(least))) if least else 0.0
+
+
+_CHANGES = "file_stream string, file_name string, prev_name string, field string, drift string, old_field string, score double, chosen boolean, old_kinds string, new_kinds string"
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: dict = {}
-    for batch in batches:
-        out = []
-        for row in batch.to_pylist():
-            old = tuple(sorted((f["parent"], f["field"], f["kind"]) for f in row["prev_fields"]))
-            new = tuple(sorted((f["parent"], f["field"], f["kind"]) for f in row["fields"]))
-            if (old, new) not in seen:
-                if len(seen) > 500:
-                    seen.clear()
-                seen[old, new] = _changes(old, new)
-            out += [(row["file_stream"], row["file_name"], row["prev_name"], *c) for c in seen[old, new]]
-        cols = list(zip(*out)) or [[]] * 10
-        kinds = [pa.string()] * 6 + [pa.float64(), pa.bool_(), pa.string(), pa.string()]
-        names = [c.split()[0] for c in _CHANGES.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
-
-
-def _changes(old: tuple, new: tuple) -> list[tuple]:
-    def kinds(s: tuple) -> dict[str, set]:
-        out: dict[str, set] = {}
-        for p, f, k in s:
-            if not p:
-                out.setdefault(f, set()).add(k)
-        return {f: k - {"null"} for f, k in out.items()}
 
-    a, b = kinds(old), kinds(new)
+def _compare(exact: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                out += [(row["file_stream"], row["file_name"], row["prev_name"], *c) for c in _changes(row["prev_fields"], row["fields"], exact)]
+            cols = list(zip(*out)) or [[]] * 10
+            kinds = [pa.string()] * 6 + [pa.float64(), pa.bool_(), pa.string(), pa.string()]
+            names = [c.split()[0] for c in _CHANGES.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+
+    return run
+
+
+def _changes(old: list[dict], new: list[dict], exact: bool = False) -> list[tuple]:
+    """Changes of the top-level fields; pairs that may be renames are ``renamed?``."""
+
+    def read(fields: list[dict]) -> tuple[list[tuple[str, str, str]], dict[str, set], dict[str, set]]:
+        graph = sorted((f["parent"], f["field"], f["kind"]) for f in fields if f["kind"] in _CODE)
+        kinds: dict[str, set] = {}
+        mins: dict[str, set] = {}
+        for f in fields:
+            if not f["parent"] and f["kind"] in _CODE:
+                kinds.setdefault(f["field"], set()).add(f["kind"])
+                mins.setdefault(f["field"], set()).update(f["mins"] or ())
+        return graph, {f: k - {"null"} for f, k in kinds.items()}, mins
+
+    (graph_a, a, mins_a), (graph_b, b, mins_b) = read(old), read(new)
     text = lambda k: "|".join(sorted(k))
     out = [
         (f, "retyped", f, 1.0, True, text(a[f]), text(b[f])) for f in sorted(a.keys() & b.keys()) if a[f] and b[f] and a[f] != b[f]
@@ -239,140 +355,133 @@ def _changes(old: tuple, new: tuple) -> list[tuple]:
     out += [(f, "added", None, None, None, None, text(b[f])) for f in fresh]
     out += [(f, "removed", f, None, None, text(a[f]), None) for f in gone]
     if gone and fresh:
-        scores = flood(list(old), list(new))
+        scores = flood(graph_a, graph_b, {(x, y): _overlap(mins_a[x], mins_b[y]) for x in gone for y in fresh})
         chosen = select(scores)
-        out += [(y, "renamed?", x, scores[x, y], chosen.get(x) == y, text(a[x]), text(b[y])) for x in gone for y in fresh]
+        kept = {(x, y) for x in gone for y in fresh} if exact else candidates(scores, gone, fresh)
+        out += [(y, "renamed?", x, scores[x, y], chosen.get(x) == y, text(a[x]), text(b[y])) for x, y in sorted(kept)]
     return out
 
 
-_CODE = {k: i for i, k in enumerate(_KIND.values())}
-
-
-def _hash(value: object) -> int:
-    """A bigint whose lowest three bits are the value's type."""
-    text = value if type(value) is str else json.dumps(value, sort_keys=True)
-    kind = _KIND[type(value)]
-    digest = xxhash.xxh3_64_intdigest(f"{kind}:{text}".encode("utf-8", "surrogatepass"))
-    return (digest & ~7 | _CODE[kind]) - (1 << 63)
-
-
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        file_name, line_no, payload = (c.to_pylist() for c in batch.columns)
-        files, nos, keys, names, values, ends = [], [], [], [], [], [0]
-        for f, n, p in zip(file_name, line_no, payload):
-            o = parse_object(p)
-            if o is None or o.get("subtask") is None or o.get("idx") is None:
-                continue
-            subtask = str(o["subtask"]).strip().lower().replace("-", "_")
-            files.append(f)
-            nos.append(n)
-            keys.append(xxhash.xxh3_64_intdigest(f"{subtask}\x1f{o['idx']}".encode("utf-8", "surrogatepass")) - (1 << 63))
-            for k, v in o.items():
-                if v is not None and k != "subtask" and k != "idx":
-                    names.append(k)
-                    values.append(_hash(v))
-            ends.append(len(names))
-        each = pa.StructArray.from_arrays(
-            [pa.array(names, pa.string()), pa.array(values, pa.int64())], names=["field", "value"]
-        )
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(files, pa.string()),
-                pa.array(nos, pa.int64()),
-                pa.array(keys, pa.int64()),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each),
-            ],
-            names=["file_name", "line_no", "rec", "held"],
-        )
-
-
 def _adjacent(schemas: DataFrame) -> DataFrame:
-    """Each file's fields beside those of the stream's previous file."""
+    """Each file's fields beside those of the stream's previous file.
+
+    The window holds the names of a stream's files only; their fields are joined.
+    """
     order = Window.partitionBy("file_stream").orderBy(F.col("file_ts").asc_nulls_first(), "file_name")
-    return (
-        schemas.withColumn("prev_name", F.lag("file_name").over(order))
-        .withColumn("prev_fields", F.lag("fields").over(order))
-        .where(F.col("prev_name").isNotNull())
-        .select("file_stream", "file_name", "prev_name", "fields", "prev_fields")
+    names = schemas.select("file_stream", "file_ts", "file_name")
+    before = names.withColumn("prev_name", F.lag("file_name").over(order)).withColumn("prev_ts", F.lag("file_ts").over(order))
+    own = schemas.select("file_stream", "file_ts", "file_name", "fields")
+    prev = schemas.select(
+        "file_stream", F.col("file_ts").alias("prev_ts"), F.col("file_name").alias("prev_name"), F.col("fields").alias("prev_fields")
+    )
+    p, o = before.where("prev_name is not null").alias("p"), own.alias("o")
+    same = (F.col("p.file_stream") == F.col("o.file_stream")) & F.col("p.file_ts").eqNullSafe(F.col("o.file_ts"))
+    got = p.join(o, same & (F.col("p.file_name") == F.col("o.file_name"))).select("p.*", "o.fields").alias("g")
+    v = prev.alias("v")
+    same = (F.col("g.file_stream") == F.col("v.file_stream")) & F.col("g.prev_ts").eqNullSafe(F.col("v.prev_ts"))
+    return got.join(v, same & (F.col("g.prev_name") == F.col("v.prev_name"))).select(
+        "g.file_stream", "g.file_name", "g.prev_name", "g.fields", "v.prev_fields"
     )
 
 
-def schema_changes(lines: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
+def schema_changes(lines: DataFrame | Scan, exact: bool = False) -> DataFrame:
     """Changes of top-level fields against the stream's previous file.
 
-    Input: ``file_stream, file_ts, file_name, line_no, payload``.  Files of a
-    stream follow each other by (file_ts, file_name); a null file_ts is first.
-    Result: ``file_stream, file_name, prev_name, field, drift, old_field, score,
-    old_kinds, new_kinds`` where drift is ``added``, ``removed``, ``retyped`` or
-    ``renamed`` (field = the new name) and score is the flooding's.
+    Input: ``file_stream, file_ts, file_name, line_no, payload``, or their
+    :func:`scan`.  Files of a stream follow each other by (file_ts, file_name);
+    a null file_ts is first.  Result: ``file_stream, file_name, prev_name, field,
+    drift, old_field, score, old_kinds, new_kinds`` where drift is ``added``,
+    ``removed``, ``retyped`` or ``renamed`` (field = the new name) and score is
+    the flooding's.
 
-    A new and a vanished field are one renamed field if their values, of one
-    type, are equal in more than half of the records, by (subtask, idx), that
-    both files hold with non-null values; every vanished field is compared with
-    every new one, so no rename is lost to its score, which orders them.  Of
-    lines with one (subtask, idx) in a file the last line's value counts.
+    A new and a vanished field are one renamed field if flooding selects the
+    pair (:func:`candidates`) and their values, of one type, are equal in more
+    than half of the records, by (subtask, idx), that both files hold with
+    non-null values.  ``exact`` asks the values of every pair, whatever its
+    score.  Of lines with one (subtask, idx) in a file the last line's value
+    counts.
 
     Defined cases: null, empty and broken lines and lines of other JSON values
     count for no field; repeated lines change nothing; a file without any whole
     object has no fields; an empty table gives no rows; other columns are
     ignored, whatever their names.
 
-    ``schemas``: the lines' :func:`file_schemas`, where they are at hand.
-
-    Scale: lines shrink to counted signatures in their task; windows run over
-    files, not lines; of the values only hashes of fields under comparison are
-    shuffled, by record.
+    Scale: lines are parsed once and shrink to counted fields in their task;
+    windows run over files' names, not lines; of the values only hashes of
+    fields under comparison are shuffled, by record.
     """
-    return decided(compared(lines, schemas))
+    return decided(compared(lines, exact))
 
 
-def compared(lines: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
-    """The changes before renames are decided.
+def compared(lines: DataFrame | Scan, exact: bool = False) -> DataFrame:
+    """The changes before renames are decided, as a written table.
 
     A vanished and a new field are ``renamed?`` here, beside ``added`` and
-    ``removed``, with ``chosen`` (flooding selects the pair) and the numbers of
-    shared records: ``both`` with values on both sides, ``alike`` with values
-    of one type, ``same`` with equal ones; null where no record is shared.
+    ``removed``, with ``chosen`` (flooding selects the pair one to one) and the
+    numbers of shared records: ``both`` with values on both sides, ``alike``
+    with values of one type, ``same`` with equal ones; null where no record is
+    shared.
     """
-    raw = lines.select("file_stream", F.col("file_ts").cast("string"), "file_name", F.col("line_no").cast("bigint"), "payload")
-    changes = _adjacent(file_schemas(raw) if schemas is None else schemas).mapInArrow(_compare, _CHANGES)
+    known = lines if isinstance(lines, Scan) else scan(lines)
+    changes = materialise(_adjacent(known.schemas).mapInArrow(_compare(exact), _CHANGES), "changes")
     tried = changes.where(F.col("drift") == "renamed?")
-    sides = F.array(
-        F.struct(F.col("prev_name").alias("file_name"), F.lit(0).alias("side"), F.col("old_field").alias("field")),
-        F.struct(F.col("file_name").alias("file_name"), F.lit(1).alias("side"), F.col("field").alias("field")),
-    )
-    wanted = (
-        tried.select(F.col("file_name").alias("pair"), F.explode(sides).alias("s"))
-        .select("pair", "s.*")
-        .groupBy("file_name", "pair", "side")
-        .agg(F.collect_set("field").alias("fields"))
+    pair = [F.col("file_name").alias("pair"), F.col("old_field").alias("was_name"), F.col("field").alias("now_name")]
+    wanted = tried.select(F.col("prev_name").alias("file_name"), F.lit(0).alias("side"), F.col("old_field").alias("name"), *pair).unionByName(
+        tried.select(F.col("file_name"), F.lit(1).alias("side"), F.col("field").alias("name"), *pair)
     )
-    prints = raw.where(F.col("file_name").isNotNull()).select("file_name", "line_no", "payload").mapInArrow(
-        _fingerprints, "file_name string, line_no bigint, rec bigint, held array<struct<field:string,value:bigint>>"
+    prints = known.prints
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        met = prints.join(F.broadcast(wanted), "file_name")
+    else:  # a large file's lines are spread over the join's tasks
+        salted = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = prints.withColumn("_salt", F.pmod("rec", F.lit(SALTS)).cast("int")).join(salted, ["file_name", "_salt"])
+    value = met.select("pair", "was_name", "now_name", "rec", "side", "line_no", F.col("held")[F.col("name")].alias("value")).where(
+        "value is not null"
     )
-    held = (
-        prints.join(wanted, "file_name")
-        .select(
-            "pair", "side", "rec", "line_no",
-            F.explode(F.filter("held", lambda x: F.array_contains(F.col("fields"), x["field"]))).alias("h"),
-        )
-        .groupBy("pair", "rec", "side", F.col("h.field").alias("field"))
-        .agg(F.max_by("h.value", F.struct("line_no", "h.value")).alias("value"))
-    )
-    old = held.where("side = 0").select("pair", "rec", F.col("field").alias("old_field"), F.col("value").alias("was"))
-    new = held.where("side = 1").select("pair", "rec", "field", "value")
+    last = lambda side: F.max(F.when(F.col("side") == side, F.struct("line_no", "value")))["value"]
+    each = value.groupBy("pair", "was_name", "now_name", "rec").agg(last(0).alias("was"), last(1).alias("now"))
     kind = lambda c: F.col(c).bitwiseAND(7)
     counts = (
-        old.join(new, ["pair", "rec"])
-        .groupBy("pair", "old_field", "field")
-        .agg(
-            F.count("*").alias("both"), F.count_if(kind("value") == kind("was")).alias("alike"),
-            F.count_if(F.col("value") == F.col("was")).alias("same"),
+        each.where("was is not null and now is not null")
+        .groupBy("pair", "was_name", "now_name")
+        .agg(F.count("*").alias("both"), F.count_if(kind("was") == kind("now")).alias("alike"), F.count_if(F.col("was") == F.col("now")).alias("same"))
+        .select(
+            F.col("pair").alias("file_name"), F.col("was_name").alias("old_field"), F.col("now_name").alias("field"),
+            F.lit("renamed?").alias("drift"), "both", "alike", "same",
         )
-        .select(F.col("pair").alias("file_name"), "old_field", "field", F.lit("renamed?").alias("drift"), "both", "alike", "same")
     )
-    return changes.join(counts, ["file_name", "old_field", "field", "drift"], "left")
+    return materialise(changes.join(counts, ["file_name", "old_field", "field", "drift"], "left"), "drift")
+
+
+def nested_changes(lines: DataFrame | Scan) -> DataFrame:
+    """Fields below the top level that are added, removed or retyped against the stream's previous file.
+
+    ``file_stream, file_name, prev_name, path, drift, old_kinds, new_kinds``;
+    path joins the names by ``.``.  Fields below one that is new or gone itself
+    are listed as well.
+    """
+    schemas = (lines if isinstance(lines, Scan) else scan(lines)).schemas
+    inner = lambda c: F.filter(c, lambda f: (f["parent"] != "") & f["kind"].isin(*_CODE))
+    both = _adjacent(schemas).select(
+        "file_stream", "file_name", "prev_name",
+        F.concat(
+            F.transform(inner("prev_fields"), lambda f: F.struct(f["parent"], f["field"], f["kind"], F.lit(0).alias("side"))),
+            F.transform(inner("fields"), lambda f: F.struct(f["parent"], f["field"], f["kind"], F.lit(1).alias("side"))),
+        ).alias("f"),
+    )
+    flat = both.select("file_stream", "file_name", "prev_name", F.explode("f").alias("f"))
+    path = F.concat(F.translate(F.col("f.parent"), "\x1f", "."), F.col("f.field")).alias("path")
+    kinds = lambda side: F.array_join(
+        F.array_sort(F.collect_set(F.when((F.col("f.side") == side) & (F.col("f.kind") != "null"), F.col("f.kind")))), "|"
+    )
+    got = flat.groupBy("file_stream", "file_name", "prev_name", path).agg(
+        F.max(F.col("f.side") == 0).alias("_was"), F.max(F.col("f.side") == 1).alias("_is"), kinds(0).alias("old_kinds"), kinds(1).alias("new_kinds")
+    )
+    told = (F.col("old_kinds") != "") & (F.col("new_kinds") != "") & (F.col("old_kinds") != F.col("new_kinds"))
+    drift = F.when(~F.col("_was"), "added").when(~F.col("_is"), "removed").when(told, "retyped")
+    return got.withColumn("drift", drift).where("drift is not null").select(
+        "file_stream", "file_name", "prev_name", "path", "drift", "old_kinds", "new_kinds"
+    )
 
 
 def decided(changes: DataFrame) -> DataFrame:
@@ -411,34 +520,35 @@ def _selected(tried: DataFrame) -> list[tuple[str, str]]:
     return [(x, y) for *_, x, y in sorted(out)]
 
 
-def canonical_names(changes: DataFrame, schemas: DataFrame, tried: DataFrame | None = None) -> dict[str, tuple[str, str]]:
+def canonical_names(tried: DataFrame, schemas: DataFrame) -> dict[str, tuple[str, str]]:
     """Each field name's name and type in the one consistent table.
 
-    Works on distinct names, of which a schema has few, not on files: renames
-    are joined, the best attested first, then the names that flooding selected
-    for each other between adjacent files if they are alike (:data:`ALIKE`), as
-    for fields that are renamed and retyped at once or share no records, unless
-    two names of one field occur together in a file.  The name that most files
-    have stands for the field.
+    ``tried``: the lines' :func:`compared`.  Renames are joined, the best
+    attested first, then the names that flooding selected for each other between
+    adjacent files if they are alike (:data:`ALIKE`), as for fields that are
+    renamed and retyped at once or share no records, unless two names of one
+    field occur together in a file.  The name that most files have stands for
+    the field.
 
-    ``tried``: the lines' :func:`compared`, whose values may refute a selected
-    pair; without it flooding runs here and no values are asked.
+    Works on distinct names: the MAX_COLUMNS that most files have, as a table
+    can't have more columns; rarer names stay in the table's map of other fields.
     """
     fields = schemas.select("file_name", F.explode("fields").alias("f")).where("f.parent = ''")
     kinds = fields.groupBy("f.field").agg(F.collect_set("f.kind").alias("kinds"), F.count_distinct("file_name").alias("n"))
-    known = {r["field"]: (set(r["kinds"]) - {"null"}, r["n"]) for r in kinds.collect()}
-    proven = changes.where("drift = 'renamed'").groupBy("old_field", "field").count().collect()
+    top = kinds.orderBy(F.desc("n"), "field").limit(MAX_COLUMNS).collect()
+    known = {r["field"]: (set(r["kinds"]) - {"null"}, r["n"]) for r in top}
+    # no more than the pairs of known names
+    pairs = tried.where(F.col("field").isin(list(known)) & F.col("old_field").isin(list(known)))
+    proven = decided(pairs).where("drift = 'renamed'").groupBy("old_field", "field").count().collect()
     edges = [(e["old_field"], e["field"]) for e in sorted(proven, key=lambda e: (-e["count"], e["old_field"], e["field"]))]
-    if tried is None:
-        none = F.lit(None).cast("bigint")
-        tried = _adjacent(schemas).mapInArrow(_compare, _CHANGES).withColumns({"alike": none, "same": none})
-    edges += [e for e in _selected(tried) if e not in edges]
+    edges += [e for e in _selected(pairs) if e not in edges]
     ends = sorted({x for e in edges for x in e})
-    together = set()
+    together: set[tuple[str, str]] = set()
     if ends:
         own = fields.where(F.col("f.field").isin(ends)).select("file_name", F.col("f.field").alias("field")).distinct()
-        sets = own.groupBy("file_name").agg(F.array_sort(F.collect_set("field")).alias("s")).groupBy("s").count().collect()
-        together = {(x, y) for r in sets for x in r["s"] for y in r["s"] if x != y}
+        met = own.alias("a").join(own.alias("b"), (F.col("a.file_name") == F.col("b.file_name")) & (F.col("a.field") < F.col("b.field")))
+        for r in met.select("a.field", F.col("b.field").alias("other")).distinct().collect():
+            together |= {(r["field"], r["other"]), (r["other"], r["field"])}
     group = {f: {f} for f in known}
     for old, new in edges:
         x, y = group[old], group[new]
@@ -450,8 +560,15 @@ def canonical_names(changes: DataFrame, schemas: DataFrame, tried: DataFrame | N
     for f in known:
         name = min(group[f], key=lambda g: (-known[g][1], g))
         every = set().union(*(known[g][0] for g in group[f]))
-        kind = {frozenset(["integer"]): "bigint", frozenset(["boolean"]): "boolean"}.get(frozenset(every))
-        out[f] = (name, kind or ("double" if every and every <= {"integer", "decimal"} else "string"))
+        plain = every - {LONG, WIDE}
+        kind = "string"
+        if plain == {"boolean"}:
+            kind = "boolean"
+        elif plain == {"integer"} and WIDE not in every:
+            kind = "bigint"
+        elif plain and plain <= {"integer", "decimal"} and plain == every:
+            kind = "double"
+        out[f] = (name, kind)
     return out
 
 
@@ -460,12 +577,16 @@ def unified_table(lines: DataFrame, names: dict[str, tuple[str, str]]) -> DataFr
 
     ``status`` is ``ok``, ``empty`` (null or blank) or ``broken``; the latter two
     have nulls for every field.  Nested values and values of mixed types become
-    text, nested ones as JSON.  Columns whose names equal one of the line's own
-    get the suffix ``_field``.
+    text, nested ones as JSON; so do integers beyond 64 bits, and integers that
+    a double can't hold where decimals occur.  The map ``other_fields`` keeps, as
+    text, what has no place in the columns: fields without a name in ``names``,
+    values that don't fit their column's type, and the value of a second name
+    where two names of one field meet in a line.  Columns whose names equal one
+    of the line's own get the suffix ``_field``.
     """
     own = ["line_id", "file_name", "line_no", "status"]
     cols = sorted({v for v in names.values()})
-    used = {o.lower() for o in own}
+    used = {o.lower() for o in [*own, "other_fields"]}
     label, seen = {}, {}
     for c, _ in cols:
         base = f"{c}_field" if c.lower() in used else c
@@ -474,35 +595,43 @@ def unified_table(lines: DataFrame, names: dict[str, tuple[str, str]]) -> DataFr
     kinds = {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
     target = dict(cols)
 
-    def cast(v: object, kind: str) -> object:
-        if v is None:
-            return None
+    def text(v: object) -> str:
+        return v if type(v) is str else json.dumps(v, ensure_ascii=False)
+
+    def fits(v: object, kind: str) -> bool:
         if kind == "bigint":
-            return v if -(1 << 63) <= v < 1 << 63 else None
+            return type(v) is int and -(1 << 63) <= v < 1 << 63
         if kind == "double":
-            return float(v)
-        if kind == "boolean" or type(v) is str:
-            return v
-        return json.dumps(v, ensure_ascii=False)
+            return type(v) is float or type(v) is int and -(1 << 53) <= v <= 1 << 53
+        return kind == "string" or type(v) is bool
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {c: [] for c, _ in cols}
-            status = []
+            status, other = [], []
             for p in batch.column(3).to_pylist():
                 o = parse_object(p)
                 status.append("ok" if o is not None else "broken" if p and p.strip() else "empty")
                 got: dict[str, object] = {}
+                rest: list[tuple[str, str]] = []
                 for k, v in (o or {}).items():
-                    if k in names and (got.get(c := names[k][0]) is None):
-                        got[c] = cast(v, target[c])
+                    if v is None:
+                        continue
+                    c = names[k][0] if k in names else None
+                    if c is None or c in got or not fits(v, target[c]):
+                        rest.append((k, text(v)))
+                    else:
+                        got[c] = text(v) if target[c] == "string" else float(v) if target[c] == "double" else v
                 for c, _ in cols:
                     out[c].append(got.get(c))
-            arrays = [*batch.columns[:3], pa.array(status, pa.string()), *[pa.array(out[c], kinds[k]) for c, k in cols]]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*own, *[label[c] for c, _ in cols]])
+                other.append(rest or None)
+            maps = pa.array(other, pa.map_(pa.string(), pa.string()))
+            arrays = [*batch.columns[:3], pa.array(status, pa.string()), *[pa.array(out[c], kinds[k]) for c, k in cols], maps]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*own, *[label[c] for c, _ in cols], "other_fields"])
 
     schema = ", ".join(
-        ["line_id bigint", "file_name string", "line_no bigint", "status string", *[f"`{label[c]}` {k}" for c, k in cols]]
-    )
+        ["line_id bigint", "file_name string", "line_no bigint", "status string", *[f"`{label[c]}` {k}" for c, k in cols],
+         "other_fields map<string,string>"]
+    )
     source = lines.select(F.col("line_id").cast("bigint"), "file_name", F.col("line_no").cast("bigint"), "payload")
     return source.mapInArrow(read, schema)

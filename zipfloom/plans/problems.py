@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import drift, nested, references
-from ..runtime import materialise, same_name, same_name_sql, table
+from ..runtime import same_name, same_name_sql, table
 
 
 def _misses(spark: SparkSession, d: str) -> DataFrame:
@@ -53,16 +53,26 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_changes(spark: SparkSession, d: str) -> DataFrame:
-    """The changes with the previous file, old names, kinds and flooding scores."""
-    return drift.schema_changes(table(spark, d, "raw_line").select(*_LINES)).withColumn("score", F.round("score", 6))
+    """The changes with the previous file, old names and kinds."""
+    return drift.schema_changes(table(spark, d, "raw_line").select(*_LINES)).drop("score")
+
+
+def p2_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The correspondences that flooding selects, their scores and the values that confirm or refute them."""
+    tried = drift.compared(table(spark, d, "raw_line").select(*_LINES)).where("drift = 'renamed?'")
+    return tried.select("file_name", "prev_name", "old_field", "field", F.round("score", 6).alias("score"), "chosen", "both", "alike", "same")
+
+
+def p2_nested(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of fields below the top level."""
+    return drift.nested_changes(table(spark, d, "raw_line").select(*_LINES))
 
 
 def p2_table(spark: SparkSession, d: str) -> DataFrame:
     """All lines as one consistent table."""
     lines = table(spark, d, "raw_line").select(*_LINES)
-    schemas = materialise(drift.file_schemas(lines), "schemas")
-    tried = materialise(drift.compared(lines, schemas), "drift")
-    return drift.unified_table(lines, drift.canonical_names(drift.decided(tried), schemas, tried))
+    scanned = drift.scan(lines)
+    return drift.unified_table(lines, drift.canonical_names(drift.compared(scanned), scanned.schemas))
 
 
 def _nodes(spark: SparkSession, d: str, payload: bool) -> DataFrame:
@@ -95,7 +105,7 @@ def p4_aggregates(spark: SparkSession, d: str) -> DataFrame:
     return got.select("*", *[F.round(c, 6).alias(f"{c}_r") for c in ("mean", "median", "min")]).drop("mean", "median", "min")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_changes, p2_table, p4_found, p4_swaps, p4_preps, p4_aggregates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_changes, p2_scores, p2_nested, p2_table, p4_found, p4_swaps, p4_preps, p4_aggregates)}
 
 _KEY = same_name_sql
 
@@ -154,15 +164,29 @@ gone AS (SELECT p.file_name, p.prev, s.k FROM pairs p JOIN sch s ON s.file_name
 one AS (SELECT file_name, k, sub, idx, arg_max(kind || ':' || v::VARCHAR, line_no) AS v FROM vals WHERE kind IS NOT NULL AND sub IS NOT NULL AND idx IS NOT NULL GROUP BY ALL),
 ren AS (SELECT f.file_name, f.k AS new, g.k AS old FROM fresh f JOIN gone g USING (file_name) JOIN one a ON a.file_name = f.file_name AND a.k = f.k
         JOIN one b ON b.file_name = f.prev AND b.k = g.k AND a.sub = b.sub AND a.idx = b.idx GROUP BY ALL HAVING count(*) FILTER (a.v = b.v) * 2 > count(*))
-SELECT DISTINCT file_name, new AS field, 'renamed' AS drift FROM ren
+"""
+_FOUND = """SELECT DISTINCT file_name, new AS field, 'renamed' AS drift FROM ren
 UNION ALL SELECT file_name, k, 'added' FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM ren r WHERE r.file_name = f.file_name AND r.new = f.k)
 UNION ALL SELECT file_name, k, 'removed' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM ren r WHERE r.file_name = g.file_name AND r.old = g.k)
 UNION ALL SELECT p.file_name, a.k, 'retyped' FROM pairs p JOIN sch a USING (file_name) JOIN sch b ON b.file_name = p.prev AND b.k = a.k
   WHERE len(a.kinds) > 0 AND len(b.kinds) > 0 AND a.kinds <> b.kinds
 """
 
+_CHANGED = """, f AS (SELECT DISTINCT p.*, i.file_stream FROM pairs p JOIN files i USING (file_name) WHERE p.prev IS NOT NULL),
+k AS (SELECT file_name, k, coalesce(array_to_string(kinds, '|'), '') AS kinds FROM sch)
+SELECT f.file_stream, f.file_name, f.prev AS prev_name, r.new AS field, 'renamed' AS drift, r.old AS old_field, a.kinds AS old_kinds, b.kinds AS new_kinds
+  FROM (SELECT file_name, new, min(old) AS old FROM ren GROUP BY ALL) r JOIN f USING (file_name) JOIN k a ON a.file_name = f.prev AND a.k = r.old JOIN k b ON b.file_name = f.file_name AND b.k = r.new
+UNION ALL SELECT f.file_stream, f.file_name, f.prev, g.k, 'added', NULL, NULL, b.kinds FROM fresh g JOIN f USING (file_name) JOIN k b ON b.file_name = f.file_name AND b.k = g.k
+  WHERE NOT EXISTS (SELECT 1 FROM ren r WHERE r.file_name = g.file_name AND r.new = g.k)
+UNION ALL SELECT f.file_stream, f.file_name, f.prev, g.k, 'removed', g.k, a.kinds, NULL FROM gone g JOIN f USING (file_name) JOIN k a ON a.file_name = f.prev AND a.k = g.k
+  WHERE NOT EXISTS (SELECT 1 FROM ren r WHERE r.file_name = g.file_name AND r.old = g.k)
+UNION ALL SELECT f.file_stream, f.file_name, f.prev, a.k, 'retyped', a.k, b.kinds, a.kinds FROM f JOIN k a USING (file_name) JOIN k b ON b.file_name = f.prev AND b.k = a.k
+  WHERE a.kinds <> '' AND b.kinds <> '' AND a.kinds <> b.kinds
+"""
+
 ORACLES = {
-    "p2_found": _DRIFT,
+    "p2_found": _DRIFT + _FOUND,
+    "p2_changes": _DRIFT + _CHANGED,
     "p4_found": _NODES,
     "p1_found": f"SELECT DISTINCT table_name, rec_id FROM ({_PAIR_CASES})",
     "p1_report": f"""SELECT table_name, strftime(ref_at, '%Y-%m') AS month, reason, count(*) AS n_refs

@@ -83,11 +83,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as a table in the shared folder and read it."""
+def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` as a table in the shared folder and read it.
+
+    ``by``: a column of few values that the files are told apart by, so that a
+    filter on it reads its own files only.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/zipfloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
