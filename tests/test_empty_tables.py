@@ -33,4 +33,4 @@ def hollow(spark, sf, tmp_path_factory):
 @pytest.mark.parametrize("name", sorted(problems.QUERIES))
 def test_only_nulls(spark, hollow, name):
     got = problems.QUERIES[name](spark, hollow).collect()
-    assert got == [] or name == "p2_table"
+    assert got == [] or name in ("p2_table", "p4_records")  # a line, a record without a key

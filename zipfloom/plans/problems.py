@@ -75,37 +75,54 @@ def p2_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.unified_table(lines, drift.canonical_names(drift.compared(scanned), scanned.schemas))
 
 
-def _nodes(spark: SparkSession, d: str, payload: bool) -> DataFrame:
-    typed = nested.nodes_of_column(
-        table(spark, d, "generated_pair").select("record_id", "meta", "written_at"),
-        "record_id", "meta", "written_at", payload=payload,
-    )
-    lines = nested.nodes_of_lines(table(spark, d, "raw_line").select("line_id", "payload"), payload=payload)
-    return nested.flat_tables(typed, "generated_pair").unionByName(nested.flat_tables(lines, "raw_line"))
+_RECORDS = ("record_id", "meta", "written_at")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Every nested child of the records and lines."""
-    return _nodes(spark, d, payload=False)
+    typed = nested.keys_of_column(table(spark, d, "generated_pair").select(*_RECORDS), *_RECORDS)
+    lines = nested.keys_of_lines(table(spark, d, "raw_line").select("line_id", "payload"))
+    cols = ["table_name", "rec_id", "child", "child_key"]
+    both = typed.withColumn("table_name", F.lit("generated_pair")).unionByName(lines.withColumn("table_name", F.lit("raw_line")))
+    return both.select(*cols)
+
+
+def _tables(spark: SparkSession, d: str) -> DataFrame:
+    """All flat tables, visited and written once."""
+    typed = nested.rows_of_column(table(spark, d, "generated_pair").select(*_RECORDS), *_RECORDS)
+    lines = nested.rows_of_lines(table(spark, d, "raw_line").select("line_id", "payload"))
+    both = typed.withColumn("table_name", F.lit("generated_pair")).unionByName(lines.withColumn("table_name", F.lit("raw_line")))
+    return nested.write_tables(both)
+
+
+def p4_records(spark: SparkSession, d: str) -> DataFrame:
+    """The records and lines themselves, parents of the other tables."""
+    got = nested.flat_table(_tables(spark, d), "record")
+    return got.withColumn("n_other", F.coalesce(F.size("rest"), F.lit(0))).drop("rest", "child", "child_key", "parent_key")
 
 
 def p4_swaps(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of swaps, tied to records and lines."""
-    return nested.typed_table(_nodes(spark, d, payload=True), "swaps")
+    return nested.flat_table(_tables(spark, d), "swaps").drop("rest")
 
 
 def p4_preps(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of prepositions within swaps, tied to their swap."""
-    return nested.typed_table(_nodes(spark, d, payload=True), "preps")
+    return nested.flat_table(_tables(spark, d), "preps").drop("rest")
 
 
 def p4_aggregates(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of per-role frequency aggregates."""
-    got = nested.typed_table(_nodes(spark, d, payload=True), "aggregates")
-    return got.select("*", *[F.round(c, 6).alias(f"{c}_r") for c in ("mean", "median", "min")]).drop("mean", "median", "min")
+    got = nested.flat_table(_tables(spark, d), "aggregates")
+    return got.select("*", *[F.round(c, 6).alias(f"{c}_r") for c in ("mean", "median", "min")]).drop("mean", "median", "min", "rest")
+
+
+def p4_unplaced(spark: SparkSession, d: str) -> DataFrame:
+    """Nested fields that no flat table's schema has a place for, or that have another type."""
+    return nested.unplaced(_tables(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_changes, p2_scores, p2_nested, p2_table, p4_found, p4_swaps, p4_preps, p4_aggregates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_changes, p2_scores, p2_nested, p2_table, p4_found, p4_records, p4_swaps, p4_preps, p4_aggregates, p4_unplaced)}
 
 _KEY = same_name_sql
 
@@ -142,7 +159,8 @@ pr AS (SELECT id, k, i, CASE json_type(p) WHEN 'OBJECT' THEN [p] WHEN 'ARRAY' TH
        FROM (SELECT id, k, i, json_extract(e, '$.preps') AS p FROM el WHERE json_type(e) = 'OBJECT')),
 pe AS (SELECT id, k, i, unnest(a) AS e, generate_subscripts(a, 1) - 1 AS n FROM pr),
 zk AS (SELECT id, v, unnest(json_keys(v)) AS z FROM kv WHERE k = 'zipf_swapped_position_aggregates' AND json_type(v) = 'OBJECT')
-SELECT 'generated_pair' AS table_name, id AS rec_id, child, i::VARCHAR AS child_key FROM arr WHERE e IS NOT NULL
+"""
+_KEYS = """SELECT 'generated_pair' AS table_name, id AS rec_id, child, i::VARCHAR AS child_key FROM arr WHERE e IS NOT NULL
 UNION ALL SELECT 'generated_pair', id, 'zipf_swapped_position_aggregates', k FROM mp WHERE v IS NOT NULL
 UNION ALL SELECT 'raw_line', id, k, i::VARCHAR FROM el WHERE json_type(e) <> 'NULL'
 UNION ALL SELECT 'raw_line', id, k || '.preps', i || '.' || n FROM pe WHERE json_type(e) <> 'NULL'
@@ -184,10 +202,35 @@ UNION ALL SELECT f.file_stream, f.file_name, f.prev, a.k, 'retyped', a.k, b.kind
   WHERE a.kinds <> '' AND b.kinds <> '' AND a.kinds <> b.kinds
 """
 
+
+
+def _json(e: str, field: str, kind: str) -> str:
+    """A field of a JSON value where it has the schema's type."""
+    types = {"int": "'BIGINT', 'UBIGINT'", "string": "'VARCHAR'", "double": "'BIGINT', 'UBIGINT', 'DOUBLE'"}[kind]
+    return f"CASE WHEN json_type({e}, '$.{field}') IN ({types}) THEN ({e} ->> '$.{field}'){'' if kind == 'string' else '::' + kind} END AS {field}"
+
+
+_WORDS = ["old", "new", "tag", "lemma", "pos"]
+_SWAPS = f"""SELECT 'generated_pair' AS table_name, id AS rec_id, child, i::VARCHAR AS child_key, '' AS parent_key, e.i::INT AS i,
+  {", ".join(f"e.{w} AS {w}" for w in _WORDS)}, NULL AS frame FROM arr WHERE e IS NOT NULL
+UNION ALL SELECT 'raw_line', id, k, i::VARCHAR, '', {_json("e", "i", "int")}, {", ".join(_json("e", w, "string") for w in [*_WORDS, "frame"])}
+FROM el WHERE json_type(e) <> 'NULL'"""
+_PREPS = f"""SELECT 'raw_line' AS table_name, id AS rec_id, k || '.preps' AS child, i || '.' || n AS child_key, i::VARCHAR AS parent_key,
+  {_json("e", "i", "int")}, {_json("e", "old", "string")}, {_json("e", "new", "string")} FROM pe WHERE json_type(e) <> 'NULL'"""
+_MEANS = ["mean", "median", "min"]
+_AGGS = f"""SELECT table_name, rec_id, child, child_key, '' AS parent_key, n, oov_count, {", ".join(f"round({m}, 6) AS {m}_r" for m in _MEANS)} FROM (
+  SELECT 'generated_pair' AS table_name, id AS rec_id, 'zipf_swapped_position_aggregates' AS child, k AS child_key, v.n::INT AS n, v.oov_count::INT AS oov_count,
+    v.mean AS mean, v.median AS median, v.min AS min FROM mp WHERE v IS NOT NULL
+  UNION ALL SELECT 'raw_line', id, 'zipf_swapped_position_aggregates', z, {_json("e", "n", "int")}, {_json("e", "oov_count", "int")},
+    {", ".join(_json("e", m, "double") for m in _MEANS)} FROM (SELECT id, z, json_extract(v, '$."' || z || '"') AS e FROM zk) WHERE json_type(e) <> 'NULL')"""
+
 ORACLES = {
+    "p4_swaps": _NODES + _SWAPS,
+    "p4_preps": _NODES + _PREPS,
+    "p4_aggregates": _NODES + _AGGS,
     "p2_found": _DRIFT + _FOUND,
     "p2_changes": _DRIFT + _CHANGED,
-    "p4_found": _NODES,
+    "p4_found": _NODES + _KEYS,
     "p1_found": f"SELECT DISTINCT table_name, rec_id FROM ({_PAIR_CASES})",
     "p1_report": f"""SELECT table_name, strftime(ref_at, '%Y-%m') AS month, reason, count(*) AS n_refs
         FROM (SELECT DISTINCT * FROM ({_PAIR_CASES})) GROUP BY ALL""",
