@@ -198,7 +198,8 @@ def test_without_flooding_renames_are_lost(spark, monkeypatch):
 
 def test_every_depth_and_every_element():
     deep = {"a": [{"x": 1}, {"y": {"z": [[{"w": "t"}]]}}]}
-    assert {(p.replace("\x1f", "."), f, k) for p, f, k in D._fields(deep)} == {
+    names = D._Names()
+    assert {(p.replace("\x1f", "."), f, k) for p, f, k in (names.entries[i] for i in names.of(deep))} == {
         ("", "a", "array"), ("a.", "x", "integer"), ("a.", "y", "object"), ("a.y.", "z", "array"), ("a.y.z.", "w", "string")}
 
 

@@ -11,6 +11,7 @@ joins selected names that are alike, unless the values speak against it.
 from __future__ import annotations
 
 import json
+import re
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -51,7 +52,11 @@ def _no_constant(text: str):
     raise ValueError(text)
 
 
-_DECODER = json.JSONDecoder(parse_float=_number, parse_constant=_no_constant)
+_DECODER = json.JSONDecoder(parse_constant=_no_constant)
+#: For lines that may hold numbers with an exponent, which are decimals only if written with a point.
+_EXPONENTS = json.JSONDecoder(parse_float=_number, parse_constant=_no_constant)
+_EXPONENT = re.compile(r"[0-9][eE][-+0-9]")
+_ENCODE = json.JSONEncoder(sort_keys=True).encode
 
 
 def parse_object(payload: str | None) -> dict | None:
@@ -59,7 +64,7 @@ def parse_object(payload: str | None) -> dict | None:
     if not payload:
         return None
     try:
-        got = _DECODER.decode(payload)
+        got = (_EXPONENTS if _EXPONENT.search(payload) else _DECODER).decode(payload)
     except (ValueError, RecursionError):
         return None
     return got if isinstance(got, dict) else None
@@ -76,23 +81,51 @@ def kind_of(value: object) -> str:
 LONG, WIDE = "integer>53", "integer>63"
 
 
-def _fields(o: dict) -> set[tuple[str, str, str]]:
-    """(parent, field, type) of every field at every depth; of an array's objects each counts."""
-    out = set()
-    todo: list[tuple[str, object]] = [("", o)]
-    while todo:
-        parent, node = todo.pop()
-        if type(node) is list:
-            todo += [(parent, v) for v in node if type(v) is dict or type(v) is list]
-            continue
-        for k, v in node.items():
-            t = type(v)
-            out.add((parent, k, _KIND[t]))
-            if t is dict or t is list:
-                todo.append((f"{parent}{k}\x1f", v))
-            elif t is int and not -(1 << 53) <= v <= 1 << 53:
-                out.add((parent, k, LONG if -(1 << 63) <= v < 1 << 63 else WIDE))
-    return out
+class _Names:
+    """Numbers for (parent, field, type), so that a line's fields are counted as integers."""
+
+    def __init__(self) -> None:
+        self.entries: list[tuple[str, str, str]] = []
+        self.parents: list[str] = [""]
+        self.below: list[dict] = [{}]  # of each parent: field -> type -> number, and None -> number as a parent
+
+    def _enter(self, parent: int, field: str, kind: str) -> int:
+        self.entries.append((self.parents[parent], field, kind))
+        return len(self.entries) - 1
+
+    def of(self, o: dict) -> set[int]:
+        """Every field at every depth; of an array's objects each counts."""
+        out = set()
+        todo: list[tuple[int, object]] = [(0, o)]
+        while todo:
+            parent, node = todo.pop()
+            if type(node) is list:
+                todo += [(parent, v) for v in node if type(v) is dict or type(v) is list]
+                continue
+            fields = self.below[parent]
+            for k, v in node.items():
+                t = type(v)
+                known = fields.get(k)
+                if known is None:
+                    known = fields[k] = {}
+                i = known.get(t)
+                if i is None:
+                    i = known[t] = self._enter(parent, k, _KIND[t])
+                out.add(i)
+                if t is dict or t is list:
+                    if v:
+                        child = known.get(None)
+                        if child is None:
+                            child = known[None] = len(self.parents)
+                            self.parents.append(f"{self.parents[parent]}{k}\x1f")
+                            self.below.append({})
+                        todo.append((child, v))
+                elif t is int and not -(1 << 53) <= v <= 1 << 53:
+                    mark = LONG if -(1 << 63) <= v < 1 << 63 else WIDE
+                    if mark not in known:
+                        known[mark] = self._enter(parent, k, mark)
+                    out.add(known[mark])
+        return out
 
 
 _CODE = {k: i for i, k in enumerate(_KIND.values())}
@@ -100,7 +133,7 @@ _CODE = {k: i for i, k in enumerate(_KIND.values())}
 
 def _hash(value: object) -> int:
     """A bigint whose lowest three bits are the value's type."""
-    text = value if type(value) is str else json.dumps(value, sort_keys=True)
+    text = value if type(value) is str else _ENCODE(value)
     kind = _KIND[type(value)]
     digest = xxhash.xxh3_64_intdigest(f"{kind}:{text}".encode("utf-8", "surrogatepass"))
     return (digest & ~7 | _CODE[kind]) - (1 << 63)
@@ -115,7 +148,8 @@ _SCANNED = pa.schema(
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One pass over the lines: hashed values of each line, counted fields of each file."""
-    held: Counter = Counter()
+    names = _Names()
+    held: dict[tuple, Counter] = {}
     sketch: dict[tuple, np.ndarray] = {}
 
     def out(part: str, size: int, **cols: pa.Array) -> pa.RecordBatch:
@@ -123,30 +157,32 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([cols[f.name] if f.name in cols else pa.nulls(size, f.type) for f in _SCANNED], schema=_SCANNED)
 
     def fields() -> pa.RecordBatch:
-        rows = [(*file, *f) for (file, f) in held]
+        none = (None, None, None)
+        rows = [(*file, *(none if i < 0 else names.entries[i])) for file, c in held.items() for i in c]
         cols = list(zip(*rows)) or [[]] * 6
-        names = ["file_stream", "file_ts", "file_name", "parent", "field", "kind"]
+        labels = ["file_stream", "file_ts", "file_name", "parent", "field", "kind"]
         mins = [sketch.get((r[:3], r[4], r[5])) if r[3] == "" else None for r in rows]
         got = out(
-            "field", len(rows), n=pa.array(list(held.values()), pa.int64()), mins=pa.array(mins, pa.list_(pa.int64())),
-            **{c: pa.array(v, pa.string()) for c, v in zip(names, cols)},
+            "field", len(rows), n=pa.array([n for c in held.values() for n in c.values()], pa.int64()), mins=pa.array(mins, pa.list_(pa.int64())),
+            **{c: pa.array(v, pa.string()) for c, v in zip(labels, cols)},
         )
         held.clear()
         sketch.clear()
         return got
 
     for batch in batches:
-        stream, ts, name, line_no, payload = (c.to_pylist() for c in batch.columns)
+        stream, ts, file_name, line_no, payload = (c.to_pylist() for c in batch.columns)
         files, nos, recs, keys, values, ends = [], [], [], [], [], [0]
         seen: dict[tuple, list[int]] = {}
-        for s, t, f, no, p in zip(stream, ts, name, line_no, payload):
+        for s, t, f, no, p in zip(stream, ts, file_name, line_no, payload):
             o = parse_object(p)
             file = (s, t, f)
-            held[file, (None, None, None)] += 1
+            counts = held.get(file)
+            if counts is None:
+                counts = held[file] = Counter({-1: 0})
             if o is None:
                 continue
-            for x in _fields(o):
-                held[file, x] += 1
+            counts.update(names.of(o))
             sub, idx = o.get("subtask"), o.get("idx")
             for k, v in o.items():
                 if v is not None and k != "subtask" and k != "idx":
@@ -171,8 +207,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "line", len(files), file_name=pa.array(files, pa.string()), line_no=pa.array(nos, pa.int64()),
                 rec=pa.array(recs, pa.int64()), held=maps,
             )
-        if len(held) > HELD_FIELDS:
+        if sum(map(len, held.values())) > HELD_FIELDS:
             yield fields()
+            names = _Names()
     yield fields()
 
 
