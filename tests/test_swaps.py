@@ -4,6 +4,7 @@ import pytest
 
 from zipfloom.operators import parsing as P
 from zipfloom.operators import swaps as S
+from zipfloom.operators import targets as X
 
 
 def sent(*rows):
@@ -19,42 +20,42 @@ WOMAN = sent("The/the/DET/DT/det/2", "old/old/ADJ/JJ/amod/2", "woman/woman/NOUN/
 
 
 def test_targets_on_a_given_parse():
-    assert P.reflexive_subjects(WOMAN) == {2: ("female", True)}
-    assert [t.text for t in P.noun_targets(WOMAN)] == ["woman"]
-    assert [t.text for t in P.adjective_targets(WOMAN)] == ["old"]
-    v = P.verb_targets(WOMAN)[0]
+    assert X.reflexive_subjects(WOMAN) == {2: ("female", True)}
+    assert [t.text for t in X.noun_targets(WOMAN)] == ["woman"]
+    assert [t.text for t in X.adjective_targets(WOMAN)] == ["old"]
+    v = X.verb_targets(WOMAN)[0]
     assert (v.kind, v.lemma, v.clause) == ("trans", "see", False)
 
 
 def test_frames():
     s = sent("He/he/PRON/PRP/nsubj/1", "gave/give/VERB/VBD/ROOT/1", "her/she/PRON/PRP/dative/1", "it/it/PRON/PRP/dobj/1")
-    assert P.sentence_frame(s, s.tokens[1])[0] == "ditrans" and P.corpus_frame(s, s.tokens[1]) == ("trans", None)
+    assert X.sentence_frame(s, s.tokens[1])[0] == "ditrans" and X.corpus_frame(s, s.tokens[1]) == ("trans", None)
     s = sent("She/she/PRON/PRP/nsubj/1", "sat/sit/VERB/VBD/ROOT/1", "down/down/ADP/RP/prt/1")
-    assert P.sentence_frame(s, s.tokens[1])[0] == "intr_particle" and P.corpus_frame(s, s.tokens[1]) == ("intr", None)
+    assert X.sentence_frame(s, s.tokens[1])[0] == "intr_particle" and X.corpus_frame(s, s.tokens[1]) == ("intr", None)
     s = sent("It/it/PRON/PRP/nsubj/1", "lay/lie/VERB/VBD/ROOT/1", "near/near/ADP/IN/prep/1", "it/it/PRON/PRP/pobj/2")
-    assert P.sentence_frame(s, s.tokens[1])[0] == "intr_pp" and P.corpus_frame(s, s.tokens[1]) == ("intr_pp", "near")
+    assert X.sentence_frame(s, s.tokens[1])[0] == "intr_pp" and X.corpus_frame(s, s.tokens[1]) == ("intr_pp", "near")
     s = sent("I/i/PRON/PRP/nsubj/1", "know/know/VERB/VBP/ROOT/1", "that/that/SCONJ/IN/mark/4", "he/he/PRON/PRP/nsubj/4", "left/leave/VERB/VBD/ccomp/1")
-    v = P.verb_targets(s)[0]
+    v = X.verb_targets(s)[0]
     assert v.clause and v.that and v.wh is None
     s = sent("It/it/PRON/PRP/nsubjpass/2", "was/be/AUX/VBD/auxpass/2", "seen/see/VERB/VBN/ROOT/2")
-    assert P.passive_head(s).text == "seen"
+    assert X.passive_head(s).text == "seen"
 
 
 def test_rejected_nouns():
     s = sent("A/a/DET/DT/det/1", "lot/lot/NOUN/NN/nsubj/3", "of/of/ADP/IN/prep/1", "ran/run/VERB/VBD/ROOT/3")
-    assert P.noun_targets(s) == []
+    assert X.noun_targets(s) == []
     s = sent("Rome/Rome/NOUN/NN/nsubj/1", "fell/fall/VERB/VBD/ROOT/1")
-    assert P.noun_targets(s) == []
+    assert X.noun_targets(s) == []
     s = sent("Oxen/ox/NOUN/NNS/nsubj/1", "fell/fall/VERB/VBD/ROOT/1")
-    assert [t.text for t in P.noun_targets(s)] == ["Oxen"]
+    assert [t.text for t in X.noun_targets(s)] == ["Oxen"]
 
 
 def test_control_adjectives_and_forced_frames():
     s = sent("He/he/PRON/PRP/nsubj/1", "is/be/AUX/VBZ/ROOT/1", "eager/eager/ADJ/JJ/acomp/1", "to/to/PART/TO/aux/4", "go/go/VERB/VB/xcomp/2")
-    assert [t.text for t in P.control_adjectives(s)] == ["eager"]
-    assert P.forced_frame("argument_structure", "causative", "bad", "trans") == ("intr", True)
-    assert P.forced_frame("argument_structure", "drop_argument", "bad", "intr_pp") == ("intr_pp", False)
-    assert P.forced_frame("x", "causative", "bad", "trans") == ("trans", False)
+    assert [t.text for t in X.control_adjectives(s)] == ["eager"]
+    assert X.forced_frame("argument_structure", "causative", "bad", "trans") == ("intr", True)
+    assert X.forced_frame("argument_structure", "drop_argument", "bad", "intr_pp") == ("intr_pp", False)
+    assert X.forced_frame("x", "causative", "bad", "trans") == ("trans", False)
 
 
 def model_align(good, bad):

@@ -19,6 +19,7 @@ from ..functions.wordlists import CONTROL_POOLS, control_adjective_pools, raisin
 from ..runtime import materialise
 from . import choice
 from . import parsing as P
+from . import targets as X
 
 #: Candidates that each slot draws at first; the first that fits is taken.
 TRIES = 8
@@ -50,7 +51,7 @@ def _pool_of(kind: str, pools: set[str], prep: str | None = None, particle: str
     return None
 
 
-def _verb_pool(v: P.VerbTarget, kind: str, pools: set[str]) -> str | None:
+def _verb_pool(v: X.VerbTarget, kind: str, pools: set[str]) -> str | None:
     """The pool of a verb target: by its clause's marker where it embeds one, else by its frame."""
     if v.clause:
         for name in [*([f"verb:clause:{v.wh}"] if v.wh else []), "verb:clause"]:
@@ -97,37 +98,37 @@ def find_slots(good: str, bad: str, parser: P.Parser, pools: set[str], phenomeno
 
     control = phenomenon == "control_raising"
     if "verb" in stages and phenomenon != "irregular_forms":
-        head = (P.passive_head(g), P.passive_head(b)) if subtask in ("passive_1", "passive_2") else (None, None)
+        head = (X.passive_head(g), X.passive_head(b)) if subtask in ("passive_1", "passive_2") else (None, None)
         if all(head):
             x, y = head
             if not add("verb", _pool_of("trans", pools), x, y, x.tag, y.tag, x.lemma.lower(), x.lemma.lower()):
                 reasons.append("verb_swap_failed")
         else:
 
-            def verb_slot(x: P.VerbTarget, y: P.VerbTarget) -> tuple:
+            def verb_slot(x: X.VerbTarget, y: X.VerbTarget) -> tuple:
                 if control and x.lemma != y.lemma:  # the verbs that the contrast is about
                     return "verb", raising_verb_pool(subtask), x.token, y.token, x.tag, y.tag, x.lemma, x.lemma, _pool_of("control", pools) or _pool_of("trans", pools)
-                kind, _ = P.forced_frame(phenomenon, subtask, "good", x.kind)
-                bad_kind, _ = P.forced_frame(phenomenon, subtask, "bad", y.kind)
+                kind, _ = X.forced_frame(phenomenon, subtask, "good", x.kind)
+                bad_kind, _ = X.forced_frame(phenomenon, subtask, "bad", y.kind)
                 if phenomenon == "argument_structure" and bad_kind != kind:
                     return "verb", _verb_pool(x, kind, pools), x.token, y.token, x.tag, y.tag, x.lemma, x.lemma, _verb_pool(y, bad_kind, pools)
                 return "verb", _verb_pool(x, kind, pools), x.token, y.token, x.tag, y.tag, x.lemma, x.lemma
 
             # a particle verb without a pool of its particle stays, and the others of its sentence are swapped
-            gs, bs = ([v for v in P.verb_targets(s) if v.particle is None or _verb_pool(v, v.kind, pools)] for s in (g, b))
+            gs, bs = ([v for v in X.verb_targets(s) if v.particle is None or _verb_pool(v, v.kind, pools)] for s in (g, b))
             stage("verb", gs, bs, lambda v: (v.lemma, v.token.text, verb_slot), zip_rest=True)
     taken = {s["g"] for s in slots}, {s["b"] for s in slots}
     if "noun" in stages:
-        bound_g, bound_b = P.reflexive_subjects(g), P.reflexive_subjects(b)
+        bound_g, bound_b = X.reflexive_subjects(g), X.reflexive_subjects(b)
 
         def noun_slot(x: P.Token, y: P.Token) -> tuple:
             gender, animate = bound_g.get(x.i) or bound_b.get(y.i) or (None, False)
-            person = animate or P.is_ex_compound(g, x)
+            person = animate or X.is_ex_compound(g, x)
             pool = f"noun:{gender}" if gender and f"noun:{gender}" in pools else "noun:person" if person else "noun"
-            return "noun", pool, x, y, P.noun_tag(x), P.noun_tag(y), f"{x.lemma.lower()}/{pool}", x.lemma.lower()
+            return "noun", pool, x, y, X.noun_tag(x), X.noun_tag(y), f"{x.lemma.lower()}/{pool}", x.lemma.lower()
 
-        gs = [t for t in P.noun_targets(g, bound_g) if t.i not in taken[0]]
-        bs = [t for t in P.noun_targets(b, bound_b) if t.i not in taken[1]]
+        gs = [t for t in X.noun_targets(g, bound_g) if t.i not in taken[0]]
+        bs = [t for t in X.noun_targets(b, bound_b) if t.i not in taken[1]]
         stage("noun", gs, bs, lambda t: (t.lemma.lower(), t.text, noun_slot))
     if "adj" in stages and phenomenon != "irregular_forms":
         good_pool, bad_pool = control_adjective_pools(subtask) if control else ("adj", "adj")
@@ -136,7 +137,7 @@ def find_slots(good: str, bad: str, parser: P.Parser, pools: set[str], phenomeno
         def adj_slot(x: P.Token, y: P.Token) -> tuple:
             return "adj", good_pool, x, y, tag(x), tag(y), x.lemma.lower(), x.lemma.lower(), bad_pool
 
-        find = lambda s: P.adjective_targets(s) + (P.control_adjectives(s) if control else [])
+        find = lambda s: X.adjective_targets(s) + (X.control_adjectives(s) if control else [])
         stage("adj", find(g), find(b), lambda t: (t.lemma.lower(), t.text, adj_slot), zip_rest=control)
     return slots, reasons
 

@@ -393,6 +393,7 @@ def document_frames(spark, d, lexicon=None):
     sentences' prepositions with and without an object, particles.
     """
     from ..operators import parsing as P
+    from ..operators import targets as X
 
     lexicon = tag_lexicon(spark, d) if lexicon is None else lexicon
     preps, verbs, marks = set(_PREPS), set(_VERBS), set(".,!?;:")
@@ -414,7 +415,7 @@ def document_frames(spark, d, lexicon=None):
                     text += w if not text or w in marks else f" {w}"
                     if w in (".", "!", "?") or i == ends:
                         s = P.Sentence(parser.parse(text))
-                        found = ((t, P.corpus_frame(s, t)) for t in s.tokens if t.pos == "VERB")
+                        found = ((t, X.corpus_frame(s, t)) for t in s.tokens if t.pos == "VERB")
                         new |= {(t.lemma.lower(), *f, None) for t, f in found if f and f[1]}
                         text = ""
             yield pd.DataFrame(sorted(new - seen, key=str), columns=["lemma", "kind", "prep", "particle"])
@@ -503,6 +504,7 @@ def g12_generate(spark, d):
 def t3_targets(spark, d):
     """Frames of the source sentences' verbs, counted."""
     from ..operators import parsing as P
+    from ..operators import targets as X
 
     lexicon = tag_lexicon(spark, d)
 
@@ -511,7 +513,7 @@ def t3_targets(spark, d):
         for pdf in parts:
             rows = []
             for text in pdf["sentence_good"]:
-                for v in P.verb_targets(P.Sentence(parser.parse(text))):
+                for v in X.verb_targets(P.Sentence(parser.parse(text))):
                     rows.append((v.lemma, v.kind, v.prep.low if v.prep else None))
             yield pd.DataFrame(rows, columns=["lemma", "kind", "prep"])
 
@@ -522,6 +524,7 @@ def t3_targets(spark, d):
 def a25_frames(spark, d):
     """Frames of the documents' verbs: tokens and documents of each (lemma, frame, prep)."""
     from ..operators import parsing as P
+    from ..operators import targets as X
 
     lexicon = tag_lexicon(spark, d)
 
@@ -532,7 +535,7 @@ def a25_frames(spark, d):
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
                 s = P.Sentence(parser.parse(text))
                 for t in s.tokens:
-                    if t.pos == "VERB" and (got := P.corpus_frame(s, t)):
+                    if t.pos == "VERB" and (got := X.corpus_frame(s, t)):
                         rows.append((doc, t.lemma.lower(), *got))
             yield pd.DataFrame(rows, columns=["doc_id", "lemma", "frame", "prep"])
 
