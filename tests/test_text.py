@@ -85,3 +85,22 @@ def test_inflection():
     assert I.normal_noun("leaders") == "leader" and I.normal_noun("glass") == "glass"
     assert I.countable("table") and not I.countable("kindness") and not I.countable("water", "MASS") and not I.countable("Rome")
     assert I.token_count("ex-wife") == 3 and I.token_count("ab", lambda s: list(s)) == 3
+
+
+FORMS = """make VBD made; bring VBD brought; sing VBN sung; put VBD put; get VBD got; teach VBD taught; admit VBD admitted; fly VBZ flies; fly VBN flown;
+open VBG opening; stop VBG stopping; die VBG dying; panic VBD panicked; refer VBG referring; offer VBG offering; go VBZ goes; carry VBD carried; play VBD played;
+potato NNS potatoes; quiz NNS quizzes; shelf NNS shelves; bookshelf NNS bookshelves; sheep NNS sheep; deer NNS deer; human NNS humans; german NNS germans;
+fireman NNS firemen; housewife NNS housewives; grandchild NNS grandchildren; hypothesis NNS hypotheses; photo NNS photos; roof NNS roofs;
+good JJR better; bad JJS worst; big JJR bigger; happy JJS happiest; nice JJR nicer; simple JJS simplest; red JJR redder"""
+
+
+def test_forms():
+    for lemma, tag, form in (x.split() for x in FORMS.split(";")):
+        assert I.inflect(lemma, tag) == form
+    assert [I.inflect(w, "JJR") for w in ("famous", "golden", "tired", "vivid")] == [None] * 4
+    assert len(I.IRREGULAR_VERBS) > 130 and all(I.inflect(b, t) == f for b, fs in I.IRREGULAR_VERBS.items() for t, f in zip(("VBD", "VBN"), fs))
+
+
+def test_plurals_lead_back():
+    words = set(I.IRREGULAR_PLURALS) | set("city boy box church watch dish judge page prize hero zoo key house nose horse size case virus campus status bus rose glass cause".split())
+    assert {w for w in words if I.singularise(I.pluralise(w)) != w} <= {"axis"}
