@@ -242,3 +242,48 @@ def test_frames_of_documents_are_those_of_the_operators(spark, sf):
     want |= {(r["verb"].removesuffix("ed"), "intr_particle", None, r["particle"]) for r in C.verb_particles(X.tokens(spark, sf)).collect()}
     rows = [tuple(r) for r in X.document_frames(spark, sf).collect()]
     assert want and set(rows) == want and len(rows) == len(want)
+
+
+LEXICON = {w: (t, l) for w, t, l in (x.split("/") for x in (
+    "boy/NN/boy book/NN/book girl/NN/girl gave/VBD/give said/VBD/say left/VBD/leave wants/VBZ/want leave/VB/leave sat/VBD/sit picked/VBD/pick saw/VBD/see "
+    "teacher/NN/teacher sad/JJ/sad seen/VBN/see table/NN/table knew/VBD/know").split())}
+
+
+def parsed(text):
+    return P.Sentence(P.RuleParser(LEXICON).parse(text))
+
+
+def deps(text):
+    s = parsed(text)
+    return {(t.text, t.dep, (s.at(t.head) or t).text) for t in s.tokens}
+
+
+def test_the_rule_parser_tells_arguments():
+    assert {("boy", "iobj", "gave"), ("book", "dobj", "gave"), ("girl", "nsubj", "gave")} <= deps("The girl gave the boy a book.")
+    assert {("that", "mark", "left"), ("left", "ccomp", "said"), ("boy", "nsubj", "left")} <= deps("The girl said that the boy left.")
+    assert {("to", "aux", "leave"), ("leave", "xcomp", "wants")} <= deps("The girl wants to leave.")
+    assert {("down", "prt", "sat")} <= deps("The girl sat down.")
+    assert {("up", "prt", "picked"), ("book", "dobj", "picked")} <= deps("The girl picked the book up.")
+    assert {("eager", "acomp", "is"), ("leave", "xcomp", "eager"), ("to", "aux", "leave")} <= deps("The boy is eager to leave.")
+    assert {("saw", "relcl", "boy"), ("left", "ROOT", "left")} <= deps("The boy who saw the girl left.")
+    assert {("boy", "nsubjpass", "seen"), ("was", "auxpass", "seen"), ("girl", "pobj", "by")} <= deps("The boy was seen by the girl.")
+
+
+def test_targets_through_the_rule_parser():
+    assert [t.text for t in X.control_adjectives(parsed("The boy is eager to leave."))] == ["eager"]
+    kinds = {v.lemma: (v.kind, v.clause, v.particle.low if v.particle else None) for t in (
+        "The girl gave the boy a book.", "The girl said that the boy left.", "The teacher sat down.") for v in X.verb_targets(parsed(t))}
+    assert kinds == {"give": ("ditrans", False, None), "say": ("intr", True, None), "leave": ("intr", False, None), "sit": ("intr_particle", False, "down")}
+
+
+def test_reasons_of_rejection():
+    s = parsed("A lot of books saw Rome and many sad boys.")
+    reasons = {t.text: r for t, r in X.verdicts(s, X.NOUN_RULES)}
+    assert reasons["lot"] == "quantifier" and reasons["sad"] == "no_common_noun" and reasons["boys"] is None
+    assert {t.text: r for t, r in X.verdicts(s, X.ADJECTIVE_RULES)}["many"] in ("no_modifier", "closed_class")
+
+
+def test_forced_targets():
+    s = parsed("The girl gave the boy a book.")
+    got = X.forced_targets(s, [{"i": 2, "lemma": "Hand", "kind": "trans"}, {"i": 2}, {"i": 99}, {"i": None}])
+    assert [(v.token.text, v.tag, v.kind, v.lemma) for v in got] == [("gave", "VBD", "trans", "hand")]
