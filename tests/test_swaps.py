@@ -287,3 +287,33 @@ def test_forced_targets():
     s = parsed("The girl gave the boy a book.")
     got = X.forced_targets(s, [{"i": 2, "lemma": "Hand", "kind": "trans"}, {"i": 2}, {"i": 99}, {"i": None}])
     assert [(v.token.text, v.tag, v.kind, v.lemma) for v in got] == [("gave", "VBD", "trans", "hand")]
+
+
+def test_forms_of_a_table_go_before_the_rules(spark):
+    forms = spark.createDataFrame([("apple", "NN", "appel"), ("apple", "NNS", "appelz"), ("table", "NN", "tabel"), ("city", "NN", None)], "lemma string, tag string, form string")
+    got = run(spark, 2, forms=forms, stages=("noun",))[0]
+    by = {(s["lemma"], s["tag"]): s["new"] for s in [*got["g_swaps"], *got["b_swaps"]]}
+    known = {("apple", "NN"): "appel", ("apple", "NNS"): "appelz", ("table", "NN"): "tabel", ("table", "NNS"): "tables", ("city", "NN"): "city", ("city", "NNS"): "cities"}
+    assert by and all(v.lower() == known[k] for k, v in by.items())
+    whole = run(spark, 2, forms=forms, stages=("noun",), fits=lambda old, new: new.startswith("appel"))[0]
+    assert {s["new"].lower() for s in whole["g_swaps"]} <= {"appel", "appelz"}
+
+
+def test_a_large_lexicon_travels_with_the_rows(spark, sf):
+    from zipfloom.operators import lexicon as L
+    from zipfloom.plans import corpus as C
+
+    swaps = C._swaps(spark, sf)
+    small, large = L.tag_lexicon(swaps), L.tag_lexicon(swaps, most=3)
+    assert large.known is None and len(small.known) == large.table.count() > 3
+    rows = lambda x: {tuple(r) for r in C.document_frames(spark, sf, x).collect()}
+    assert rows(small) == rows(large)
+    pairs = spark.createDataFrame([("s", i, "p", "The silent ladders near the violin avoided the baker.", "The silent ladders near the violin avoids the baker.") for i in range(4)],
+                                  "subtask string, idx int, phenomenon string, sentence_good string, sentence_bad string")
+    pool = spark.createDataFrame(POOL, "pool string, lemma string")
+
+    def texts(x):
+        known = x.known
+        return sorted(r["good_freq"] or "" for r in S.generate(pairs, pool, lambda: P.RuleParser(known), lexicon=x).collect())
+
+    assert texts(small) == texts(large) and all(texts(small))

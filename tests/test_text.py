@@ -65,7 +65,8 @@ def test_names(spark):
     assert col(spark, T.strip_pair_suffix("m"), m="x_pair-scores_freq") == "x"
     assert col(spark, T.threshold_in_path("m"), m="a/zipf3_4_x.jsonl") == 3.4
     assert col(spark, T.zipf_text("z"), z=3.4) == "3_4"
-    assert T.parse_window("2.2-3") == (2.2, 3.0) and T.parse_models("a, b,") == ["a", "b"] and T.format_duration(3725) == "1h02m05s"
+    assert T.parse_window("2.2-3") == (2.2, 3.0) and T.parse_models("a, b,") == ["a", "b"] and T.format_duration(3725) == "1h 02m"
+    assert [T.format_duration(x) for x in (0.5, 7, 125, None, float("inf"))] == ["500ms", "7s", "2m 05s", "?", "?"]
     with pytest.raises(ValueError):
         T.parse_window("3-2")
 

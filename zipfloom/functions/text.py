@@ -188,10 +188,16 @@ def parse_models(text: str) -> list[str]:
     return [m.strip() for m in text.split(",") if m.strip()]
 
 
-def format_duration(seconds: float) -> str:
-    s = int(max(0, seconds))
-    h, m, s = s // 3600, s % 3600 // 60, s % 60
-    return f"{h}h{m:02d}m{s:02d}s" if h else f"{m}m{s:02d}s" if m else f"{s}s"
+def format_duration(seconds: float | None) -> str:
+    """Milliseconds below a second, seconds below a minute, then two units; ``?`` for none."""
+    if seconds is None or seconds != seconds or seconds in (float("inf"), float("-inf")):
+        return "?"
+    if seconds < 1:
+        return f"{max(0, round(seconds * 1000))}ms"
+    whole = int(seconds)
+    units = [(whole // 3600, "h"), (whole % 3600 // 60, "m"), (whole % 60, "s")]
+    first = next((k for k, (n, _) in enumerate(units) if n), 2)
+    return " ".join(f"{n:02d}{u}" if k > first else f"{n}{u}" for k, (n, u) in enumerate(units) if first <= k <= first + 1)
 
 
 def quantifier_requirement(tokens: Column | str, count_words: list[str], mass_words: list[str]) -> Column:

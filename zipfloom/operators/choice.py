@@ -37,6 +37,7 @@ def pick_uniform(items: DataFrame, pool: DataFrame, by: list[str], key: list[str
     without a pool drop out.  The caller keeps the first attempt that fits.
     """
     placed = numbered(pool, by)
+    more = [c for c in pool.columns if c not in (*by, "lemma")]
     sizes = placed.select(*by, "size").distinct()
     if by:
         known = items.join(broadcast_if_small(sizes), by)
@@ -48,20 +49,22 @@ def pick_uniform(items: DataFrame, pool: DataFrame, by: list[str], key: list[str
     tried = known.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
     at = F.pmod(draw(F.lit(seed), *[F.col(k) for k in key], F.col("attempt")), F.col("size").cast("bigint")).cast("int")
     drawn = tried.withColumn("pos", at).drop("size")
-    return drawn.join(broadcast_if_small(placed.select(*by, "pos", "lemma")), [*by, "pos"]).drop("pos")
+    return drawn.join(broadcast_if_small(placed.select(*by, "pos", "lemma", *more)), [*by, "pos"]).drop("pos")
 
 
 def whole_pool(items: DataFrame, pool: DataFrame, by: list[str], key: list[str], seed: int) -> DataFrame:
-    """Each item with ``lemmas``: its group's whole pool in an order of the item's own.
+    """Each item with ``lemmas``: its group's whole pool, with its other columns, in an order of the item's own.
 
     For the few items that no drawn lemma fits; the pool stays one array per
     group, so that items aren't multiplied by lemmas.
     """
     few = pool.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    groups = pool.groupBy(*by).agg(F.collect_list("lemma").alias("lemmas"))
-    placed = F.transform("lemmas", lambda x: F.struct(draw(F.lit(seed), *[F.col(k) for k in key], x).alias("u"), x.alias("lemma")))
+    more = [c for c in pool.columns if c not in (*by, "lemma")]
+    groups = pool.groupBy(*by).agg(F.collect_list(F.struct("lemma", *more)).alias("lemmas"))
+    place = lambda x: F.struct(draw(F.lit(seed), *[F.col(k) for k in key], x["lemma"]), x["lemma"])
+    before = lambda x, y: F.when(place(x) < place(y), -1).when(place(x) > place(y), 1).otherwise(0)
     got = items.join(F.broadcast(groups) if few else groups, by)
-    return got.withColumn("lemmas", F.transform(F.array_sort(placed), lambda x: x["lemma"]))
+    return got.withColumn("lemmas", F.array_sort("lemmas", before))
 
 
 def pick_weighted(items: DataFrame, pool: DataFrame, key: list[str], seed: int, temperature: float = 1.0) -> DataFrame:

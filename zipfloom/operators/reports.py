@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..runtime import same_name
+from ..runtime import broadcast_if_small, materialise, same_name
+
+#: Distinct values of a bootstrap chunk, on average.
+CHUNK_VALUES = 50_000
 
 # Names that a column of scores or texts may have, in order of preference.
 GOOD_TEXT = {"original": ["good_original", "sentence_good", "good", "grammatical"], "freq": ["good_freq", "good_rare"]}
@@ -239,11 +243,16 @@ def apportion(counts: DataFrame, limit: int) -> DataFrame:
 
 
 def first_k(df: DataFrame, quotas: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first rows of each key, as many as its quota, in the given order."""
+    """The first rows of each key, as many as its quota, in the given order.
+
+    The largest quota bounds every key first, so that tasks keep no more than
+    that before the shuffle.
+    """
+    most = quotas.agg(F.max("quota")).first()[0] or 0
     w = Window.partitionBy(key).orderBy(*order)
-    ranked = df.withColumn("_n", F.row_number().over(w))
+    ranked = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= int(most))
     q = quotas.select(F.col("key").alias(key), "quota")
-    return ranked.join(F.broadcast(q), key).where(F.col("_n") <= F.col("quota")).drop("_n", "quota")
+    return ranked.join(broadcast_if_small(q), key).where(F.col("_n") <= F.col("quota")).drop("_n", "quota")
 
 
 # ---- frequencies of swapped words ----------------------------------------------
@@ -279,7 +288,7 @@ def zipf_aggregates(words: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def zipf_lexicon(texts: DataFrame, column: str) -> DataFrame:
     """Words, counts and Zipf frequency (log10 of the rate per billion) of a corpus."""
-    words = texts.select(F.explode(F.regexp_extract_all(F.lower(column), F.lit("([a-z]+)"), F.lit(1))).alias("word"))
+    words = texts.select(F.explode(F.regexp_extract_all(F.lower(column), F.lit(r"([\p{L}\p{M}]+)"), F.lit(1))).alias("word"))
     counts = words.groupBy("word").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").cast("double"))
     return counts.select("word", "n", F.round(F.log10(F.lit(1e9) * F.col("n") / total.scalar()), 2).alias("zipf"))
@@ -324,7 +333,7 @@ def zipf_deltas(records: DataFrame, low: str, high: str) -> DataFrame:
 def regime_histogram(rows: DataFrame, bins: int = 20) -> DataFrame:
     """Counts and density of ``zipf_mid`` in equal bins over each regime's range."""
     edges = rows.where("zipf_mid is not null and regime is not null").groupBy("regime").agg(F.min("zipf_mid").alias("lo"), F.max("zipf_mid").alias("hi"), F.count("*").alias("all"))
-    joined = rows.where("zipf_mid is not null").join(F.broadcast(edges), "regime")
+    joined = rows.where("zipf_mid is not null").join(broadcast_if_small(edges), "regime")
     span = F.col("hi") - F.col("lo")
     b = F.when(span == 0, F.lit(0)).otherwise(F.least(F.floor((F.col("zipf_mid") - F.col("lo")) * bins / span), F.lit(bins - 1)))
     return joined.groupBy("regime", b.cast("int").alias("bin")).agg(
@@ -392,21 +401,45 @@ def binned(df: DataFrame, x: str, y: str, by: list[str], q: int = 20, least: int
 def bootstrap_ci(df: DataFrame, y: str, by: list[str], resamples: int = 600, seed: int = 0) -> DataFrame:
     """Bootstrap 95% interval of each group's mean.
 
-    Resampling goes over counts of distinct values per group (one row per
-    distinct value), drawn as a multinomial, so a hot group isn't collected as
-    rows.
+    Each resample weighs a row by a Poisson draw (rows of one value by one draw
+    of their number).  Distinct values go to chunks by their hash; a chunk adds
+    up its weighted sums, ``resamples`` numbers a group, so neither a hot group
+    nor its values meet in one task.  Equal rows and seed give equal intervals.
     """
-    counts = df.where(F.col(y).isNotNull() & ~F.isnan(y)).groupBy(*by, F.round(y, 4).alias("v")).agg(F.count("*").alias("n"))
-    kinds = ", ".join(f"{c} {counts.schema[c].dataType.simpleString()}" for c in by)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    counts = df.where(F.col(y).isNotNull() & ~F.isnan(y)).groupBy(*by, F.col(y).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    counts = materialise(counts, "bootstrap")
+    chunks = max(1, -(-counts.count() // CHUNK_VALUES))
+    kinds = ", ".join(f"`{c}` {counts.schema[c].dataType.simpleString()}" for c in by)
+    chunked = counts.withColumn("_c", F.pmod(F.xxhash64("v"), F.lit(chunks)))
+
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("v")
         v, n = pdf["v"].to_numpy(float), pdf["n"].to_numpy(np.int64)
-        total, rng = int(n.sum()), np.random.default_rng(seed)
-        means = np.array([rng.multinomial(total, n / total) @ v for _ in range(resamples)]) / total
-        lo, hi = np.percentile(means, [2.5, 97.5])
-        return pd.DataFrame([[*pdf[by].iloc[0], total, float(v @ n / total), float(lo), float(hi)]], columns=[*by, "n", "mean", "ci_low", "ci_high"])
+        key = zlib.crc32(repr([str(x) for x in pdf[by].iloc[0]]).encode())
+        rng = np.random.default_rng([seed & 0xFFFFFFFF, key, int(pdf["_c"].iloc[0])])
+        weight, total = np.zeros(resamples), np.zeros(resamples)
+        for lo in range(0, len(v), 4096):
+            w = rng.poisson(n[lo : lo + 4096], (resamples, len(n[lo : lo + 4096])))
+            weight += w.sum(axis=1)
+            total += w @ v[lo : lo + 4096]
+        out = pd.DataFrame({"_r": np.arange(resamples), "w": weight, "t": total, "n": np.where(np.arange(resamples) == 0, n.sum(), 0), "s": np.where(np.arange(resamples) == 0, n @ v, 0.0)})
+        for c in by:
+            out[c] = pdf[c].iloc[0]
+        return out[[*by, "_r", "w", "t", "n", "s"]]
+
+    sums = chunked.groupBy(*by, "_c").applyInPandas(part, f"{kinds}, _r int, w double, t double, n bigint, s double")
+    each = sums.groupBy(*by, "_r").agg(*[F.sum(c).alias(c) for c in ("w", "t", "n", "s")])
+    at = F.percentile(F.try_divide("t", "w"), F.array(F.lit(0.025), F.lit(0.975)))  # of the resamples
+    return each.groupBy(*by).agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("mean"), at.alias("_ci")).select(
+        *by, "n", "mean", F.col("_ci")[0].alias("ci_low"), F.col("_ci")[1].alias("ci_high")
+    )
 
-    return counts.groupBy(*by).applyInPandas(one, f"{kinds}, n bigint, mean double, ci_low double, ci_high double")
+
+def _ranks(pairs: DataFrame, x: str, by: list[str], out: str) -> DataFrame:
+    """Average ranks of distinct values, out of counted pairs."""
+    counts = pairs.groupBy(*by, x).agg(F.sum("n").alias("_n"))
+    w = Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return counts.withColumn(out, F.sum("_n").over(w) - (F.col("_n") - 1) / 2.0).drop("_n")
 
 
 def average_ranks(df: DataFrame, x: str, by: list[str], out: str) -> DataFrame:
@@ -415,18 +448,45 @@ def average_ranks(df: DataFrame, x: str, by: list[str], out: str) -> DataFrame:
     Counts per distinct value are ranked and joined back, so one group's rows
     needn't be sorted in one task; the window runs over distinct values.
     """
-    counts = df.groupBy(*by, x).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = counts.withColumn(out, F.sum("_n").over(w) - (F.col("_n") - 1) / 2.0).drop("_n")
-    return df.join(ranks, [*by, x])
+    return df.join(_ranks(df.groupBy(*by, x).agg(F.count("*").alias("n")), x, by, out), [*by, x])
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Spearman's rho with average ranks, n and p by Fisher's z; null below three rows."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)).select(*by, x, y)
-    ranked = average_ranks(average_ranks(rows, x, by, "_rx"), y, by, "_ry")
-    got = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("r"))
-    return got.select(*by, "n", _r(F.when(F.col("n") >= 3, F.col("r"))).alias("rho"))
+    """Spearman's rho with average ranks, n and p by Fisher's z; null below three rows.
+
+    Rows become counted distinct pairs first, so a value that most rows share
+    is one row of the joins; null groups are groups.
+    """
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
+    pairs = materialise(rows.groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("n")), "pairs")
+    ranked = pairs
+    for c, r in (("_x", "_rx"), ("_y", "_ry")):
+        own = _ranks(pairs, c, by, r).select(*[F.col(b).alias(f"_b{i}") for i, b in enumerate(by)], F.col(c).alias("_v"), r)
+        cond = F.col(c) == F.col("_v")
+        for i, b in enumerate(by):
+            cond = cond & F.col(b).eqNullSafe(F.col(f"_b{i}"))
+        ranked = ranked.join(own, cond).drop("_v", *[f"_b{i}" for i in range(len(by))])
+    # the mean of average ranks is known beforehand, so the sums lose no digits
+    sizes = ranked.withColumn("_mid", (F.sum("n").over(Window.partitionBy(*by)) + 1) / 2.0)
+    dx, dy = F.col("_rx") - F.col("_mid"), F.col("_ry") - F.col("_mid")
+    got = sizes.groupBy(*by).agg(
+        F.sum("n").alias("n"), F.sum(dx * dy * F.col("n")).alias("_xy"), F.sum(dx * dx * F.col("n")).alias("_xx"), F.sum(dy * dy * F.col("n")).alias("_yy")
+    )
+    rho = F.when(F.col("n") >= 3, F.try_divide(F.col("_xy"), F.sqrt("_xx") * F.sqrt("_yy")))
+    return got.select(*by, "n", _r(rho).alias("rho"), _r(_fisher(rho, F.col("n"))).alias("p"))
+
+
+def _fisher(rho: Column, n: Column) -> Column:
+    """Two-sided p by Fisher's z, with a rational approximation of erfc (error below 1.2e-7)."""
+    r = F.greatest(F.lit(-0.999999), F.least(F.lit(0.999999), rho))
+    z = F.abs(F.atanh(r)) * F.sqrt(n - 3) / math.sqrt(2)
+    t = 1 / (1 + 0.5 * z)
+    # Coefficients of the approximation (Numerical Recipes, erfcc).
+    terms = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
+    poly = F.lit(terms[-1])
+    for c in reversed(terms[:-1]):
+        poly = poly * t + c
+    return F.when(n >= 4, t * F.exp(-z * z + poly))
 
 
 def fisher_p(rho: float | None, n: int) -> float | None:

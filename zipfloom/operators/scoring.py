@@ -17,7 +17,7 @@ class Scorer(Protocol):
         """``(total_nll, token_count)`` per text, never depending on the batch."""
 
 
-_WORDS = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z]+)"), F.lit(1))
+_WORDS = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{M}]+)"), F.lit(1))
 
 
 def unigram_model(texts: DataFrame, column: str) -> DataFrame:

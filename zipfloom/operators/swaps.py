@@ -1,9 +1,9 @@
 """The swap engine: pairs of sentences with words replaced out of frequency pools.
 
-Three steps: a map over pairs parses both sides and emits aligned slots; slots
-draw candidates from their pools by an equi-join on a seeded place; a map over
-pairs realises the texts.  Only slots and candidates are shuffled.  Slots that
-no candidate fits go through their whole pool in a seeded order.
+Three steps: a map over pairs parses both sides, once, and emits their tokens
+and aligned slots; slots draw candidates from their pools by an equi-join on a
+seeded place; a map over pairs realises the texts.  Slots that no candidate
+fits go through their whole pool in a seeded order.
 """
 
 from __future__ import annotations
@@ -20,14 +20,20 @@ from ..runtime import materialise
 from . import choice
 from . import parsing as P
 from . import targets as X
+from .lexicon import OWN, Lexicon, own_entries
 
 #: Candidates that each slot draws at first; the first that fits is taken.
 TRIES = 8
 
 _SLOT = "struct<stage:string,g_key:string,b_key:string,g_pool:string,b_pool:string,g:int,b:int,g_tag:string,b_tag:string,lemma:string>"
-_FOUND = f"subtask string, idx int, phenomenon string, good string, bad string, slots array<{_SLOT}>, reasons array<string>"
+_TOKENS = "array<struct<text:string,lemma:string,tag:string>>"
+_FOUND = (
+    f"subtask string, idx int, phenomenon string, good string, bad string, g_tokens {_TOKENS}, b_tokens {_TOKENS}, "
+    f"slots array<{_SLOT}>, reasons array<string>"
+)
 _SWAP = "struct<i:int,old:string,new:string,tag:string,lemma:string,pos:string>"
-_PICKS = "array<struct<stage:string,key:string,attempt:int,lemma:string>>"
+_FORMS = "map<string,string>"
+_PICKS = f"array<struct<stage:string,key:string,attempt:int,lemma:string,forms:{_FORMS}>>"
 RECORD = (
     "phenomenon string, subtask string, idx int, good_original string, bad_original string, good_freq string, bad_freq string, "
     f"g_swaps array<{_SWAP}>, b_swaps array<{_SWAP}>, swap_failed_reason string"
@@ -61,7 +67,7 @@ def _verb_pool(v: X.VerbTarget, kind: str, pools: set[str]) -> str | None:
 
 
 #: What a pair with open slots carries on to its second turn.
-_OPEN = f"slots array<{_SLOT}>, reasons array<string>, picks {_PICKS}, open array<struct<stage:string,key:string,pool:string>>"
+_OPEN = f"g_tokens {_TOKENS}, b_tokens {_TOKENS}, slots array<{_SLOT}>, reasons array<string>, picks {_PICKS}, open array<struct<stage:string,key:string,pool:string>>"
 
 
 def find_slots(good: str, bad: str, parser: P.Parser, pools: set[str], phenomenon: str, subtask: str, stages: set[str]) -> tuple[list[dict], list[str]]:
@@ -69,7 +75,11 @@ def find_slots(good: str, bad: str, parser: P.Parser, pools: set[str], phenomeno
 
     Indices are those of the one parse, so no stage shifts another's.
     """
-    g, b = P.Sentence(parser.parse(good)), P.Sentence(parser.parse(bad))
+    return aligned_slots(P.Sentence(parser.parse(good)), P.Sentence(parser.parse(bad)), pools, phenomenon, subtask, stages)
+
+
+def aligned_slots(g: P.Sentence, b: P.Sentence, pools: set[str], phenomenon: str, subtask: str, stages: set[str]) -> tuple[list[dict], list[str]]:
+    """:func:`find_slots` of parsed sentences."""
     slots, reasons = [], []
 
     def add(stage: str, pool: str | None, x: P.Token, y: P.Token, gt: str, bt: str, key: str, lemma: str, b_pool: str | None = None) -> bool:
@@ -142,30 +152,37 @@ def find_slots(good: str, bad: str, parser: P.Parser, pools: set[str], phenomeno
     return slots, reasons
 
 
-def realise_pair(good: str, bad: str, slots: list, picks: dict[tuple[str, str], list[str]], parser: P.Parser, reasons: list[str], fits=None, unresolved: list | None = None) -> tuple:
+def _sentence(tokens) -> P.Sentence:
+    """Carried tokens, without their heads, which realising doesn't ask for."""
+    return P.Sentence([P.Token(i, t["text"], t["lemma"], "", t["tag"]) for i, t in enumerate(tokens)])
+
+
+def realise_pair(sides: dict[str, P.Sentence], slots: list, picks: dict[tuple[str, str], list[tuple[str, dict]]], reasons: list[str], fits=None, unresolved: list | None = None) -> tuple:
     """Texts and swaps of both sides: one lemma per (stage, key), the same on both sides.
 
-    ``fits(old, new)`` may reject a form, as for equal numbers of tokens.
-    ``unresolved`` takes the (stage, key, pool) that no candidate fits.
+    ``picks``: candidate lemmas with the forms (tag -> form) that an inflection
+    table gives them; rules make the others.  ``fits(old, new)`` may reject a
+    form, as for equal numbers of tokens.  ``unresolved`` takes the (stage, key,
+    pool) that no candidate fits.
     """
-    sides = {"g": P.Sentence(parser.parse(good)), "b": P.Sentence(parser.parse(bad))}
     words = {k: [t.text for t in s.tokens] for k, s in sides.items()}
     swaps: dict[str, list] = {"g": [], "b": []}
     reasons = list(reasons)
 
-    def form(stage: str, lemma: str, tag: str, old: P.Token) -> str | None:
-        return adjective_surface(old.lemma.lower(), tag, lemma) if stage == "adj" else inflect(lemma, tag)
+    def form(stage: str, lemma: str, forms: dict, tag: str, old: P.Token) -> str | None:
+        table = {(lemma, t): f for t, f in forms.items()}
+        return adjective_surface(old.lemma.lower(), tag, lemma, table) if stage == "adj" else inflect(lemma, tag, table)
 
     for stage in ("verb", "noun", "adj"):
         own = [s for s in slots if s["stage"] == stage]
-        chosen: dict[str, str] = {}
+        chosen: dict[str, tuple[str, dict]] = {}
         failed = False
         for key in sorted({s[f"{k}_key"] for s in own for k in "gb"}):
             group = [(s, k) for s in own for k in "gb" if s[f"{k}_key"] == key]
-            for lemma in picks.get((stage, key), []):
-                forms = [(form(stage, lemma, s[f"{k}_tag"], sides[k].tokens[s[k]]), sides[k].tokens[s[k]].text) for s, k in group]
+            for lemma, known in picks.get((stage, key), []):
+                forms = [(form(stage, lemma, known, s[f"{k}_tag"], sides[k].tokens[s[k]]), sides[k].tokens[s[k]].text) for s, k in group]
                 if lemma != group[0][0]["lemma"] and all(f and (fits is None or fits(old, f)) for f, old in forms):
-                    chosen[key] = lemma
+                    chosen[key] = lemma, known
                     break
             if key not in chosen:
                 failed = True
@@ -177,8 +194,8 @@ def realise_pair(good: str, bad: str, slots: list, picks: dict[tuple[str, str],
         for s in own:
             for k in "gb":
                 old, tag = sides[k].tokens[s[k]], s[f"{k}_tag"]
-                lemma = chosen[s[f"{k}_key"]]
-                new = form(stage, lemma, tag, old)
+                lemma, known = chosen[s[f"{k}_key"]]
+                new = form(stage, lemma, known, tag, old)
                 if stage == "noun":
                     was = P.place_noun(sides[k], old, new, words[k])
                 else:
@@ -205,6 +222,8 @@ def generate(
     seed: int = 0,
     stages: tuple[str, ...] = ("verb", "noun", "adj"),
     fits: Callable[[str, str], bool] | None = None,
+    forms: DataFrame | None = None,
+    lexicon: Lexicon | None = None,
 ) -> DataFrame:
     """Swapped pairs with their traces, one row per (subtask, idx) of ``pairs``.
 
@@ -214,9 +233,18 @@ def generate(
     ``verb:clause``, ``verb:clause:<wh word>`` or one of :func:`control_pools`.  Equal seeds give equal
     results, in any partitioning.  A pair with a null side is a failure
     (``no_swap``).  A stage fails for want of a word only if no lemma of the
-    pool fits.
+    pool fits.  ``forms``: an inflection table ``lemma, tag, form``, which goes
+    before the rules and travels with the candidates.  ``lexicon``: the
+    parser's, where it may be too large for each worker.
     """
-    pool = materialise(pool.select("pool", "lemma").distinct(), "pool")  # read several times below
+    pool = pool.select("pool", "lemma").distinct()
+    if forms is not None:
+        one = forms.where("lemma is not null and tag is not null and form is not null").groupBy("lemma", "tag").agg(F.min("form").alias("form"))
+        by_lemma = one.groupBy("lemma").agg(F.map_from_entries(F.collect_list(F.struct("tag", "form"))).alias("forms"))
+        pool = pool.join(by_lemma, "lemma", "left")
+    else:
+        pool = pool.withColumn("forms", F.lit(None).cast(_FORMS))
+    pool = materialise(pool.select("pool", "lemma", "forms"), "pool")  # read several times below
     # the names of the pools, not their lemmas: a handful
     names = {r["pool"] for r in pool.select("pool").distinct().collect()}
     wanted = set(stages)
@@ -227,45 +255,54 @@ def generate(
             rows = []
             for r in pdf.itertuples(index=False):
                 good, bad = r.sentence_good, r.sentence_bad
-                found = ([], []) if not good or not bad else find_slots(good, bad, p, names, r.phenomenon or "", r.subtask or "", wanted)
-                rows.append((r.subtask, r.idx, r.phenomenon, good, bad, *found))
-            yield pd.DataFrame(rows, columns=["subtask", "idx", "phenomenon", "good", "bad", "slots", "reasons"])
+                carried: list[list] = [[], []]
+                found: tuple[list, list] = [], []
+                if good and bad:
+                    own_entries(p, getattr(r, "own", None))
+                    g, b = P.Sentence(p.parse(good)), P.Sentence(p.parse(bad))
+                    carried = [[{"text": t.text, "lemma": t.lemma, "tag": t.tag} for t in s.tokens] for s in (g, b)]
+                    found = aligned_slots(g, b, names, r.phenomenon or "", r.subtask or "", wanted)
+                rows.append((r.subtask, r.idx, r.phenomenon, good, bad, *carried, *found))
+            yield pd.DataFrame(rows, columns=["subtask", "idx", "phenomenon", "good", "bad", "g_tokens", "b_tokens", "slots", "reasons"])
 
     # parsing costs more than the bytes suggest, so the rows are spread by number, not by size
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    src = pairs.select("subtask", F.col("idx").cast("int"), "phenomenon", "sentence_good", "sentence_bad").repartition(n, "subtask", "idx")
+    src = pairs.select("subtask", F.col("idx").cast("int"), "phenomenon", "sentence_good", "sentence_bad")
+    if lexicon is not None:
+        src = lexicon.attach(src, "sentence_good", "sentence_bad").withColumnRenamed(OWN, "own")
+    src = src.repartition(n, "subtask", "idx")
     found = src.mapInPandas(slots, _FOUND)
     side = lambda k: F.struct(F.col("s.stage").alias("stage"), F.col(f"s.{k}_key").alias("key"), F.col(f"s.{k}_pool").alias("pool"))
     each = found.select("subtask", "idx", F.explode("slots").alias("s")).select("subtask", "idx", F.explode(F.array(side("g"), side("b"))).alias("x"))
     keys = each.select("subtask", "idx", "x.*").distinct()
     drawn = choice.pick_uniform(keys, pool, ["pool"], ["subtask", "idx", "stage", "key"], seed, TRIES)
-    one = F.struct("stage", "key", "attempt", "lemma")
-    picks = drawn.groupBy("subtask", "idx").agg(F.array_sort(F.collect_list(one)).alias("picks"))
+    one = F.struct("stage", "key", "attempt", "lemma", "forms")
+    picks = drawn.groupBy("subtask", "idx").agg(F.collect_list(one).alias("picks"))
     cond = [found["subtask"].eqNullSafe(picks["subtask"]), found["idx"].eqNullSafe(picks["idx"])]
     ready = found.join(picks, cond, "left").select(found["*"], picks["picks"]).repartition(n, "subtask", "idx")
 
     record = [c.split()[0] for c in RECORD.split(", ") if not c.startswith(("new", "old"))][:10]
 
     def texts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = parser()
         for pdf in parts:
             rows = []
             for r in pdf.itertuples(index=False):
-                got, kept = (None, None, [], [], "no_swap"), (None, None, None, [])
+                got, kept = (None, None, [], [], "no_swap"), (None, None, None, None, None, [])
                 if r.good and r.bad:
                     drawn, unresolved = {}, []
-                    picks = list(r.picks) if r.picks is not None else []
+                    picks = sorted(r.picks, key=lambda x: x["attempt"]) if r.picks is not None else []
                     for x in picks:
-                        drawn.setdefault((x["stage"], x["key"]), []).append(x["lemma"])
+                        drawn.setdefault((x["stage"], x["key"]), []).append((x["lemma"], _map(x["forms"])))
                     for x in r.more if r.more is not None else []:
-                        drawn.setdefault((x["stage"], x["key"]), []).extend(x["lemmas"])
-                    got = realise_pair(r.good, r.bad, list(r.slots), drawn, p, list(r.reasons), fits, unresolved)
+                        drawn.setdefault((x["stage"], x["key"]), []).extend((y["lemma"], _map(y["forms"])) for y in x["lemmas"])
+                    sides = {"g": _sentence(r.g_tokens), "b": _sentence(r.b_tokens)}
+                    got = realise_pair(sides, list(r.slots), drawn, list(r.reasons), fits, unresolved)
                     if unresolved and r.more is None:
-                        kept = list(r.slots), list(r.reasons), picks, unresolved
+                        kept = list(r.g_tokens), list(r.b_tokens), list(r.slots), list(r.reasons), picks, unresolved
                 rows.append((r.phenomenon, r.subtask, r.idx, r.good, r.bad, *got, *kept))
-            yield pd.DataFrame(rows, columns=[*record, "slots", "reasons", "picks", "open"])
+            yield pd.DataFrame(rows, columns=[*record, "g_tokens", "b_tokens", "slots", "reasons", "picks", "open"])
 
-    rest = "array<struct<stage:string,key:string,lemmas:array<string>>>"
+    rest = f"array<struct<stage:string,key:string,lemmas:array<struct<lemma:string,forms:{_FORMS}>>>>"
     first = materialise(ready.withColumn("more", F.lit(None).cast(rest)).mapInPandas(texts, f"{RECORD}, {_OPEN}"), "swapped")
     unresolved = first.where(F.size("open") > 0)
     if unresolved.isEmpty():
@@ -276,12 +313,18 @@ def generate(
     more = whole.groupBy(*own).agg(F.collect_list(F.struct("stage", "key", "lemmas")).alias("more"))
     cond = F.col("subtask").eqNullSafe(F.col("_subtask")) & F.col("idx").eqNullSafe(F.col("_idx"))
     again = unresolved.join(more, cond).select(
-        "subtask", "idx", "phenomenon", F.col("good_original").alias("good"), F.col("bad_original").alias("bad"), "slots", "reasons", "picks", "more"
+        "subtask", "idx", "phenomenon", F.col("good_original").alias("good"), F.col("bad_original").alias("bad"),
+        "g_tokens", "b_tokens", "slots", "reasons", "picks", "more",
     )
     done = again.repartition(n, "subtask", "idx").mapInPandas(texts, f"{RECORD}, {_OPEN}")
     return first.where(F.size("open") == 0).select(*record).unionByName(done.select(*record))
 
 
+def _map(value) -> dict:
+    """A map as Arrow gives it to pandas: a dict, pairs or None."""
+    return {} if value is None else dict(value)
+
+
 def control_pools(spark) -> DataFrame:
     """``pool, lemma`` of the lists that control and raising subtasks draw from."""
     rows = [(k, w) for k, words in CONTROL_POOLS.items() for w in words]

@@ -11,10 +11,14 @@ from ..operators import choice as G
 from ..operators import collocations as C
 from ..operators import reports as R
 from ..operators import scoring as K
-from ..runtime import same_name, same_name_sql, table
+from ..operators.lexicon import OWN, Lexicon, own_entries
+from ..operators.lexicon import tag_lexicon as lexicon_of
+from ..runtime import broadcast_if_small, same_name, same_name_sql, table
 from .reports import d2_task_list
 
 _PREPS = C.PREPOSITIONS
+#: Words of any script, and the marks that end their runs.
+WORDS = r"([\p{L}\p{M}]+|[.,!?;:])"
 #: Documents of a source that one window group holds while runs are numbered.
 DOCS_PER_CHUNK = 5
 _VERBS = ["note", "says", "said", "is", "are", "was", "were"]
@@ -23,10 +27,10 @@ _VERBS = ["note", "says", "said", "is", "are", "was", "were"]
 def tokens(spark: SparkSession, d: str) -> DataFrame:
     """Documents as a tagged token stream; tags by a small rule."""
     docs = table(spark, d, "documents").where("text is not null")
-    words = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("file"), F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+|[.,!?;:])"), F.lit(1))).alias("p", "surface"))
+    words = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("file"), F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(1))).alias("p", "surface"))
     w = F.col("surface")
     pos = (
-        F.when(w.rlike("^[^a-z]"), "y").when(w == "that", "cst").when(w.isin(_PREPS), "ii")
+        F.when(w.rlike("^[.,!?;:]"), "y").when(w == "that", "cst").when(w.isin(_PREPS), "ii")
         .when(w.endswith("ed") | w.isin(_VERBS), "vvd").otherwise("nn1")
     )
     line = F.struct("doc_id", "p").alias("line_no")  # documents of any length follow each other
@@ -273,10 +277,10 @@ QUERIES = {
 }
 
 _IN = lambda xs: ", ".join(f"'{x}'" for x in xs)
-_TOK = f"""w AS (SELECT doc_id, coalesce(source, '') AS file, unnest(x) AS surface, generate_subscripts(x, 1) - 1 AS p
-  FROM (SELECT doc_id, source, regexp_extract_all(lower(text), '[a-z]+|[.,!?;:]') AS x FROM documents WHERE text IS NOT NULL)),
-tok AS (SELECT file, doc_id * 100000 + p AS line_no, doc_id, surface AS lemma,
-  CASE WHEN regexp_matches(surface, '^[^a-z]') THEN 'y' WHEN surface = 'that' THEN 'cst' WHEN surface IN ({_IN(_PREPS)}) THEN 'ii'
+_TOK = rf"""w AS (SELECT doc_id, coalesce(source, '') AS file, unnest(x) AS surface, generate_subscripts(x, 1) - 1 AS p
+  FROM (SELECT doc_id, source, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}]+|[.,!?;:]') AS x FROM documents WHERE text IS NOT NULL)),
+tok AS (SELECT file, doc_id * 4294967296 + p AS line_no, doc_id, surface AS lemma,
+  CASE WHEN regexp_matches(surface, '^[.,!?;:]') THEN 'y' WHEN surface = 'that' THEN 'cst' WHEN surface IN ({_IN(_PREPS)}) THEN 'ii'
        WHEN suffix(surface, 'ed') OR surface IN ({_IN(_VERBS)}) THEN 'vvd' ELSE 'nn1' END AS pos FROM w)"""
 _VC = "vc AS (SELECT lemma AS verb, count(*) AS token_count, count(DISTINCT doc_id) AS doc_count FROM tok WHERE pos = 'vvd' GROUP BY lemma)"
 
@@ -313,9 +317,9 @@ _LEX = "lex AS (SELECT lower(word) AS lemma, max(zipf) AS zipf FROM zipf_lexicon
 _PAIRS = f"pr AS (SELECT DISTINCT {same_name_sql('subtask')} AS subtask, idx FROM source_pair WHERE idx IS NOT NULL)"
 _DRAW = lambda *p: f"('0x' || substr(md5(concat_ws('|', {', '.join(p)})), 1, 13))::BIGINT"
 _POOL = f"{_LEX}, pool AS (SELECT lemma, zipf FROM lex WHERE zipf < 3.0 AND zipf >= 2.2)"
-_LM = """uw AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), uc AS (SELECT word, count(*) AS n FROM uw GROUP BY word),
+_LM = r"""uw AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}]+')) AS word FROM documents), uc AS (SELECT word, count(*) AS n FROM uw GROUP BY word),
 um AS (SELECT sum(n) AS total, count(*) AS kinds FROM uc)"""
-_NLL = """tw AS (SELECT text, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM texts),
+_NLL = r"""tw AS (SELECT text, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}]+')) AS word FROM texts),
 sc AS (SELECT text, round(sum(-ln((coalesce(n, 0) + 1) / (total + kinds + 1))), 6) AS total_nll, count(*) AS token_count FROM tw LEFT JOIN uc USING (word), um GROUP BY text)"""
 
 ORACLES = {
@@ -372,14 +376,12 @@ ORACLES = {
     "o5_seeded_sample": f"WITH {_PAIRS} SELECT * FROM pr ORDER BY {_DRAW(chr(39) + '7' + chr(39), 'coalesce(subtask, ' + chr(39) * 2 + ')', 'idx::VARCHAR')}, subtask, idx LIMIT 100",
     "g14_windows": f"""WITH {_LEX}, b(lo, hi) AS (VALUES (3.6::DOUBLE, 5.0::DOUBLE), (2.2, 3.0), (1.2, 2.0), (NULL, 3.4)) SELECT lo, hi, count(*) AS n FROM lex JOIN b ON zipf < hi AND (lo IS NULL OR zipf >= lo) GROUP BY ALL""",
     "f15_weights": "SELECT DISTINCT word, n, round(greatest(pow(pow(10.0, zipf), 0.5), 0.001), 6) AS weight FROM zipf_lexicon".replace("word, n, ", "word, "),
-    "f3_detokenise": "SELECT DISTINCT sentence_good, NULL AS text FROM source_pair",
     "k1_unigram_nll": f"WITH texts AS (SELECT DISTINCT text FROM (SELECT sentence_good AS text FROM source_pair UNION ALL SELECT sentence_bad FROM source_pair) WHERE text IS NOT NULL), {_LM}, {_NLL} SELECT * FROM sc",
     "k2_pair_scores": f"""WITH texts AS (SELECT DISTINCT text FROM (SELECT sentence_good AS text FROM source_pair UNION ALL SELECT sentence_bad FROM source_pair) WHERE text IS NOT NULL), {_LM}, {_NLL}
         SELECT DISTINCT {same_name_sql('subtask')} AS subtask, idx, sentence_good, sentence_bad, g.total_nll AS good_total_nll, g.token_count AS good_token_count, b.total_nll AS bad_total_nll, b.token_count AS bad_token_count
         FROM source_pair p JOIN sc g ON p.sentence_good = g.text JOIN sc b ON p.sentence_bad = b.text""",
     "s26_unscored": "SELECT DISTINCT sentence_good AS text FROM source_pair WHERE sentence_good IS NOT NULL AND sentence_good NOT IN (SELECT good_text FROM pair_score WHERE good_text IS NOT NULL)",
 }
-del ORACLES["f3_detokenise"]
 
 
 # ---- generation ------------------------------------------------------------------------
@@ -396,14 +398,16 @@ def document_frames(spark, d, lexicon=None):
     from ..operators import targets as X
 
     lexicon = tag_lexicon(spark, d) if lexicon is None else lexicon
+    known = lexicon.known
     preps, verbs, marks = set(_PREPS), set(_VERBS), set(".,!?;:")
 
     def run(parts):
-        parser, seen = P.RuleParser(lexicon), set()
+        parser, seen = P.RuleParser(known), set()
         is_verb = lambda w: w not in marks and w != "that" and w not in preps and (w.endswith("ed") or w in verbs)
         for pdf in parts:
             new = set()
-            for words in pdf["words"]:
+            for words, own in zip(pdf["words"], pdf[OWN]):
+                own_entries(parser, own)
                 text, ends = "", len(words) - 1
                 for i, w in enumerate(words):
                     if i and is_verb(words[i - 1]):
@@ -421,8 +425,8 @@ def document_frames(spark, d, lexicon=None):
             yield pd.DataFrame(sorted(new - seen, key=str), columns=["lemma", "kind", "prep", "particle"])
             seen |= new
 
-    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+|[.,!?;:])"), F.lit(1)).alias("words")
-    docs = table(spark, d, "documents").where("text is not null").select(words)
+    words = F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(1)).alias("words")
+    docs = lexicon.attach(table(spark, d, "documents").where("text is not null").select("text"), "text").select(words, OWN)
     return docs.mapInPandas(run, "lemma string, kind string, prep string, particle string").distinct()
 
 
@@ -474,18 +478,9 @@ def _lexicon(spark, d):
     return table(spark, d, "zipf_lexicon").groupBy(F.lower("word").alias("lemma")).agg(F.max("zipf").alias("zipf"))
 
 
-def tag_lexicon(spark, d, limit: int = 50_000) -> dict[str, tuple[str, str]]:
-    """Surface -> (tag, lemma) of the words that swaps replaced, the most frequent ``limit``."""
-    got = _swaps(spark, d).where("old is not null and tag is not null").groupBy(F.lower(F.trim("old")).alias("w"), "tag").agg(F.count("*").alias("n"))
-    best = got.groupBy("w").agg(F.max_by("tag", F.struct("n", "tag")).alias("tag"), F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(limit)
-    from ..functions.inflection import singularise
-
-    out = {}
-    for r in best.collect():
-        w, tag = r["w"], r["tag"]
-        lemma = (singularise(w) or w) if tag == "NNS" else w[:-2] if tag in ("VBD", "VBN") and w.endswith("ed") else w[:-1] if tag == "VBZ" and w.endswith("s") else w
-        out[w] = (tag, lemma)
-    return out
+def tag_lexicon(spark, d) -> Lexicon:
+    """Surface -> (tag, lemma) of the words that swaps replaced."""
+    return lexicon_of(_swaps(spark, d))
 
 
 def g12_generate(spark, d):
@@ -496,9 +491,10 @@ def g12_generate(spark, d):
     src = table(spark, d, "source_pair").where("idx is not null and deleted_at is null")
     cfg = d2_task_list(spark, d).select("subtask", "phenomenon")
     once = src.groupBy(same_name("subtask").alias("subtask"), "idx").agg(F.max_by(F.struct("sentence_good", "sentence_bad"), F.struct("loaded_at", "sentence_good")).alias("s"))
-    pairs = once.select("subtask", "idx", "s.*").join(F.broadcast(cfg), "subtask", "left")
+    pairs = once.select("subtask", "idx", "s.*").join(broadcast_if_small(cfg), "subtask", "left")
     lexicon = tag_lexicon(spark, d)
-    return S.generate(pairs, swap_pools(spark, d, lexicon=lexicon), lambda: RuleParser(lexicon))
+    known = lexicon.known
+    return S.generate(pairs, swap_pools(spark, d, lexicon=lexicon), lambda: RuleParser(known), lexicon=lexicon)
 
 
 def t3_targets(spark, d):
@@ -507,18 +503,20 @@ def t3_targets(spark, d):
     from ..operators import targets as X
 
     lexicon = tag_lexicon(spark, d)
+    known = lexicon.known
 
     def run(parts):
-        parser = P.RuleParser(lexicon)
+        parser = P.RuleParser(known)
         for pdf in parts:
             rows = []
-            for text in pdf["sentence_good"]:
+            for text, own in zip(pdf["sentence_good"], pdf[OWN]):
+                own_entries(parser, own)
                 for v in X.verb_targets(P.Sentence(parser.parse(text))):
                     rows.append((v.lemma, v.kind, v.prep.low if v.prep else None))
             yield pd.DataFrame(rows, columns=["lemma", "kind", "prep"])
 
     src = table(spark, d, "source_pair").select("sentence_good").where("sentence_good is not null").distinct()
-    return src.mapInPandas(run, "lemma string, kind string, prep string").groupBy("lemma", "kind", "prep").agg(F.count("*").alias("n"))
+    return lexicon.attach(src, "sentence_good").mapInPandas(run, "lemma string, kind string, prep string").groupBy("lemma", "kind", "prep").agg(F.count("*").alias("n"))
 
 
 def a25_frames(spark, d):
@@ -527,12 +525,14 @@ def a25_frames(spark, d):
     from ..operators import targets as X
 
     lexicon = tag_lexicon(spark, d)
+    known = lexicon.known
 
     def run(parts):
-        parser = P.RuleParser(lexicon)
+        parser = P.RuleParser(known)
         for pdf in parts:
             rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+            for doc, text, own in zip(pdf["doc_id"], pdf["text"], pdf[OWN]):
+                own_entries(parser, own)
                 s = P.Sentence(parser.parse(text))
                 for t in s.tokens:
                     if t.pos == "VERB" and (got := X.corpus_frame(s, t)):
@@ -540,7 +540,7 @@ def a25_frames(spark, d):
             yield pd.DataFrame(rows, columns=["doc_id", "lemma", "frame", "prep"])
 
     sents = C.sentences(tokens(spark, d)).select("doc_id", "text")
-    seen = sents.mapInPandas(run, "doc_id string, lemma string, frame string, prep string")
+    seen = lexicon.attach(sents, "text").mapInPandas(run, "doc_id string, lemma string, frame string, prep string")
     per_doc = seen.groupBy("lemma", "frame", "prep", "doc_id").agg(F.count("*").alias("n"))
     return per_doc.groupBy("lemma", "frame", "prep").agg(F.sum("n").alias("token_count"), F.count("*").alias("doc_count"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import reports as R
-from ..runtime import materialise, same_name, same_name_sql, table
+from ..runtime import broadcast_if_small, materialise, same_name, same_name_sql, table
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
@@ -321,7 +321,7 @@ def p23_phenomenon(spark, d):
     want = ["clitic_order", "word_order"]
     cfg = d2_task_list(spark, d).where(F.lower("grp").isin(want) | F.lower("phenomenon").isin(want)).select("subtask")
     src = table(spark, d, "source_pair").withColumn("subtask", same_name("subtask"))
-    return src.join(F.broadcast(cfg), "subtask", "left_semi").groupBy("subtask").agg(F.count("*").alias("n"))
+    return src.join(broadcast_if_small(cfg), "subtask", "left_semi").groupBy("subtask").agg(F.count("*").alias("n"))
 
 
 def s24_run_dims(spark, d):
@@ -462,7 +462,7 @@ ORACLES = {
         z AS (SELECT record_id, role, coalesce(zipf, 0.0) AS z FROM w LEFT JOIN lex ON lower(trim(w.word)) = lex.w WHERE w.word IS NOT NULL)
         SELECT record_id, role, count(*) FILTER (z > 0) AS n, count(*) FILTER (z <= 0) AS oov_count, round(avg(z) FILTER (z > 0), 6) AS mean,
         round(median(z) FILTER (z > 0), 6) AS median, min(z) FILTER (z > 0) AS min FROM z GROUP BY ALL""",
-    "s15_lexicon": """WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), c AS (SELECT word, count(*) AS n FROM w GROUP BY word)
+    "s15_lexicon": r"""WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}]+')) AS word FROM documents), c AS (SELECT word, count(*) AS n FROM w GROUP BY word)
         SELECT word, n, round(log10(1e9 * n / (SELECT sum(n) FROM c)), 2) AS zipf FROM c""",
     "j2_scores_with_meta": f"WITH {_S}, {_REC}, {_JOINED} SELECT score_id, regime, round(good_zipf, 6) AS good_zipf, round(bad_zipf, 6) AS bad_zipf, round({_MID}, 6) AS zipf_mid FROM joined",
     "a9_histogram": f"""WITH {_S}, {_REC}, {_JOINED}, m AS (SELECT regime, {_MID} AS z FROM joined WHERE regime IS NOT NULL AND {_MID} IS NOT NULL),
@@ -493,7 +493,10 @@ ORACLES = {
     "a12_spearman": f"""WITH {_S}, {_REC}, {_JOINED}, r AS (SELECT model, good_zipf AS x, good_total_nll AS y FROM joined WHERE isfinite(good_total_nll) AND good_zipf IS NOT NULL AND NOT isnan(good_zipf)),
         k AS (SELECT model, rank() OVER (PARTITION BY model ORDER BY x) + (count(*) OVER (PARTITION BY model, x) - 1) / 2 AS rx,
                      rank() OVER (PARTITION BY model ORDER BY y) + (count(*) OVER (PARTITION BY model, y) - 1) / 2 AS ry FROM r)
-        SELECT model, count(*) AS n, round(CASE WHEN count(*) >= 3 THEN corr(rx, ry) END, 6) AS rho FROM k GROUP BY model""",
+        , c AS (SELECT model, count(*) AS n, CASE WHEN count(*) >= 3 THEN corr(rx, ry) END AS rho FROM k GROUP BY model),
+        z AS (SELECT *, abs(atanh(greatest(-0.999999, least(0.999999, rho)))) * sqrt(greatest(n - 3, 0)) / sqrt(2) AS z FROM c), t AS (SELECT *, 1 / (1 + 0.5 * z) AS t FROM z)
+        SELECT model, n, round(rho, 6) AS rho, round(CASE WHEN n >= 4 THEN t * exp(-z * z - 1.26551223 + t * (1.00002368 + t * (0.37409196 + t * (0.09678418 + t * (-0.18628806
+          + t * (0.27886807 + t * (-1.13520398 + t * (1.48851587 + t * (-0.82215223 + t * 0.17087277))))))))) END, 6) AS p FROM t""",
     "w4_average_rank": f"""WITH {_S} SELECT score_id, model, good_token_count, rank() OVER (PARTITION BY model ORDER BY good_token_count)
         + (count(*) OVER (PARTITION BY model, good_token_count) - 1) / 2 AS avg_rank FROM scores WHERE good_token_count IS NOT NULL""",
     "f18_regimes": f"SELECT DISTINCT dataset, zipf_lo, zipf_hi, {_REGIME.replace(_REGIME.splitlines()[0], 'CASE')} AS regime FROM pair_score WHERE NOT isnan(zipf_lo)",
