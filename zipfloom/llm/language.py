@@ -275,8 +275,8 @@ class Stretch(NamedTuple):
     words: int = 0
 
 
-def named_sentences(namer: Namer | None, texts: list[str | None]) -> list[list[Stretch]]:
-    """The stretches of each text, named wherever they hold a word.
+def named_sentences(namer: Namer | None, texts: list[str | None], every: bool = True) -> list[list[Stretch]]:
+    """The stretches of each text, named wherever they hold a word; without ``every``, whole sentences only.
 
     ``guess`` is the likeliest language, ``lang`` the same unless its confidence
     is below the calibrated one; headlines, list items and lines of chat are
@@ -287,8 +287,8 @@ def named_sentences(namer: Namer | None, texts: list[str | None]) -> list[list[S
     out: list[list[Stretch]] = [[] for _ in texts]
     for i, (t, s) in enumerate(zip(texts, spans)):
         for a, b, ended in s:
-            w = words_of(t[a:b])
-            if w:
+            w = words_of(t[a:b]) if every or ended else []
+            if w and (every or len(w) >= LEAST_WORDS):
                 words.append(w)
                 where.append((i, len(out[i])))
             out[i].append(Stretch(a, b, whole=ended and len(w) >= LEAST_WORDS, words=len(w)))
@@ -334,7 +334,7 @@ def _mass(sentences: list[Stretch], name: str) -> dict[str, float]:
     return mass
 
 
-def _documents(shared):
+def _documents(shared, every: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         namer = Namer(model) if model else None
@@ -345,7 +345,7 @@ def _documents(shared):
         for batch in batches:
             labels, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             cols: list[list] = [[] for _ in kinds]
-            for label, sentences in zip(labels, named_sentences(namer, texts)):
+            for label, sentences in zip(labels, named_sentences(namer, texts, every)):
                 own = label_language(label)
                 whole = [s for s in sentences if s.whole]
                 langs = sorted(_mass(whole, "lang"))
@@ -386,7 +386,7 @@ def train(docs: DataFrame, limit: int = TRAIN_DOCS, seed: int = 0) -> Model | No
     return fit([(r["text"], code) for r in got if (code := label_language(r["lang"]))], seed)
 
 
-def name_languages(docs: DataFrame, model: Model | None) -> DataFrame:
+def name_languages(docs: DataFrame, model: Model | None, every: bool = True) -> DataFrame:
     """Language and confidence of every document and of its stretches.
 
     ``docs`` has ``doc_id, lang, text``.  Result, one row per row: ``doc_id,
@@ -397,12 +397,13 @@ def name_languages(docs: DataFrame, model: Model | None) -> DataFrame:
     guess, confidence).  Texts without whole sentences are named by what words
     they have.  status is ``no_sentence`` (null and empty texts, codes, headlines), ``unsure`` (all sentences rejected),
     ``mixed``, ``missing`` (the label names no language), ``wrong`` or ``right``.
-    Without a model nothing is named.  Whole texts are read, whatever their
+    Without ``every`` only whole sentences are named, which is all that
+    :func:`label_cases` asks for.  Without a model nothing is named.  Whole texts are read, whatever their
     length.  A narrow map; the model is broadcast, its size is fixed.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     src = docs.select(F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    return src.mapInArrow(_documents(shared), _DOC)
+    return src.mapInArrow(_documents(shared, every), _DOC)
 
 
 def label_cases(named: DataFrame) -> DataFrame:

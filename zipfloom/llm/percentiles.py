@@ -19,8 +19,9 @@ from ..runtime import broadcast_if_small, materialise
 
 #: Bits of a digit; four rounds cover 64 bits.
 DIGIT = 16
-#: Bits kept by a mergeable histogram: sign, 11 of exponent, the rest of mantissa.
-SKETCH_BITS = 24
+#: Bits kept by a mergeable histogram: sign, 11 of exponent, the rest of mantissa.  A group has at most
+#: 256 bins for each power of two that its values span, however many values there are.
+SKETCH_BITS = 20
 #: Largest relative error of a percentile that comes from such histograms.
 SKETCH_ERROR = 2.0 ** -(SKETCH_BITS - 12)
 
@@ -95,7 +96,7 @@ def radix_percentiles(keys: DataFrame, by: list[str], quantiles: list[float]) ->
     groups.  Each round shuffles digit counts, at most 2^16 a group and prefix,
     which tasks add up first; a group that holds most values is no larger.
     ``keys`` is read once a round, so callers materialise what is costly.
-    Empty input gives no rows.
+    Empty input gives no rows; repeated values and ties have a rank each.
     """
     digit = lambda r: F.shiftright("k", 64 - DIGIT * (r + 1))
     found = None

@@ -135,6 +135,14 @@ def p6_merged(spark: SparkSession, d: str) -> DataFrame:
     return got.withColumn("max_relative_error", F.lit(percentiles.SKETCH_ERROR))
 
 
+def p6_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Exact percentiles against those put together from days: is the stated error kept?"""
+    exact, merged = p6_percentiles(spark, d), p6_merged(spark, d)
+    m = merged.select("phenomenon", "metric", "q", F.col("n_values").alias("n_merged"), F.col("value").alias("m"), "max_relative_error")
+    off = F.abs(F.col("m") - F.col("value")) <= F.col("max_relative_error") * F.abs("value")
+    return exact.join(m, ["phenomenon", "metric", "q"], "left").select("phenomenon", "metric", "q", "n_merged", off.alias("within_error"))
+
+
 # ---- 7: encoding ------------------------------------------------------------------
 
 
@@ -178,18 +186,18 @@ def p8_kept(spark: SparkSession, d: str) -> DataFrame:
 _MODELS: dict[tuple[str, str], language.Model | None] = {}
 
 
-def _named(spark: SparkSession, d: str) -> DataFrame:
+def _named(spark: SparkSession, d: str, every: bool = True) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "lang", "text")
     key = spark.sparkContext.applicationId, d
     if key not in _MODELS:  # fitted once an application; of fixed size
         _MODELS.clear()
         _MODELS[key] = language.train(docs)
-    return language.name_languages(docs, _MODELS[key])
+    return language.name_languages(docs, _MODELS[key], every)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose label is missing, wrong or not all, with their languages."""
-    return language.label_cases(_named(spark, d))
+    return language.label_cases(_named(spark, d, every=False))
 
 
 def p9_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -207,7 +215,7 @@ def p9_stretches(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p3_found, p3_sample, p3_report, p3_balance, p3_targets, p5_found, p5_terms, p6_percentiles, p6_days, p6_merged,
+        p3_found, p3_sample, p3_report, p3_balance, p3_targets, p5_found, p5_terms, p6_percentiles, p6_days, p6_merged, p6_kept,
         p7_ids, p8_mix, p8_report, p8_kept, p9_found, p9_documents, p9_stretches,
     )
 }
@@ -229,6 +237,12 @@ marked AS (SELECT *, CASE WHEN n_records < 3 THEN 'rare'
                           WHEN n_records > (SELECT count(DISTINCT record_id) FROM kept) / 50.0 THEN 'common' END AS mark FROM counts)
 """
 
+_RANKED = f"""
+WITH once AS (SELECT score_id, arg_min({_PHEN}, ingested_at) AS phenomenon, arg_min(struct_pack(v := good_total_nll), ingested_at).v AS g,
+                     arg_min(struct_pack(v := bad_total_nll), ingested_at).v AS b FROM pair_score GROUP BY score_id),
+vals AS (SELECT phenomenon, 'good_total_nll' AS metric, g AS v FROM once UNION ALL SELECT phenomenon, 'bad_total_nll', b FROM once),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY phenomenon, metric ORDER BY v) AS r, count(*) OVER (PARTITION BY phenomenon, metric) AS n_values
+           FROM vals WHERE isfinite(v))"""
 _TARGETS = f"""
 WITH RECURSIVE latest AS ({_LATEST_PAIRS}),
 config AS (SELECT DISTINCT {_SUB('subtask')} AS sub, phenomenon FROM task_config),
@@ -267,12 +281,9 @@ SELECT w.source, round(w.weight / sum(w.weight) OVER (), 6) AS target_share, coa
 FROM w LEFT JOIN n USING (source)""",
     "p5_terms": _TERMS + "SELECT * FROM marked",
     "p5_found": _TERMS + "SELECT term, mark FROM marked WHERE mark IS NOT NULL",
-    "p6_percentiles": f"""
-WITH once AS (SELECT score_id, arg_min({_PHEN}, ingested_at) AS phenomenon, arg_min(struct_pack(v := good_total_nll), ingested_at).v AS g,
-                     arg_min(struct_pack(v := bad_total_nll), ingested_at).v AS b FROM pair_score GROUP BY score_id),
-vals AS (SELECT phenomenon, 'good_total_nll' AS metric, g AS v FROM once UNION ALL SELECT phenomenon, 'bad_total_nll', b FROM once),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY phenomenon, metric ORDER BY v) AS r, count(*) OVER (PARTITION BY phenomenon, metric) AS n_values
-           FROM vals WHERE isfinite(v))
+    "p6_percentiles": _RANKED + """
 SELECT phenomenon, metric, q.q, n_values, v AS value FROM ranked, (VALUES (0.5::DOUBLE), (0.9), (0.99)) q(q)
 WHERE r = greatest(ceil(round(q.q * n_values, 6)), 1)""",
+    "p6_kept": _RANKED + """
+SELECT DISTINCT phenomenon, metric, q.q, n_values AS n_merged, true AS within_error FROM ranked, (VALUES (0.5::DOUBLE), (0.9), (0.99)) q(q)""",
 }
