@@ -67,25 +67,84 @@ def whole_pool(items: DataFrame, pool: DataFrame, by: list[str], key: list[str],
     return got.withColumn("lemmas", F.array_sort("lemmas", before))
 
 
-def pick_weighted(items: DataFrame, pool: DataFrame, key: list[str], seed: int, temperature: float = 1.0) -> DataFrame:
-    """One lemma per item, drawn in proportion to ``10^(zipf / temperature)``.
+#: Parts of a weight that integer intervals tell apart, so that no lemma's share is rounded away.
+PARTS = 1 << 20
 
-    The cumulative weights are cut into buckets; an item joins its bucket and
-    keeps the lemma whose interval holds its draw.
+
+def _intervals(pool: DataFrame, temperature: float) -> tuple[DataFrame, int]:
+    """Each lemma's half-open interval of whole numbers, as long as its weight, and their total.
+
+    The running sum goes over buckets of lemmas first, so no task holds the pool.
     """
-    w = F.greatest(F.pow(F.lit(10.0), F.col("zipf") / temperature), F.lit(0.001))
-    order = Window.partitionBy(F.lit(0)).orderBy("lemma")
-    total = F.sum("w").over(Window.partitionBy(F.lit(0)))
-    upto = F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cdf = pool.withColumn("w", w).withColumns({"hi": F.round(upto / total, 12), "lo": F.round((upto - F.col("w")) / total, 12)})
-    last = lambda c: F.least(F.floor(F.col(c) * BUCKETS), F.lit(BUCKETS - 1))
-    spread = cdf.select("lemma", "lo", "hi", F.explode(F.sequence(last("lo"), last("hi"))).alias("_b"))
-    u = draw(F.lit(seed), *[F.col(k) for k in key]) / F.lit(float(SPAN))
-    drawn = items.withColumn("_u", u).withColumn("_b", F.floor(F.col("_u") * BUCKETS))
+    w = F.floor(F.greatest(F.pow(F.lit(10.0), F.col("zipf") / temperature), F.lit(0.001)) * PARTS).cast("decimal(38,0)")
+    parts = pool.groupBy("lemma").agg(F.max("zipf").alias("zipf")).withColumns({"w": w, "_p": F.substring("lemma", 1, 2)})
+    sums = parts.groupBy("_p").agg(F.sum("w").cast("decimal(38,0)").alias("s"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per pair of first letters
+    starts = sums.select("_p", F.coalesce(F.sum("s").over(before), F.lit(0)).cast("decimal(38,0)").alias("base"))
+    within = Window.partitionBy("_p").orderBy("lemma").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hi = (F.col("base") + F.sum("w").over(within)).cast("decimal(38,0)")
+    got = parts.join(starts, "_p").withColumn("hi", hi).withColumn("lo", (F.col("hi") - F.col("w")).cast("decimal(38,0)"))
+    total = sums.agg(F.sum("s")).first()[0]
+    return got.select("lemma", "lo", "hi"), int(total or 0)
+
+
+def pick_weighted(items: DataFrame, pool: DataFrame, key: list[str], seed: int, temperature: float = 1.0, draws: int | None = None) -> DataFrame:
+    """Lemmas per item, drawn in proportion to ``10^(zipf / temperature)``; ``draws``: that many, ``attempt`` from 0.
+
+    Weights are whole numbers; their running sums are cut into buckets, an item
+    joins its bucket and keeps the lemma whose interval holds its draw.  An
+    empty pool gives no rows.
+    """
+    cdf, total = _intervals(pool, temperature)
+    if not total:
+        return items.withColumn("lemma", F.lit(None).cast("string")).limit(0)
+    size = -(-total // BUCKETS)
+    bucket = lambda c: F.floor(c / F.lit(size).cast("decimal(38,0)")).cast("bigint")
+    spread = cdf.select("lemma", "lo", "hi", F.explode(F.sequence(bucket(F.col("lo")), bucket(F.col("hi") - 1))).alias("_b"))
+    tried = items if draws is None else items.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    u = draw(F.lit(seed), *[F.col(k) for k in key], *([F.col("attempt")] if draws is not None else []))
+    # the draw's share of the total, rounded down, in whole numbers
+    at = F.floor(u.cast("decimal(18,0)") * F.lit(total).cast("decimal(20,0)") / F.lit(SPAN).cast("decimal(18,0)")).cast("decimal(38,0)")
+    drawn = tried.withColumn("_u", at).withColumn("_b", bucket(F.col("_u")))
     hit = drawn.join(broadcast_if_small(spread), "_b").where((F.col("lo") <= F.col("_u")) & (F.col("_u") < F.col("hi")))
     return hit.drop("_b", "_u", "lo", "hi")
 
 
+def weighted_order(items: DataFrame, pool: DataFrame, key: list[str], seed: int, most: int = 64, temperature: float = 1.0) -> DataFrame:
+    """``lemmas``: each item's lemmas in the order of weighted draws with replacement, each once.
+
+    At most ``most`` draws; a pool that isn't larger is drawn as often as it has
+    lemmas, and those never drawn follow in order of name.
+    """
+    names = [r["lemma"] for r in pool.select("lemma").distinct().orderBy("lemma").limit(most + 1).collect()]
+    draws = min(most, len(names))
+    if not draws:
+        return items.withColumn("lemmas", F.array().cast("array<string>")).limit(0)
+    drawn = pick_weighted(items, pool, key, seed, temperature, draws)
+    first = drawn.groupBy(*key, "lemma").agg(F.min("attempt").alias("attempt"))
+    got = first.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("attempt", "lemma"))).alias("_d"))
+    order = F.transform("_d", lambda x: x["lemma"])
+    if len(names) <= most:
+        order = F.concat(order, F.array_except(F.array(*map(F.lit, names)), order))
+    return got.select(*key, order.alias("lemmas"))
+
+
+def weighted_permutation(items: DataFrame, pool: DataFrame, by: list[str], key: list[str], seed: int, temperature: float = 1.0) -> DataFrame:
+    """``lemmas``: each item's whole group pool, weighted and without replacement.
+
+    Sorted by ``-ln(u) / w`` (Efraimidis and Spirakis 2006), u drawn from the
+    item and the lemma.  The pool stays one array per group; for the items
+    whose slots no drawn lemma fits.
+    """
+    w = F.greatest(F.pow(F.lit(10.0), F.col("zipf") / temperature), F.lit(0.001))
+    groups = pool.withColumn("w", w).groupBy(*by).agg(F.collect_list(F.struct("lemma", "w")).alias("_pool"))
+    few = pool.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    got = items.join(F.broadcast(groups) if few else groups, by) if by else items.crossJoin(F.broadcast(groups))  # one row
+    u = lambda x: (draw(F.lit(seed), *[F.col(k) for k in key], x["lemma"]) + 1) / F.lit(float(SPAN + 1))
+    keyed = F.transform("_pool", lambda x: F.struct((-F.log(u(x)) / x["w"]).alias("k"), x["lemma"].alias("lemma")))
+    return got.select(*items.columns, F.transform(F.array_sort(keyed), lambda x: x["lemma"]).alias("lemmas"))
+
+
 def seeded_order(df: DataFrame, key: list[str], seed: int, limit: int) -> DataFrame:
     """A seeded sample of at most ``limit`` rows: those with the least draws."""
     return df.withColumn("_u", draw(F.lit(seed), *[F.col(k) for k in key])).orderBy("_u", *key).limit(limit).drop("_u")

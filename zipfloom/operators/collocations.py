@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 # Tag prefixes of lexical verbs, and the prepositions that verbs select.
 VERB_PREFIXES = ["vv", "vd", "vh", "vb"]
 PREPOSITIONS = (
@@ -373,3 +375,35 @@ def domain_flags(senses: DataFrame, edges: DataFrame, domains: DataFrame) -> Dat
     both = own.unionByName(above)
     flags = both.groupBy("lemma").agg(*[F.bool_or(F.col("domain") == d).alias(f"is_{d}") for d in ("person", "location", "time", "proper")])
     return senses.select("lemma").distinct().join(flags, "lemma", "left").fillna(False)
+
+
+def filter_inflected(frames: DataFrame, lexicon: DataFrame, forms: DataFrame, low: float | None, high: float) -> DataFrame:
+    """Frames whose lemma lies in a frequency window and whose past and -ing forms aren't too rare.
+
+    ``lexicon``: word, zipf (words it lacks have 0); ``forms``: lemma, tag,
+    form.  The rarer of VBD and VBG must reach ``low - 0.9``, without a lower
+    bound ``high - 1.9``; a lemma without either form drops out.
+    """
+    zipf = lexicon.groupBy(F.lower("word").alias("w")).agg(F.max("zipf").alias("zipf"))
+    z = lambda df, c: df.join(zipf, F.lower(c) == F.col("w"), "left").withColumn("_z", F.coalesce("zipf", F.lit(0.0))).drop("w", "zipf")
+    verbs = forms.where(F.col("tag").isin("VBD", "VBG") & F.col("form").isNotNull()).select("lemma", "tag", "form").distinct()
+    least = z(verbs, "form").groupBy("lemma", "tag").agg(F.max("_z").alias("_z")).groupBy("lemma").agg(F.min("_z").alias("_z"), F.count("*").alias("_n"))
+    bound = high - 1.9 if low is None else low - 0.9
+    fit = least.where((F.col("_n") == 2) & (F.round("_z", 6) >= round(bound, 6))).select("lemma")
+    own = z(frames.select("lemma").distinct(), "lemma").where(T.in_window("_z", low, high)).select("lemma")
+    return frames.join(own.join(fit, "lemma", "left_semi"), "lemma", "left_semi")
+
+
+def noun_pool(lemmas: DataFrame, flags: DataFrame) -> DataFrame:
+    """Noun lemmas without places, times and proper names; nothing comes back if none is left.
+
+    ``flags``: lemma, is_location, is_time, is_proper; a lemma without flags stays.
+    """
+    out = flags.where(F.coalesce("is_location", F.lit(False)) | F.coalesce("is_time", F.lit(False)) | F.coalesce("is_proper", F.lit(False)))
+    return lemmas.join(out.select("lemma"), "lemma", "left_anti")
+
+
+def person_pool(gendered: DataFrame, flags: DataFrame) -> DataFrame:
+    """``lemma, ord``: lemmas of known gender first, then other person nouns, each once by name."""
+    named = lambda df: df.select(F.lower("lemma").alias("lemma"), F.lower("lemma").alias("ord"))
+    return union_by_priority([named(gendered), named(flags.where("is_person"))], "lemma")

@@ -61,6 +61,48 @@ def pick_field(df: DataFrame, candidates: list[str]) -> str | None:
     return next((c for c in have if n[c]), None)
 
 
+def sticky_field(df: DataFrame, candidates: list[str], order: list[str]) -> str | None:
+    """The first candidate that the first qualifying row has: a row with any of them, in the given order."""
+    there = [c for c in candidates if c in df.columns]
+    if not there:
+        return None
+    has = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in there])
+    row = df.where(has.isNotNull()).agg(F.min_by(has, F.struct(*order)).alias("field")).first()
+    return row["field"]
+
+
+def by_row(df: DataFrame, meta: DataFrame, keep: list[str], keys: tuple[str, ...] = ("file", "_row")) -> DataFrame:
+    """``df`` with what ``meta`` has at the same physical row of the same file, else null.
+
+    Of several rows of ``meta`` at one place the greatest counts.
+    """
+    once = meta.groupBy(*keys).agg(F.max(F.struct(*keep)).alias("_m"))
+    return df.join(once, list(keys), "left").select(*df.columns, *[F.col(f"_m.{c}").alias(c) for c in keep])
+
+
+def report_filter(
+    scores: DataFrame, contains: str | None = None, window_only: bool = False, variant: str | None = None, least: int = 0, top: int | None = None, by: str = "dataset"
+) -> DataFrame:
+    """Rows of the datasets that a report is about.
+
+    ``contains`` is part of a dataset's name; ``window_only`` keeps those named
+    after a frequency window; ``least`` and ``top`` keep groups of at least so
+    many rows, and the largest ones (ties by name).
+    """
+    got = scores
+    if contains:
+        got = got.where(F.col("dataset").contains(contains))
+    if window_only:
+        got = got.where(F.col("dataset").rlike(r"zw_\d+p\d+_\d+p\d+"))
+    if variant:
+        got = got.where(F.col("variant") == variant)
+    if least or top is not None:
+        sizes = got.groupBy(by).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+        sizes = sizes if top is None else sizes.orderBy(F.desc("_n"), by).limit(top)
+        got = got.join(sizes.select(by), by, "left_semi")
+    return got
+
+
 def scorable_variant(df: DataFrame, variant: str = "auto") -> list[str]:
     """Variants with a row that has both texts; auto prefers freq, both gives all."""
 

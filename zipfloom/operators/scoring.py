@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,39 @@ class Scorer(Protocol):
         """``(total_nll, token_count)`` per text, never depending on the batch."""
 
 
+class CausalScorer:
+    """Any causal language model as a scorer.
+
+    ``tokenize(text)`` gives ids; ``logits(ids, mask)`` gives the model's scores
+    for arrays padded on the right, as (texts, places, vocabulary).  A text's
+    likelihood is the sum over its own tokens after the first, so it depends on
+    neither the batch nor the padding; ``token_count`` is their number.  Texts
+    longer than ``max_length`` tokens are scored on their first ``max_length``,
+    as the model reads no more; one of at most a token scores (0, 0).
+    """
+
+    def __init__(self, tokenize: Callable[[str], list[int]], logits: Callable[[np.ndarray, np.ndarray], np.ndarray], max_length: int = 256, batch: int = 64, pad: int = 0):
+        self.tokenize, self.logits, self.max_length, self.batch, self.pad = tokenize, logits, max_length, batch, pad
+
+    def score(self, texts: list[str]) -> list[tuple[float, int]]:
+        out: list[tuple[float, int]] = []
+        for lo in range(0, len(texts), self.batch):
+            rows = [self.tokenize(t)[: self.max_length] for t in texts[lo : lo + self.batch]]
+            width = max((len(r) for r in rows), default=0)
+            if width < 2:
+                out += [(0.0, 0)] * len(rows)
+                continue
+            mask = np.arange(width) < np.array([len(r) for r in rows])[:, None]
+            ids = np.full((len(rows), width), self.pad, np.int64)
+            ids[mask] = np.concatenate([np.array(r, np.int64) for r in rows])
+            z = np.asarray(self.logits(ids, mask), np.float64)[:, :-1]
+            top = z.max(axis=2, keepdims=True)
+            own = np.take_along_axis(z, ids[:, 1:, None], 2)[..., 0]
+            loss = np.where(mask[:, 1:], np.log(np.exp(z - top).sum(axis=2)) + top[..., 0] - own, 0.0)
+            out += list(zip(loss.sum(axis=1).tolist(), mask[:, 1:].sum(axis=1).tolist()))
+        return out
+
+
 _WORDS = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{M}]+)"), F.lit(1))
 
 

@@ -58,7 +58,9 @@ def _pool_of(kind: str, pools: set[str], prep: str | None = None, particle: str
 
 
 def _verb_pool(v: X.VerbTarget, kind: str, pools: set[str]) -> str | None:
-    """The pool of a verb target: by its clause's marker where it embeds one, else by its frame."""
+    """The pool of a verb target: the one fixed pool where it is given, else by its clause's marker where it embeds one, else by its frame."""
+    if "verb:*" in pools:
+        return "verb:*"
     if v.clause:
         for name in [*([f"verb:clause:{v.wh}"] if v.wh else []), "verb:clause"]:
             if name in pools:
@@ -139,7 +141,15 @@ def aligned_slots(g: P.Sentence, b: P.Sentence, pools: set[str], phenomenon: str
 
         gs = [t for t in X.noun_targets(g, bound_g) if t.i not in taken[0]]
         bs = [t for t in X.noun_targets(b, bound_b) if t.i not in taken[1]]
-        stage("noun", gs, bs, lambda t: (t.lemma.lower(), t.text, noun_slot))
+        genders: dict[str, set] = {}
+        for ts, bound in ((gs, bound_g), (bs, bound_b)):
+            for t in ts:
+                if t.i in bound and bound[t.i][0]:
+                    genders.setdefault(t.lemma.lower(), set()).add(bound[t.i][0])
+        if any(len(x) > 1 for x in genders.values()):  # one replacement can't have two genders
+            reasons.append("noun_swap_failed")
+        else:
+            stage("noun", gs, bs, lambda t: (t.lemma.lower(), t.text, noun_slot))
     if "adj" in stages and phenomenon != "irregular_forms":
         good_pool, bad_pool = control_adjective_pools(subtask) if control else ("adj", "adj")
         tag = lambda t: t.tag if t.tag.startswith("JJ") else "JJ"
@@ -230,7 +240,7 @@ def generate(
     ``pairs``: ``subtask, idx, phenomenon, sentence_good, sentence_bad``, each key
     once.  ``pool``: ``pool, lemma``, where pool is ``noun``, ``noun:person``,
     ``noun:<gender>``, ``adj``, ``verb:<kind>``, ``verb:<kind>:<prep>``, ``verb:<kind>+<particle>``,
-    ``verb:clause``, ``verb:clause:<wh word>`` or one of :func:`control_pools`.  Equal seeds give equal
+    ``verb:clause``, ``verb:clause:<wh word>``, ``verb:*`` (all verbs, whatever their frame) or one of :func:`control_pools`.  Equal seeds give equal
     results, in any partitioning.  A pair with a null side is a failure
     (``no_swap``).  A stage fails for want of a word only if no lemma of the
     pool fits.  ``forms``: an inflection table ``lemma, tag, form``, which goes

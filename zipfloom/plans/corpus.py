@@ -217,6 +217,34 @@ def g1_weighted_choice(spark, d):
     return G.pick_weighted(_pairs(spark, d), _pool(spark, d), ["subtask", "idx"], 0).select("subtask", "idx", "lemma")
 
 
+def g1_weighted_order(spark, d):
+    """Each pair's lemmas in the order of up to 64 weighted draws."""
+    got = G.weighted_order(_pairs(spark, d), _pool(spark, d), ["subtask", "idx"], 3)
+    return got.select("subtask", "idx", F.array_join("lemmas", "|").alias("lemmas"))
+
+
+def g2_weighted_permutation(spark, d):
+    """Each subtask's order of the whole pool, weighted, without replacement."""
+    subs = _pairs(spark, d).select("subtask").distinct().where("subtask is not null")
+    got = G.weighted_permutation(subs.withColumn("pool", F.lit("p")), _pool(spark, d).withColumn("pool", F.lit("p")), ["pool"], ["subtask"], 5)
+    return got.select("subtask", F.posexplode("lemmas").alias("pos", "lemma"))
+
+
+def j3_row_join(spark, d):
+    """Lines beside what the stream's first file has at the same physical row."""
+    raw = table(spark, d, "raw_line").where("line_no is not null").select("file_stream", "file_name", "line_no", F.length("payload").alias("size"))
+    lines = raw.select("file_stream", "file_name", "line_no").distinct()
+    first = raw.join(raw.groupBy("file_stream").agg(F.min("file_name").alias("file_name")), ["file_stream", "file_name"], "left_semi")
+    return R.by_row(lines, first.select("file_stream", "line_no", "size"), ["size"], ("file_stream", "line_no")).withColumn("size", F.coalesce("size", F.lit(-1)))
+
+
+def op_p20_inflected(spark, d):
+    """Frames of verbs whose rarer past or -ing form is frequent enough."""
+    v = _swaps(spark, d).where("pos = 'verb' and lemma is not null and new is not null")
+    forms = v.select(F.lower("lemma").alias("lemma"), F.when(F.col("tag") == "VB", "VBG").otherwise(F.col("tag")).alias("tag"), F.lower(F.trim("new")).alias("form"))
+    return C.filter_inflected(frames(spark, d), table(spark, d, "zipf_lexicon"), forms, 2.0, 4.5).select("lemma", "kind").distinct()
+
+
 def o5_seeded_sample(spark, d):
     return G.seeded_order(_pairs(spark, d), ["subtask", "idx"], 7, 100)
 
@@ -272,7 +300,7 @@ QUERIES = {
         w1_clause_markers, a15_verb_counts, w2_verb_prepositions, a16_marker_rates, a17_clause_lists, w3_sentences, j11_augment,
         j8_attestation, j9_missing, j10_prune, j6_lookup, j14_transitivity, op_p21_filter, j13_veto, a21_sense_counts, op_p14_dominant,
         op_p12_pool, op_p19_relaxed, op_p13_keep_or_all, op_p11_shapes, u2_ordered_union, j12_members, g3_uniform_choice,
-        g1_weighted_choice, o5_seeded_sample, g14_windows, f15_weights, f1_casing, f3_detokenise, k1_unigram_nll, k2_pair_scores, s26_unscored,
+        g1_weighted_choice, g1_weighted_order, g2_weighted_permutation, j3_row_join, op_p20_inflected, o5_seeded_sample, g14_windows, f15_weights, f1_casing, f3_detokenise, k1_unigram_nll, k2_pair_scores, s26_unscored,
     )
 }
 
@@ -317,6 +345,9 @@ _LEX = "lex AS (SELECT lower(word) AS lemma, max(zipf) AS zipf FROM zipf_lexicon
 _PAIRS = f"pr AS (SELECT DISTINCT {same_name_sql('subtask')} AS subtask, idx FROM source_pair WHERE idx IS NOT NULL)"
 _DRAW = lambda *p: f"('0x' || substr(md5(concat_ws('|', {', '.join(p)})), 1, 13))::BIGINT"
 _POOL = f"{_LEX}, pool AS (SELECT lemma, zipf FROM lex WHERE zipf < 3.0 AND zipf >= 2.2)"
+_CDF = """iv AS (SELECT lemma, floor(greatest(pow(10.0, zipf), 0.001) * 1048576)::HUGEINT AS w FROM pool),
+cdf AS (SELECT lemma, sum(w) OVER (ORDER BY lemma) AS hi, sum(w) OVER (ORDER BY lemma) - w AS lo, sum(w) OVER () AS total FROM iv)"""
+_AT = lambda u: f"({u}::HUGEINT * (SELECT any_value(total) FROM cdf)::HUGEINT) // 4503599627370496::HUGEINT"
 _LM = r"""uw AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}]+')) AS word FROM documents), uc AS (SELECT word, count(*) AS n FROM uw GROUP BY word),
 um AS (SELECT sum(n) AS total, count(*) AS kinds FROM uc)"""
 _NLL = r"""tw AS (SELECT text, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}]+')) AS word FROM texts),
@@ -369,10 +400,24 @@ ORACLES = {
     "g3_uniform_choice": f"""WITH {_PAIRS}, {_POOL}, q AS (SELECT lemma, row_number() OVER (ORDER BY lemma) - 1 AS pos, count(*) OVER () AS size FROM pool),
         t AS (SELECT subtask, idx, a::INT AS attempt, {_DRAW("'0'", "coalesce(subtask, '')", "idx::VARCHAR", "a::VARCHAR")} % (SELECT any_value(size) FROM q) AS pos FROM pr, range(3) r(a))
         SELECT subtask, idx, attempt, lemma FROM t JOIN q USING (pos)""",
-    "g1_weighted_choice": f"""WITH {_PAIRS}, {_POOL}, w AS (SELECT lemma, greatest(pow(10.0, zipf), 0.001) AS w FROM pool),
-        c AS (SELECT lemma, w, sum(w) OVER (ORDER BY lemma) AS up, sum(w) OVER () AS tot FROM w),
-        t AS (SELECT subtask, idx, {_DRAW("'0'", "coalesce(subtask, '')", "idx::VARCHAR")} / 4503599627370496.0 AS u FROM pr)
-        SELECT subtask, idx, lemma FROM t JOIN c ON round((up - w) / tot, 12) <= u AND u < round(up / tot, 12)""",
+    "g1_weighted_choice": f"""WITH {_PAIRS}, {_POOL}, {_CDF},
+        t AS (SELECT subtask, idx, {_AT(_DRAW("'0'", "coalesce(subtask, '')", "idx::VARCHAR"))} AS u FROM pr)
+        SELECT subtask, idx, lemma FROM t JOIN cdf ON lo <= u AND u < hi""",
+    "g1_weighted_order": f"""WITH {_PAIRS}, {_POOL}, {_CDF},
+        t AS (SELECT subtask, idx, a, {_AT(_DRAW("'3'", "coalesce(subtask, '')", "idx::VARCHAR", "a::VARCHAR"))} AS u FROM pr, range(64) r(a)),
+        f AS (SELECT subtask, idx, lemma, min(a) AS a FROM t JOIN cdf ON lo <= u AND u < hi GROUP BY ALL)
+        SELECT subtask, idx, string_agg(lemma, '|' ORDER BY a) AS lemmas FROM f GROUP BY ALL""",
+    "g2_weighted_permutation": f"""WITH {_PAIRS}, {_POOL}, s AS (SELECT DISTINCT subtask FROM pr WHERE subtask IS NOT NULL),
+        k AS (SELECT subtask, lemma, -ln(({_DRAW("'5'", "subtask", "lemma")} + 1) / 4503599627370497.0) / greatest(pow(10.0, zipf), 0.001) AS k FROM s, pool)
+        SELECT subtask, (row_number() OVER (PARTITION BY subtask ORDER BY k, lemma) - 1)::INT AS pos, lemma FROM k""",
+    "j3_row_join": """WITH f AS (SELECT file_stream, min(file_name) AS file_name FROM raw_line WHERE line_no IS NOT NULL GROUP BY 1),
+        m AS (SELECT file_stream, line_no, max(length(payload)) AS size FROM raw_line SEMI JOIN f USING (file_stream, file_name) GROUP BY ALL)
+        SELECT file_stream, file_name, line_no, coalesce(size, -1)::INT AS size FROM (SELECT DISTINCT file_stream, file_name, line_no FROM raw_line WHERE line_no IS NOT NULL) LEFT JOIN m USING (file_stream, line_no)""",
+    "op_p20_inflected": f"""WITH {_FR}, {_LEX}, fm AS (SELECT DISTINCT lower(lemma) AS lemma, CASE WHEN tag = 'VB' THEN 'VBG' ELSE tag END AS tag, lower(trim(new)) AS form
+          FROM sw WHERE pos = 'verb' AND lemma IS NOT NULL AND new IS NOT NULL),
+        z AS (SELECT fm.lemma, tag, max(coalesce(zipf, 0)) AS z FROM fm LEFT JOIN lex ON fm.form = lex.lemma WHERE tag IN ('VBD', 'VBG') GROUP BY ALL),
+        ok AS (SELECT lemma FROM z GROUP BY lemma HAVING count(*) = 2 AND round(min(z), 6) >= 1.1)
+        SELECT DISTINCT fr.lemma, kind FROM fr LEFT JOIN lex USING (lemma) WHERE coalesce(zipf, 0) < 4.5 AND coalesce(zipf, 0) >= 2.0 AND fr.lemma IN (SELECT lemma FROM ok)""",
     "o5_seeded_sample": f"WITH {_PAIRS} SELECT * FROM pr ORDER BY {_DRAW(chr(39) + '7' + chr(39), 'coalesce(subtask, ' + chr(39) * 2 + ')', 'idx::VARCHAR')}, subtask, idx LIMIT 100",
     "g14_windows": f"""WITH {_LEX}, b(lo, hi) AS (VALUES (3.6::DOUBLE, 5.0::DOUBLE), (2.2, 3.0), (1.2, 2.0), (NULL, 3.4)) SELECT lo, hi, count(*) AS n FROM lex JOIN b ON zipf < hi AND (lo IS NULL OR zipf >= lo) GROUP BY ALL""",
     "f15_weights": "SELECT DISTINCT word, n, round(greatest(pow(pow(10.0, zipf), 0.5), 0.001), 6) AS weight FROM zipf_lexicon".replace("word, n, ", "word, "),

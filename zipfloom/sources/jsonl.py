@@ -67,3 +67,30 @@ def split_outputs(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Generated rows without the originals, and originals without the swapped texts."""
     drop = lambda end: [c for c in records.columns if c.endswith(end)]
     return records.drop(*drop("_original")), records.drop(*drop("_freq"))
+
+
+def read_pairs(spark: SparkSession, folder: str, names: list[str], schema: str = "sentence_good string, sentence_bad string, field string") -> DataFrame:
+    """Source pairs of configurations by name: ``<folder>/<name>.jsonl`` or ``.parquet``, one scan for all.
+
+    ``subtask`` is the file's name, ``idx`` the row's number in it, from 0.
+    Names without a file raise, as Spark does for a missing path.
+    """
+    kinds = spark.createDataFrame([], schema).schema
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    there = lambda p: Path(p).getFileSystem(hadoop).exists(Path(p))
+    tables = [n for n in names if there(f"{folder}/{n}.parquet")]
+    texts = [f"{folder}/{n}.jsonl" for n in names if n not in tables]
+    name = F.regexp_extract("file", r"([^/]+)\.jsonl$", 1).alias("subtask")
+    parts = []
+    if texts:
+        parts.append(read_tolerant(spark, texts, kinds).select(name, F.col("_row").cast("int").alias("idx"), *kinds.names))
+    for n in tables:
+        got = spark.read.parquet(f"{folder}/{n}.parquet")
+        rest = [F.col(c) if c in got.columns else F.lit(None).cast("string").alias(c) for c in kinds.names]
+        number = F.col("idx").cast("int") if "idx" in got.columns else F.monotonically_increasing_id().cast("int")
+        parts.append(got.select(F.lit(n).alias("subtask"), number.alias("idx"), *rest))
+    out = parts[0] if parts else spark.createDataFrame([], f"subtask string, idx int, {schema}")
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
