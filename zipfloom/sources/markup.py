@@ -19,6 +19,9 @@ CATEGORIES = {
     "female": ["en:Female people", "en:Women", "en:Female family members", "en:Female animals"],
     "male": ["en:Male people", "en:Men", "en:Male family members", "en:Male animals"],
 }
+#: Templates that hold categories, and those that hold labels.
+CATEGORY_TEMPLATES = ["c", "cln"]
+LABEL_TEMPLATES = ["lb", "lbl", "label", "qualifier", "qual", "q", "qq", "topics"]
 TOPICS = {"female": ["female", "women", "woman"], "male": ["male", "men", "man"]}
 
 
@@ -29,28 +32,41 @@ def wiki_pages(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("title", F.coalesce("ns", F.lit(0)).alias("ns"), F.col("redirect").isNotNull().alias("redirect"), text.alias("text"))
 
 
+def _without(c: Column, start: str) -> Column:
+    """Without a leading word, whatever its case."""
+    return F.when(F.lower(c).startswith(start), F.trim(F.substr(c, F.lit(len(start) + 1)))).otherwise(c)
+
+
 def _category(c: Column) -> Column:
-    s = F.regexp_replace(F.trim(c), "^:", "")
-    s = F.trim(F.regexp_replace(s, "(?i)^category:", ""))
-    return F.when(s == "", None).when(F.lower(s).startswith("en:"), s).otherwise(F.concat(F.lit("en:"), s))
+    name = _without(_without(F.trim(c), ":"), "category:")
+    return F.when(name == "", None).when(F.lower(name).startswith("en:"), name).otherwise(F.concat(F.lit("en:"), name))
+
+
+def _bracketed(text: Column, opening: str, closing: str) -> Column:
+    """The parts, cut at ``|`` and trimmed, of every innermost bracket pair; the first names it."""
+    inner = F.regexp_extract_all(text, F.lit(rf"\Q{opening}\E([^\[\]{{}}]*)\Q{closing}\E"), F.lit(1))
+    return F.transform(inner, lambda t: F.transform(F.split(t, r"\|"), F.trim))
+
+
+def templates(text: Column | str, names: list[str]) -> Column:
+    """The arguments of every template of one of the names."""
+    t = F.col(text) if isinstance(text, str) else text
+    named = F.filter(_bracketed(t, "{{", "}}"), lambda p: (F.size(p) > 1) & F.lower(p[0]).isin(names))
+    return F.transform(named, lambda p: F.slice(p, F.lit(2), F.size(p)))
 
 
 def categories(text: Column | str) -> Column:
     """Categories out of links and of English category templates, with ``en:`` before them."""
     t = F.col(text) if isinstance(text, str) else text
-    links = F.regexp_extract_all(t, F.lit(r"(?i)\[\[\s*Category\s*:\s*([^\]|]+)"), F.lit(1))
-    boxes = F.regexp_extract_all(t, F.lit(r"(?i)\{\{\s*(?:c|cln)\s*\|([^}{]+)\}\}"), F.lit(1))
-    parts = F.transform(boxes, lambda b: F.transform(F.split(b, r"\|"), F.trim))
-    english = F.filter(parts, lambda p: (F.size(p) > 1) & (F.lower(F.element_at(p, 1)) == "en"))
-    named = F.flatten(F.transform(english, lambda p: F.slice(p, F.lit(2), F.size(p))))
+    links = F.filter(F.transform(_bracketed(t, "[[", "]]"), lambda p: F.regexp_replace(p[0], r"\s*:\s*", ":")), lambda x: F.lower(x).startswith("category:"))
+    english = F.filter(templates(t, CATEGORY_TEMPLATES), lambda a: F.lower(a[0]) == "en")
+    named = F.flatten(F.transform(english, lambda a: F.slice(a, F.lit(2), F.size(a))))
     return F.array_compact(F.transform(F.concat(links, named), _category))
 
 
 def labels(text: Column | str) -> Column:
-    """Parts of label, qualifier and topic templates in lower case."""
-    t = F.col(text) if isinstance(text, str) else text
-    got = F.regexp_extract_all(t, F.lit(r"(?i)\{\{\s*(?:lb|lbl|label|qualifier|qual|q|qq|topics)\s*\|([^}{]+)\}\}"), F.lit(1))
-    return F.flatten(F.transform(got, lambda b: F.transform(F.split(b, r"\|"), lambda p: F.lower(F.trim(p)))))
+    """Arguments of label, qualifier and topic templates in lower case."""
+    return F.transform(F.flatten(templates(text, LABEL_TEMPLATES)), F.lower)
 
 
 def _contains(items: Column, words: list[str]) -> Column:
@@ -77,7 +93,7 @@ def gendered_lemmas(
         p = p.where(F.col("text").contains("==English==") & F.col("text").contains("===Noun==="))
     p = p.withColumns({"cats": categories("text"), "labels": labels("text")})
     p = p.where(~_contains(F.col("cats"), BLOCKED_CATEGORIES) & ~_contains(F.col("labels"), BLOCKED_LABELS))
-    topics = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(r"(?i)\{\{\s*topics\s*\|([^}]+)\}\}"), F.lit(1)), lambda b: F.split(b, r"\|")))
+    topics = F.flatten(templates("text", ["topics"]))
     tests = []
     for g in sorted({*by_category, *by_topic}):
         cat = F.arrays_overlap("cats", F.array(*[F.lit(c) for c in by_category.get(g, [""])]))
