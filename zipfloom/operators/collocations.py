@@ -30,8 +30,11 @@ def document_runs(tokens: DataFrame, lines_per_chunk: int = LINES_PER_CHUNK) ->
     Files are cut into chunks of lines, so a file that holds a third of all
     tokens isn't one window group: changes are summed within a chunk, and the
     chunks' sums and last ids, which are few, carry over.  Tokens may bring the
-    numbers of their chunks as ``chunk``, which never falls along line_no.
+    numbers of their chunks as ``chunk``, which never falls along line_no, or
+    their ``run``, where a source knows it; those are left as they are.
     """
+    if "run" in tokens.columns:
+        return tokens
     chunk = F.col("chunk") if "chunk" in tokens.columns else F.floor(F.col("line_no") / lines_per_chunk)
     t = tokens.withColumn("_chunk", chunk)
     inside = Window.partitionBy("file", "_chunk").orderBy("line_no")

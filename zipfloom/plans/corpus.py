@@ -24,8 +24,12 @@ DOCS_PER_CHUNK = 5
 _VERBS = ["note", "says", "said", "is", "are", "was", "were"]
 
 
-def tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as a tagged token stream; tags by a small rule."""
+def tokens(spark: SparkSession, d: str, told: bool = True) -> DataFrame:
+    """Documents as a tagged token stream; tags by a small rule.
+
+    A document is one run, which the stream tells; without ``told`` runs are to
+    be found from the documents' order, as in a stream read from files.
+    """
     docs = table(spark, d, "documents").where("text is not null")
     words = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("file"), F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(1))).alias("p", "surface"))
     w = F.col("surface")
@@ -35,7 +39,14 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
     )
     line = F.struct("doc_id", "p").alias("line_no")  # documents of any length follow each other
     chunk = F.floor(F.col("doc_id") / DOCS_PER_CHUNK).alias("chunk")
-    return words.select("file", line, chunk, F.col("doc_id").cast("string").alias("doc_id"), "surface", w.alias("lemma"), pos.alias("pos"))
+    run = F.col("doc_id").alias("run") if told else chunk
+    return words.select("file", line, run, F.col("doc_id").cast("string").alias("doc_id"), "surface", w.alias("lemma"), pos.alias("pos"))
+
+
+def w3_document_runs(spark, d):
+    """Runs of documents found in the token stream of every source, and their tokens."""
+    got = C.document_runs(tokens(spark, d, told=False))
+    return got.groupBy("file", "run").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_tokens")).drop("run")
 
 
 def w1_clause_markers(spark, d):
@@ -297,7 +308,7 @@ def s26_unscored(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        w1_clause_markers, a15_verb_counts, w2_verb_prepositions, a16_marker_rates, a17_clause_lists, w3_sentences, j11_augment,
+        w1_clause_markers, w3_document_runs, a15_verb_counts, w2_verb_prepositions, a16_marker_rates, a17_clause_lists, w3_sentences, j11_augment,
         j8_attestation, j9_missing, j10_prune, j6_lookup, j14_transitivity, op_p21_filter, j13_veto, a21_sense_counts, op_p14_dominant,
         op_p12_pool, op_p19_relaxed, op_p13_keep_or_all, op_p11_shapes, u2_ordered_union, j12_members, g3_uniform_choice,
         g1_weighted_choice, g1_weighted_order, g2_weighted_permutation, j3_row_join, op_p20_inflected, o5_seeded_sample, g14_windows, f15_weights, f1_casing, f3_detokenise, k1_unigram_nll, k2_pair_scores, s26_unscored,
@@ -355,6 +366,7 @@ sc AS (SELECT text, round(sum(-ln((coalesce(n, 0) + 1) / (total + kinds + 1))),
 
 ORACLES = {
     "w1_clause_markers": f"WITH {_TOK}, {_markers(2, _WH)} SELECT * FROM mc",
+    "w3_document_runs": f"WITH {_TOK} SELECT file, doc_id::VARCHAR AS doc_id, count(*) AS n_tokens FROM tok GROUP BY ALL",
     "a15_verb_counts": f"WITH {_TOK}, {_VC} SELECT * FROM vc",
     "w2_verb_prepositions": f"WITH {_TOK}, {_VP} SELECT * FROM vpc",
     "a16_marker_rates": f"WITH {_TOK}, {_VC}, {_markers(2, _WH)}, {_rates(_WH, 2)} SELECT * FROM rt",
