@@ -358,7 +358,7 @@ def _documents(shared, every: bool):
                     "no_sentence" if not whole else "unsure" if not langs else "mixed" if len(langs) > 1
                     else "missing" if own is None else "wrong" if own != lang else "right"
                 )
-                stretches = [dict(zip(keys, s)) for s in _stretches(sentences)]
+                stretches = [dict(zip(keys, s)) for s in _stretches(sentences)] if every else None
                 conf = (sure[lang] if lang else any_[guess]) / size if guess else None
                 for c, v in zip(cols, (label, own, lang, lang or guess, conf, langs, status, stretches)):
                     c.append(v)
@@ -398,7 +398,7 @@ def name_languages(docs: DataFrame, model: Model | None, every: bool = True) ->
     they have.  status is ``no_sentence`` (null and empty texts, codes, headlines), ``unsure`` (all sentences rejected),
     ``mixed``, ``missing`` (the label names no language), ``wrong`` or ``right``.
     Without ``every`` only whole sentences are named, which is all that
-    :func:`label_cases` asks for.  Without a model nothing is named.  Whole texts are read, whatever their
+    :func:`label_cases` asks for, and ``stretches`` is null.  Without a model nothing is named.  Whole texts are read, whatever their
     length.  A narrow map; the model is broadcast, its size is fixed.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
