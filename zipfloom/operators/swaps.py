@@ -26,14 +26,16 @@ from .lexicon import OWN, Lexicon, own_entries
 TRIES = 8
 
 _SLOT = "struct<stage:string,g_key:string,b_key:string,g_pool:string,b_pool:string,g:int,b:int,g_tag:string,b_tag:string,lemma:string>"
-_TOKENS = "array<struct<text:string,lemma:string,tag:string>>"
+#: Tokens and candidates travel as strings cut at this sign, which costs far less than structs in Python.
+CUT = "\x1f"
+_TOKENS = "array<string>"
 _FOUND = (
     f"subtask string, idx int, phenomenon string, good string, bad string, g_tokens {_TOKENS}, b_tokens {_TOKENS}, "
     f"slots array<{_SLOT}>, reasons array<string>"
 )
 _SWAP = "struct<i:int,old:string,new:string,tag:string,lemma:string,pos:string>"
 _FORMS = "map<string,string>"
-_PICKS = f"array<struct<stage:string,key:string,attempt:int,lemma:string,forms:{_FORMS}>>"
+_PICKS = "array<string>"
 RECORD = (
     "phenomenon string, subtask string, idx int, good_original string, bad_original string, good_freq string, bad_freq string, "
     f"g_swaps array<{_SWAP}>, b_swaps array<{_SWAP}>, swap_failed_reason string"
@@ -69,7 +71,7 @@ def _verb_pool(v: X.VerbTarget, kind: str, pools: set[str]) -> str | None:
 
 
 #: What a pair with open slots carries on to its second turn.
-_OPEN = f"g_tokens {_TOKENS}, b_tokens {_TOKENS}, slots array<{_SLOT}>, reasons array<string>, picks {_PICKS}, open array<struct<stage:string,key:string,pool:string>>"
+_OPEN = f"g_tokens {_TOKENS}, b_tokens {_TOKENS}, slots array<{_SLOT}>, reasons array<string>, picks {_PICKS}, forms array<string>, open array<struct<stage:string,key:string,pool:string>>"
 
 
 def find_slots(good: str, bad: str, parser: P.Parser, pools: set[str], phenomenon: str, subtask: str, stages: set[str]) -> tuple[list[dict], list[str]]:
@@ -164,7 +166,8 @@ def aligned_slots(g: P.Sentence, b: P.Sentence, pools: set[str], phenomenon: str
 
 def _sentence(tokens) -> P.Sentence:
     """Carried tokens, without their heads, which realising doesn't ask for."""
-    return P.Sentence([P.Token(i, t["text"], t["lemma"], "", t["tag"]) for i, t in enumerate(tokens)])
+    cut = (t.split(CUT) for t in tokens)
+    return P.Sentence([P.Token(i, text, lemma, "", tag) for i, (text, lemma, tag) in enumerate(cut)])
 
 
 def realise_pair(sides: dict[str, P.Sentence], slots: list, picks: dict[tuple[str, str], list[tuple[str, dict]]], reasons: list[str], fits=None, unresolved: list | None = None) -> tuple:
@@ -270,7 +273,7 @@ def generate(
                 if good and bad:
                     own_entries(p, getattr(r, "own", None))
                     g, b = P.Sentence(p.parse(good)), P.Sentence(p.parse(bad))
-                    carried = [[{"text": t.text, "lemma": t.lemma, "tag": t.tag} for t in s.tokens] for s in (g, b)]
+                    carried = [[f"{t.text}{CUT}{t.lemma}{CUT}{t.tag}" for t in s.tokens] for s in (g, b)]
                     found = aligned_slots(g, b, names, r.phenomenon or "", r.subtask or "", wanted)
                 rows.append((r.subtask, r.idx, r.phenomenon, good, bad, *carried, *found))
             yield pd.DataFrame(rows, columns=["subtask", "idx", "phenomenon", "good", "bad", "g_tokens", "b_tokens", "slots", "reasons"])
@@ -286,10 +289,14 @@ def generate(
     each = found.select("subtask", "idx", F.explode("slots").alias("s")).select("subtask", "idx", F.explode(F.array(side("g"), side("b"))).alias("x"))
     keys = each.select("subtask", "idx", "x.*").distinct()
     drawn = choice.pick_uniform(keys, pool, ["pool"], ["subtask", "idx", "stage", "key"], seed, TRIES)
-    one = F.struct("stage", "key", "attempt", "lemma", "forms")
-    picks = drawn.groupBy("subtask", "idx").agg(F.collect_list(one).alias("picks"))
+    one = F.concat_ws(CUT, "stage", "key", F.lpad(F.col("attempt").cast("string"), 3, "0"), "lemma")
+    held = F.transform(F.map_entries("forms"), lambda e: F.concat_ws(CUT, "lemma", e["key"], e["value"]))
+    picks = drawn.groupBy("subtask", "idx").agg(
+        F.array_sort(F.collect_list(one)).alias("picks"),
+        (F.array_distinct(F.flatten(F.collect_list(held))) if forms is not None else F.lit(None).cast("array<string>")).alias("forms"),
+    )
     cond = [found["subtask"].eqNullSafe(picks["subtask"]), found["idx"].eqNullSafe(picks["idx"])]
-    ready = found.join(picks, cond, "left").select(found["*"], picks["picks"]).repartition(n, "subtask", "idx")
+    ready = found.join(picks, cond, "left").select(found["*"], picks["picks"], picks["forms"]).repartition(n, "subtask", "idx")
 
     record = [c.split()[0] for c in RECORD.split(", ") if not c.startswith(("new", "old"))][:10]
 
@@ -297,20 +304,24 @@ def generate(
         for pdf in parts:
             rows = []
             for r in pdf.itertuples(index=False):
-                got, kept = (None, None, [], [], "no_swap"), (None, None, None, None, None, [])
+                got, kept = (None, None, [], [], "no_swap"), (None, None, None, None, None, None, [])
                 if r.good and r.bad:
                     drawn, unresolved = {}, []
-                    picks = sorted(r.picks, key=lambda x: x["attempt"]) if r.picks is not None else []
+                    picks = list(r.picks) if r.picks is not None else []
+                    known: dict[str, dict] = {}
+                    for lemma, tag, form in (x.split(CUT) for x in (r.forms if r.forms is not None else [])):
+                        known.setdefault(lemma, {})[tag] = form
                     for x in picks:
-                        drawn.setdefault((x["stage"], x["key"]), []).append((x["lemma"], _map(x["forms"])))
+                        stage, key, _, lemma = x.split(CUT)
+                        drawn.setdefault((stage, key), []).append((lemma, known.get(lemma, {})))
                     for x in r.more if r.more is not None else []:
                         drawn.setdefault((x["stage"], x["key"]), []).extend((y["lemma"], _map(y["forms"])) for y in x["lemmas"])
                     sides = {"g": _sentence(r.g_tokens), "b": _sentence(r.b_tokens)}
                     got = realise_pair(sides, list(r.slots), drawn, list(r.reasons), fits, unresolved)
                     if unresolved and r.more is None:
-                        kept = list(r.g_tokens), list(r.b_tokens), list(r.slots), list(r.reasons), picks, unresolved
+                        kept = list(r.g_tokens), list(r.b_tokens), list(r.slots), list(r.reasons), picks, None if r.forms is None else list(r.forms), unresolved
                 rows.append((r.phenomenon, r.subtask, r.idx, r.good, r.bad, *got, *kept))
-            yield pd.DataFrame(rows, columns=[*record, "g_tokens", "b_tokens", "slots", "reasons", "picks", "open"])
+            yield pd.DataFrame(rows, columns=[*record, "g_tokens", "b_tokens", "slots", "reasons", "picks", "forms", "open"])
 
     rest = f"array<struct<stage:string,key:string,lemmas:array<struct<lemma:string,forms:{_FORMS}>>>>"
     first = materialise(ready.withColumn("more", F.lit(None).cast(rest)).mapInPandas(texts, f"{RECORD}, {_OPEN}"), "swapped")
@@ -324,7 +335,7 @@ def generate(
     cond = F.col("subtask").eqNullSafe(F.col("_subtask")) & F.col("idx").eqNullSafe(F.col("_idx"))
     again = unresolved.join(more, cond).select(
         "subtask", "idx", "phenomenon", F.col("good_original").alias("good"), F.col("bad_original").alias("bad"),
-        "g_tokens", "b_tokens", "slots", "reasons", "picks", "more",
+        "g_tokens", "b_tokens", "slots", "reasons", "picks", "forms", "more",
     )
     done = again.repartition(n, "subtask", "idx").mapInPandas(texts, f"{RECORD}, {_OPEN}")
     return first.where(F.size("open") == 0).select(*record).unionByName(done.select(*record))

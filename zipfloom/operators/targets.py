@@ -1,6 +1,6 @@
 """Which tokens of a parsed sentence may be swapped, and why the others may not.
 
-Every token gets a set of features; a kind of target is a table of named rules
+Every token has features; a kind of target is a table of named rules
 over features.  The first rule that a token breaks is its reason, so a caller
 sees the rejected tokens too.  A verb's frame is read off a census of its
 children's roles.
@@ -36,8 +36,10 @@ class Rule(NamedTuple):
     bar: frozenset[str] = frozenset()
     unless: frozenset[str] = frozenset()
 
-    def kept(self, f: set[str]) -> bool:
-        return bool(self.unless & f) or (not self.bar & f and (not self.need or bool(self.need & f)))
+    def kept(self, has: Callable[[str], bool]) -> bool:
+        if self.need and not any(map(has, self.need)):
+            return any(map(has, self.unless))
+        return not any(map(has, self.bar)) or any(map(has, self.unless))
 
 
 def _rule(reason: str, need: str = "", bar: str = "", unless: str = "") -> Rule:
@@ -88,8 +90,8 @@ def is_ex_compound(s: Sentence, t: Token) -> bool:
     return [x.low for x in s.tokens[max(0, t.i - 2) : t.i]] == ["ex", "-"]
 
 
-#: Features beside ``pos:``, ``dep:`` and the flags of the token: name and test.
-_FEATURES: tuple[tuple[str, Callable[[Sentence, Token], object]], ...] = (
+#: Features beside ``pos:``, ``dep:`` and ``bound``: name and test.
+_FEATURES: dict[str, Callable[[Sentence, Token], object]] = dict((
     ("common_noun", lambda s, t: t.pos == "NOUN" and t.tag in ("NN", "NNS")),
     ("listed_plural", lambda s, t: t.low in PLURALS),
     ("common_plural", lambda s, t: t.low in PLURALS or t.tag in ("NNS", "NNPS") and singularise(t.text) is not None),
@@ -100,22 +102,31 @@ _FEATURES: tuple[tuple[str, Callable[[Sentence, Token], object]], ...] = (
     ("subject", lambda s, t: t.dep in SUBJECT),
     ("has_subject", lambda s, t: s.children(t, *SUBJECT)),
     ("partitive", lambda s, t: t.low in PARTITIVES and s.word(t.i + 1) == "of" and (t.low == "lots" or s.word(t.i - 1) in DEMONSTRATIVES)),
-    ("articled", lambda s, t: s.word(t.i - 1) in ARTICLES or (t.i > 0 and s.tokens[t.i - 1].pos == "DET")),
     ("quantity", lambda s, t: t.low in PLAIN_QUANTITIES),
     ("opening_name", lambda s, t: t.i == 0 and t.text[:1].isupper() and t.lemma == t.text),
     ("by_common_noun", lambda s, t: (h := s.at(t.head)) and h.pos == "NOUN" and h.tag in ("NN", "NNS") and h.dep != "ROOT" and abs(h.i - t.i) <= 2),
     ("under_be", lambda s, t: (h := s.at(t.head)) and h.lemma.lower() == "be"),
     ("to_infinitive", lambda s, t: _infinitive(s, s.at(t.head)) or any(_infinitive(s, k) for h in (s.at(t.head), t) if h for k in s.children(h, "xcomp"))),
     ("before_there", lambda s, t: any(x.low == "there" and x.dep in EXPLETIVE for x in s.tokens) and not any(x.low == "there" and x.dep in EXPLETIVE for x in s.tokens[: t.i])),
-)
+    ("properish", lambda s, t: t.proper or t.text[:1].isupper() and (t.lemma == t.text or not _articled(s, t))),
+))
+
+
+def _articled(s: Sentence, t: Token) -> bool:
+    return s.word(t.i - 1) in ARTICLES or (t.i > 0 and s.tokens[t.i - 1].pos == "DET")
+
+
+def features(s: Sentence, t: Token, bound: Bound) -> Callable[[str], bool]:
+    """Does the token have a feature?  Asked for by name, as most tokens break the first rule."""
+    known: dict[str, bool] = {f"pos:{t.pos}": True, f"dep:{t.dep}": True, "bound": t.i in bound}
 
+    def has(name: str) -> bool:
+        got = known.get(name)
+        if got is None:
+            got = known[name] = name[3] != ":" and bool(_FEATURES[name](s, t))
+        return got
 
-def features(s: Sentence, t: Token, bound: Bound) -> set[str]:
-    out = {f"pos:{t.pos}", f"dep:{t.dep}", *(name for name, test in _FEATURES if test(s, t))}
-    if t.i in bound:
-        out.add("bound")
-    capital = t.text[:1].isupper() and (t.lemma == t.text or "articled" not in out)
-    return out | {"properish"} if t.proper or capital else out
+    return has
 
 
 def verdicts(s: Sentence, rules: tuple[Rule, ...], bound: Bound | None = None) -> list[tuple[Token, str | None]]:
@@ -123,8 +134,8 @@ def verdicts(s: Sentence, rules: tuple[Rule, ...], bound: Bound | None = None) -
     bound = reflexive_subjects(s) if bound is None else bound
     out = []
     for t in s.tokens:
-        f = features(s, t, bound)
-        out.append((t, next((r.reason for r in rules if not r.kept(f)), None)))
+        has = features(s, t, bound)
+        out.append((t, next((r.reason for r in rules if not r.kept(has)), None)))
     return out
 
 
