@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -256,6 +258,61 @@ def op_p20_inflected(spark, d):
     return C.filter_inflected(frames(spark, d), table(spark, d, "zipf_lexicon"), forms, 2.0, 4.5).select("lemma", "kind").distinct()
 
 
+def op_p22_verbs(spark, d):
+    """Lemmas that are verbs above all, by the first share that any reaches."""
+    return C.verb_choices(C.synset_counts(senses(spark, d)), 1.0).select("lemma")
+
+
+def op_p16_nouns(spark, d):
+    """Nouns without those that are verbs too, which stand for places, times and names here."""
+    own = senses(spark, d).where("pos = 'n'").select("lemma").distinct()
+    flags = senses(spark, d).where("pos = 'v'").select("lemma", F.lit(True).alias("is_location"), F.lit(None).cast("boolean").alias("is_time"), F.lit(False).alias("is_proper"))
+    return C.noun_pool(own, flags.distinct())
+
+
+def op_p24_filter(spark, d):
+    """Scores of the datasets named after a window, of models with at least a fifth of them."""
+    once = R.scores_once(table(spark, d, "pair_score"))
+    kept = R.report_filter(once, contains="zw", window_only=True, variant="freq", least=100, by="dataset")
+    return kept.groupBy("dataset").agg(F.count("*").alias("n"))
+
+
+def s2_tolerant(spark, d):
+    """Payloads written as a text file and read again line by line: whole objects by field."""
+    from ..runtime import shared_dir
+    from ..sources import jsonl
+
+    path = f"{shared_dir(spark)}/zipfloom/lines-{uuid.uuid4().hex}"
+    table(spark, d, "raw_line").select(F.coalesce("payload", F.lit("")).alias("value")).write.text(path)
+    kinds = spark.createDataFrame([], "subtask string, idx bigint").schema
+    got = jsonl.read_tolerant(spark, path, kinds)
+    return got.groupBy("subtask").agg(F.count("*").alias("n"), F.sum("idx").alias("idx"))
+
+
+def s3_strict(spark, d):
+    """The task list written as JSON lines and read strictly."""
+    from ..runtime import shared_dir
+    from ..sources import jsonl
+
+    path = f"{shared_dir(spark)}/zipfloom/tasks-{uuid.uuid4().hex}"
+    src = table(spark, d, "task_config").select("grp", "phenomenon", "subtask", "ord")
+    jsonl.write_jsonl(src, path)
+    return jsonl.read_strict(spark, path, src.schema)
+
+
+def s25_rewrite(spark, d):
+    """The same list rewritten in place, then not written again where it is."""
+    from ..runtime import shared_dir
+    from ..sources import files
+
+    path = f"{shared_dir(spark)}/zipfloom/rewritten-{uuid.uuid4().hex}"
+    src = table(spark, d, "task_config").select("subtask", "ord")
+    files.write_once(src, path)
+    files.rewrite(spark.read.schema(src.schema).json(path).withColumn("ord", F.col("ord") + 1), path)
+    files.write_once(src, path)
+    return spark.read.schema(src.schema).json(path)
+
+
 def o5_seeded_sample(spark, d):
     return G.seeded_order(_pairs(spark, d), ["subtask", "idx"], 7, 100)
 
@@ -311,7 +368,7 @@ QUERIES = {
         w1_clause_markers, w3_document_runs, a15_verb_counts, w2_verb_prepositions, a16_marker_rates, a17_clause_lists, w3_sentences, j11_augment,
         j8_attestation, j9_missing, j10_prune, j6_lookup, j14_transitivity, op_p21_filter, j13_veto, a21_sense_counts, op_p14_dominant,
         op_p12_pool, op_p19_relaxed, op_p13_keep_or_all, op_p11_shapes, u2_ordered_union, j12_members, g3_uniform_choice,
-        g1_weighted_choice, g1_weighted_order, g2_weighted_permutation, j3_row_join, op_p20_inflected, o5_seeded_sample, g14_windows, f15_weights, f1_casing, f3_detokenise, k1_unigram_nll, k2_pair_scores, s26_unscored,
+        g1_weighted_choice, g1_weighted_order, g2_weighted_permutation, j3_row_join, op_p20_inflected, op_p22_verbs, op_p16_nouns, op_p24_filter, s2_tolerant, s3_strict, s25_rewrite, o5_seeded_sample, g14_windows, f15_weights, f1_casing, f3_detokenise, k1_unigram_nll, k2_pair_scores, s26_unscored,
     )
 }
 
@@ -430,6 +487,23 @@ ORACLES = {
         z AS (SELECT fm.lemma, tag, max(coalesce(zipf, 0)) AS z FROM fm LEFT JOIN lex ON fm.form = lex.lemma WHERE tag IN ('VBD', 'VBG') GROUP BY ALL),
         ok AS (SELECT lemma FROM z GROUP BY lemma HAVING count(*) = 2 AND round(min(z), 6) >= 1.1)
         SELECT DISTINCT fr.lemma, kind FROM fr LEFT JOIN lex USING (lemma) WHERE coalesce(zipf, 0) < 4.5 AND coalesce(zipf, 0) >= 2.0 AND fr.lemma IN (SELECT lemma FROM ok)""",
+    "op_p22_verbs": f"""WITH {_SENSE}, x AS (SELECT *, v > 0 AND n < 3 AND a < 3 AND r < 3 AND NOT (n > 0 AND v < 3) AND v / (r + 1) >= 1 AND v / (a + 1) >= 1 AS ok, v / (n + 1) AS share FROM sc),
+        l AS (SELECT CASE WHEN bool_or(ok AND share >= 1) THEN 1.0 WHEN bool_or(ok AND share >= 0.6) THEN 0.6 WHEN bool_or(ok) THEN 0.0 END AS least FROM x)
+        SELECT lemma FROM x, l WHERE least IS NULL OR (ok AND share >= least)""",
+    "op_p16_nouns": f"WITH {_SW} SELECT DISTINCT lower(lemma) AS lemma FROM sw WHERE lemma IS NOT NULL AND prefix(pos, 'n') AND lower(lemma) NOT IN (SELECT lower(lemma) FROM sw WHERE prefix(pos, 'v') AND lemma IS NOT NULL)",
+    "op_p24_filter": r"""WITH once AS (SELECT score_id, arg_min(struct_pack(d := dataset, v := variant), ingested_at) AS s FROM pair_score GROUP BY score_id)
+        SELECT s.d AS dataset, count(*) AS n FROM once WHERE contains(s.d, 'zw') AND regexp_matches(s.d, 'zw_\d+p\d+_\d+p\d+') AND s.v = 'freq' GROUP BY 1 HAVING count(*) >= 100""",
+    "s2_tolerant": """WITH o AS (SELECT payload::JSON AS j FROM raw_line WHERE json_valid(payload)), k AS (SELECT j FROM o WHERE json_type(j) = 'OBJECT')
+        SELECT CASE WHEN json_type(j, '$.subtask') <> 'NULL' THEN j ->> '$.subtask' END AS subtask, count(*) AS n, sum(CASE WHEN json_type(j, '$.idx') IN ('BIGINT', 'UBIGINT') THEN (j ->> '$.idx')::BIGINT END)::BIGINT AS idx FROM k GROUP BY 1""",
+    "s3_strict": "SELECT grp, phenomenon, subtask, ord FROM task_config",
+    "s25_rewrite": "SELECT subtask, (ord + 1)::INT AS ord FROM task_config",
+    "f1_casing": r"""WITH x AS (SELECT DISTINCT s.old AS old, s.new AS new FROM (SELECT unnest(meta.g_swaps) AS s FROM (SELECT * FROM generated_pair QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY written_at DESC) = 1)
+          UNION ALL SELECT unnest(meta.b_swaps) FROM (SELECT * FROM generated_pair QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY written_at DESC) = 1)) WHERE s.old <> '' AND s.new <> ''),
+        y AS (SELECT *, array_to_string(list_transform(regexp_extract_all(old, '\p{L}+|\P{L}+'), lambda w: upper(w[1]) || lower(w[2:])), '') AS told,
+                 array_to_string(list_transform(regexp_extract_all(new, '\p{L}+|\P{L}+'), lambda w: upper(w[1]) || lower(w[2:])), '') AS tnew FROM x)
+        SELECT old, new, CASE WHEN (regexp_matches(old, '\p{L}') AND old = upper(old)) OR old IN ('ii', 'iii', 'iv') THEN upper(new) WHEN regexp_matches(old, '\p{L}') AND old = told THEN tnew
+          WHEN regexp_matches(old, '\p{L}') AND old = lower(old) THEN lower(new) WHEN regexp_matches(old[1], '\p{L}') AND old[1] = upper(old[1]) THEN tnew ELSE lower(new) END AS cased,
+          upper(new[1]) || new[2:] AS raised FROM y""",
     "o5_seeded_sample": f"WITH {_PAIRS} SELECT * FROM pr ORDER BY {_DRAW(chr(39) + '7' + chr(39), 'coalesce(subtask, ' + chr(39) * 2 + ')', 'idx::VARCHAR')}, subtask, idx LIMIT 100",
     "g14_windows": f"""WITH {_LEX}, b(lo, hi) AS (VALUES (3.6::DOUBLE, 5.0::DOUBLE), (2.2, 3.0), (1.2, 2.0), (NULL, 3.4)) SELECT lo, hi, count(*) AS n FROM lex JOIN b ON zipf < hi AND (lo IS NULL OR zipf >= lo) GROUP BY ALL""",
     "f15_weights": "SELECT DISTINCT word, n, round(greatest(pow(pow(10.0, zipf), 0.5), 0.001), 6) AS weight FROM zipf_lexicon".replace("word, n, ", "word, "),

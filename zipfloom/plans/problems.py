@@ -224,7 +224,27 @@ _AGGS = f"""SELECT table_name, rec_id, child, child_key, '' AS parent_key, n, oo
   UNION ALL SELECT 'raw_line', id, 'zipf_swapped_position_aggregates', z, {_json("e", "n", "int")}, {_json("e", "oov_count", "int")},
     {", ".join(_json("e", m, "double") for m in _MEANS)} FROM (SELECT id, z, json_extract(v, '$."' || z || '"') AS e FROM zk) WHERE json_type(e) <> 'NULL')"""
 
+_NESTED = """
+WITH lines AS (SELECT file_name, file_stream, file_ts, CASE WHEN json_valid(payload) THEN payload::JSON END AS j FROM raw_line),
+files AS (SELECT DISTINCT file_stream, file_ts, file_name FROM lines),
+pairs AS (SELECT file_stream, file_name, lag(file_name) OVER (PARTITION BY file_stream ORDER BY file_ts, file_name) AS prev FROM files),
+tree AS (SELECT l.file_name, regexp_replace(t.path, '\\[[0-9]+\\]', '', 'g') AS up, t.key, t.type, t.path AS raw FROM lines l, LATERAL json_tree(l.j) t WHERE json_type(l.j) = 'OBJECT'),
+-- children of arrays are numbered, fields are not
+named AS (SELECT file_name, replace(up, '"', '') || '.' || key AS path, type FROM tree WHERE key IS NOT NULL AND NOT regexp_full_match(key, '[0-9]+') AND up <> '$'),
+sch AS (SELECT file_name, regexp_replace(path, '^\\$\\.', '') AS path, coalesce(list_sort(list_distinct(list(CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'integer' WHEN 'UBIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'decimal'
+   WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' END) FILTER (type <> 'NULL'))), []) AS kinds FROM named GROUP BY ALL),
+s AS (SELECT file_name, path, array_to_string(kinds, '|') AS kinds FROM sch),
+p AS (SELECT * FROM pairs WHERE prev IS NOT NULL),
+b AS (SELECT p.file_stream, p.file_name, p.prev, s.path, s.kinds FROM p JOIN s USING (file_name)),
+a AS (SELECT p.file_stream, p.file_name, p.prev, s.path, s.kinds FROM p JOIN s ON s.file_name = p.prev)
+SELECT file_stream, file_name, prev AS prev_name, path, CASE WHEN a.kinds IS NULL THEN 'added' WHEN b.kinds IS NULL THEN 'removed' ELSE 'retyped' END AS drift,
+  coalesce(a.kinds, '') AS old_kinds, coalesce(b.kinds, '') AS new_kinds
+FROM a FULL JOIN b USING (file_stream, file_name, prev, path)
+WHERE a.kinds IS NULL OR b.kinds IS NULL OR (a.kinds <> '' AND b.kinds <> '' AND a.kinds <> b.kinds)
+"""
+
 ORACLES = {
+    "p2_nested": _NESTED,
     "p4_swaps": _NODES + _SWAPS,
     "p4_preps": _NODES + _PREPS,
     "p4_aggregates": _NODES + _AGGS,
