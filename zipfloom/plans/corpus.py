@@ -252,10 +252,13 @@ def j3_row_join(spark, d):
 
 
 def op_p20_inflected(spark, d):
-    """Frames of verbs whose rarer past or -ing form is frequent enough."""
+    """Frames of verbs whose rarer past or -ing form is frequent enough in the generated sentences.
+
+    The given word list holds base forms only, so the frequencies are the sentences' own.
+    """
     v = _swaps(spark, d).where("pos = 'verb' and lemma is not null and new is not null")
     forms = v.select(F.lower("lemma").alias("lemma"), F.when(F.col("tag") == "VB", "VBG").otherwise(F.col("tag")).alias("tag"), F.lower(F.trim("new")).alias("form"))
-    return C.filter_inflected(frames(spark, d), table(spark, d, "zipf_lexicon"), forms, 2.0, 4.5).select("lemma", "kind").distinct()
+    return C.filter_inflected(frames(spark, d), R.zipf_lexicon(table(spark, d, "generated_pair").where("good_freq is not null"), "good_freq"), forms, 4.9, 6.5).select("lemma", "kind").distinct()
 
 
 def op_p22_verbs(spark, d):
@@ -482,11 +485,13 @@ ORACLES = {
     "j3_row_join": """WITH f AS (SELECT file_stream, min(file_name) AS file_name FROM raw_line WHERE line_no IS NOT NULL GROUP BY 1),
         m AS (SELECT file_stream, line_no, max(length(payload)) AS size FROM raw_line SEMI JOIN f USING (file_stream, file_name) GROUP BY ALL)
         SELECT file_stream, file_name, line_no, coalesce(size, -1)::INT AS size FROM (SELECT DISTINCT file_stream, file_name, line_no FROM raw_line WHERE line_no IS NOT NULL) LEFT JOIN m USING (file_stream, line_no)""",
-    "op_p20_inflected": f"""WITH {_FR}, {_LEX}, fm AS (SELECT DISTINCT lower(lemma) AS lemma, CASE WHEN tag = 'VB' THEN 'VBG' ELSE tag END AS tag, lower(trim(new)) AS form
+    "op_p20_inflected": rf"""WITH {_FR}, gw AS (SELECT unnest(regexp_extract_all(lower(good_freq), '[\p{{L}}\p{{M}}]+')) AS lemma FROM generated_pair),
+        lex AS (SELECT lemma, round(log10(1e9 * count(*) / (SELECT count(*) FROM gw)), 2) AS zipf FROM gw GROUP BY lemma),
+        fm AS (SELECT DISTINCT lower(lemma) AS lemma, CASE WHEN tag = 'VB' THEN 'VBG' ELSE tag END AS tag, lower(trim(new)) AS form
           FROM sw WHERE pos = 'verb' AND lemma IS NOT NULL AND new IS NOT NULL),
         z AS (SELECT fm.lemma, tag, max(coalesce(zipf, 0)) AS z FROM fm LEFT JOIN lex ON fm.form = lex.lemma WHERE tag IN ('VBD', 'VBG') GROUP BY ALL),
-        ok AS (SELECT lemma FROM z GROUP BY lemma HAVING count(*) = 2 AND round(min(z), 6) >= 1.1)
-        SELECT DISTINCT fr.lemma, kind FROM fr LEFT JOIN lex USING (lemma) WHERE coalesce(zipf, 0) < 4.5 AND coalesce(zipf, 0) >= 2.0 AND fr.lemma IN (SELECT lemma FROM ok)""",
+        ok AS (SELECT lemma FROM z GROUP BY lemma HAVING count(*) = 2 AND round(min(z), 6) >= 4.0)
+        SELECT DISTINCT fr.lemma, kind FROM fr LEFT JOIN lex USING (lemma) WHERE coalesce(zipf, 0) < 6.5 AND coalesce(zipf, 0) >= 4.9 AND fr.lemma IN (SELECT lemma FROM ok)""",
     "op_p22_verbs": f"""WITH {_SENSE}, x AS (SELECT *, v > 0 AND n < 3 AND a < 3 AND r < 3 AND NOT (n > 0 AND v < 3) AND v / (r + 1) >= 1 AND v / (a + 1) >= 1 AS ok, v / (n + 1) AS share FROM sc),
         l AS (SELECT CASE WHEN bool_or(ok AND share >= 1) THEN 1.0 WHEN bool_or(ok AND share >= 0.6) THEN 0.6 WHEN bool_or(ok) THEN 0.0 END AS least FROM x)
         SELECT lemma FROM x, l WHERE least IS NULL OR (ok AND share >= least)""",
