@@ -284,7 +284,7 @@ def generate(
     if lexicon is not None:
         src = lexicon.attach(src, "sentence_good", "sentence_bad").withColumnRenamed(OWN, "own")
     src = src.repartition(n, "subtask", "idx")
-    found = src.mapInPandas(slots, _FOUND)
+    found = materialise(src.mapInPandas(slots, _FOUND), "slots")  # read by the draws and by the join
     side = lambda k: F.struct(F.col("s.stage").alias("stage"), F.col(f"s.{k}_key").alias("key"), F.col(f"s.{k}_pool").alias("pool"))
     each = found.select("subtask", "idx", F.explode("slots").alias("s")).select("subtask", "idx", F.explode(F.array(side("g"), side("b"))).alias("x"))
     keys = each.select("subtask", "idx", "x.*").distinct()
