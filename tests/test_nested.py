@@ -149,3 +149,31 @@ def test_every_key_of_a_line_is_a_row_and_each_value_is_somewhere(spark, sf):
             empty = sum(s.get("preps") == [] for s in swaps) + sum(v == [] for k, v in (o.get("meta") or {}).items() if k.endswith("_swaps"))
             want[r["line_id"]] = scalars(o) - empty  # empty tables have no rows
     assert {k: v for k, v in seen.items() if v} == {k: v for k, v in want.items() if v}
+
+
+def test_found_comes_from_the_written_tables(spark, sf, monkeypatch):
+    """The keys are those of rows that the visitor emitted whole and that were written by table, parents and payload with them."""
+    from zipfloom.plans.problems import p4_found
+
+    written = []
+    monkeypatch.setattr(N, "write_tables", lambda rows, real=N.write_tables: written.append(real(rows)) or written[-1])
+    got = {tuple(r) for r in p4_found(spark, sf).collect()}
+    assert len(written) == 1
+    rows = written[0].where("kind in ('swaps', 'preps', 'aggregates')").collect()
+    assert got == {(r["table_name"], r["rec_id"], r["child"], r["child_key"]) for r in rows}
+    assert all(sum(r[t] is not None for t in N.SCHEMAS) == 1 and r[r["kind"]] is not None for r in rows)
+    there = {(r["table_name"], r["rec_id"], r["child_key"]) for r in rows if r["kind"] == "swaps"}
+    there |= {(r["table_name"], r["rec_id"], "") for r in written[0].where("kind = 'record'").collect()}
+    assert {(r["table_name"], r["rec_id"], r["parent_key"]) for r in rows} <= there
+    # with what is written cut, the result is cut
+    monkeypatch.setattr(N, "write_tables", lambda rows: written[0].where("kind <> 'preps'"))
+    assert {tuple(r) for r in p4_found(spark, sf).collect()} == {g for g in got if not g[2].endswith(".preps")} != got
+
+
+def test_lone_surrogates(spark):
+    texts = [(1, r'{"meta": {"g_swaps": [{"i": 1, "old": "\ud800x"}, {"i": 2, "more": ["\udc00"]}]}}'), (2, r'{"meta": {"\ud800_swaps": [{"old": "a"}]}}'), (3, '{"meta": {"g_swaps": [{"old": "é"}]}}')]
+    flat = N.write_tables(N.rows_of_lines(spark.createDataFrame(texts, "line_id bigint, payload string").coalesce(1)))
+    got = {(r["rec_id"], r["child"], r["child_key"]): r for r in N.flat_table(flat, "swaps").collect()}
+    assert set(got) == {(1, "g_swaps", "0"), (1, "g_swaps", "1"), (2, r"\ud800_swaps", "0"), (3, "g_swaps", "0")}
+    assert got[1, "g_swaps", "0"]["old"] == r"\ud800x" and got[1, "g_swaps", "1"]["rest"] == {"more": r'["\udc00"]'}
+    assert got[3, "g_swaps", "0"]["old"] == "é"

@@ -160,6 +160,24 @@ def _rows(n: int, **cols: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([cols[f.name] if f.name in cols else pa.nulls(n, f.type) for f in _ROW], schema=_ROW)
 
 
+def _encodable(x: object) -> object:
+    """Text of a row, wherever it stands in it, with lone surrogates as their JSON escapes."""
+    if type(x) is str:
+        return x.encode("utf-8", "backslashreplace").decode("utf-8")
+    if type(x) is dict:
+        return {k: _encodable(v) for k, v in x.items()}
+    return type(x)(map(_encodable, x)) if type(x) in (list, tuple) else x
+
+
+def _batch_of(table: str, found: list[tuple]) -> pa.RecordBatch:
+    rec, tag, key, parent, values, rest = zip(*found)
+    more = {table: pa.array(values, _STRUCTS[table])} if table in _STRUCTS else {}
+    return _rows(
+        len(rec), rec_id=pa.array(rec, pa.int64()), child=pa.array(tag, pa.string()), child_key=pa.array(key, pa.string()),
+        parent_key=pa.array(parent, pa.string()), rest=pa.array(rest, _ROW.field("rest").type), **more,
+    )
+
+
 def _flat_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         held: dict[str, list[tuple]] = {}
@@ -175,12 +193,10 @@ def _flat_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
             visit(o, emit)
         for table, found in held.items():
-            rec, tag, key, parent, values, rest = zip(*found)
-            more = {table: pa.array(values, _STRUCTS[table])} if table in _STRUCTS else {}
-            yield _rows(
-                len(rec), rec_id=pa.array(rec, pa.int64()), child=pa.array(tag, pa.string()), child_key=pa.array(key, pa.string()),
-                parent_key=pa.array(parent, pa.string()), rest=pa.array(rest, _ROW.field("rest").type), **more,
-            )
+            try:
+                yield _batch_of(table, found)
+            except UnicodeEncodeError:  # lone surrogates
+                yield _batch_of(table, [tuple(_encodable(x) for x in row) for row in found])
 
 
 # ---- typed columns (Arrow trees) --------------------------------------------
@@ -268,56 +284,13 @@ def _flat_column(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out
 
 
-# ---- keys only ---------------------------------------------------------------
-
-BARE = "array<struct<tag:string,key:string>>"
+# ---- tables -----------------------------------------------------------------
 
 
 def _line_rank() -> Column:
     return F.struct(F.length("_text"), F.xxhash64("_text"))
 
 
-def _bundle(n: int, row: np.ndarray, tags: np.ndarray, keys: np.ndarray) -> pa.ListArray:
-    order = np.argsort(row, kind="stable")
-    ends = np.r_[0, np.cumsum(np.bincount(row, minlength=n))].astype(np.int32)
-    pairs = pa.StructArray.from_arrays([pa.array(tags[order], pa.string()), pa.array(keys[order], pa.string())], names=["tag", "key"])
-    return pa.ListArray.from_arrays(pa.array(ends), pairs)
-
-
-def _keys_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows, tags, keys = [], [], []
-        for i, text in enumerate(batch.column(1).to_pylist()):
-            o = parse_object(text)
-            if o is not None and "meta" in o:
-
-                def emit(path: Path, key: str, parent: str, own: object) -> None:
-                    if path and table_of(path) != "other":
-                        rows.append(i)
-                        tags.append(_tag(path))
-                        keys.append(key)
-
-                visit({"meta": o["meta"]}, emit)
-        nodes = _bundle(batch.num_rows, np.array(rows, np.int64), np.array(tags, object), np.array(keys, object))
-        yield pa.RecordBatch.from_arrays([batch.column(0), nodes, batch.column(2)], names=["rec_id", "nodes", "rank"])
-
-
-def _keys_of_column(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        parts: list[tuple] = [(np.empty(0, np.int64), np.empty(0, object), np.empty(0, object))]
-
-        def emit(path: Path, row: np.ndarray, key: np.ndarray, parent: np.ndarray, own: dict) -> None:
-            if path and table_of(path) != "other":
-                parts.append((row, np.full(len(row), _tag(path), object), key))
-
-        visit_tree(batch.column(1), emit)
-        nodes = _bundle(batch.num_rows, *[np.concatenate(c) for c in zip(*parts)])
-        yield pa.RecordBatch.from_arrays([batch.column(0), nodes, batch.column(2)], names=["rec_id", "nodes", "rank"])
-
-
-# ---- tables -----------------------------------------------------------------
-
-
 def _hashable(c: Column, kind: DataType) -> list[Column]:
     """Columns of which a hash tells two values apart; maps, which have no order, as sorted entries."""
     if isinstance(kind, StructType):
@@ -339,37 +312,6 @@ def _columns(records: DataFrame, key: str, column: str, version: str) -> DataFra
     return got.select("rec_id", "_meta", F.struct("_ver", F.xxhash64(*parts)).alias("_rank"))
 
 
-def _rank_type(df: DataFrame, name: str) -> str:
-    return df.schema[name].dataType.simpleString()
-
-
-def keys_of_lines(lines: DataFrame, key: str = "line_id", text: str = "payload") -> DataFrame:
-    """``rec_id, child, child_key`` of every node of swaps, prepositions and aggregates in JSON lines.
-
-    Rows that share a key count once: the longest text, then the one of the
-    greatest hash, so that a null copy doesn't hide a whole line.  Null, empty
-    and broken texts have no nodes.  The nodes' keys are bundled by line before
-    the shuffle, a line being one row in it.
-    """
-    src = _lines(lines, key, text).withColumn("_rank", _line_rank())
-    return _once(src.mapInArrow(_keys_of_lines, f"rec_id bigint, nodes {BARE}, rank {_rank_type(src, '_rank')}"))
-
-
-def keys_of_column(records: DataFrame, key: str, column: str, version: str) -> DataFrame:
-    """The same of a typed column, of each record's latest ``version``.
-
-    Rows that tie in version are settled by the column's hash; null versions
-    come first; a record whose latest row has a null column has no nodes.
-    """
-    src = _columns(records, key, column, version)
-    return _once(src.mapInArrow(_keys_of_column, f"rec_id bigint, nodes {BARE}, rank {_rank_type(src, '_rank')}"))
-
-
-def _once(bundles: DataFrame) -> DataFrame:
-    nodes = bundles.groupBy("rec_id").agg(F.max_by("nodes", "rank").alias("nodes"))
-    return nodes.select("rec_id", F.explode("nodes").alias("n")).select("rec_id", F.col("n.tag").alias("child"), F.col("n.key").alias("child_key"))
-
-
 def rows_of_lines(lines: DataFrame, key: str = "line_id", text: str = "payload") -> DataFrame:
     """All rows of all flat tables of JSON lines (:data:`ROW`), the records' own with an empty ``child``.
 
@@ -377,8 +319,9 @@ def rows_of_lines(lines: DataFrame, key: str = "line_id", text: str = "payload")
     or ``record``); ``rest`` holds as text the fields that its schema doesn't
     know, those of another type, and all fields of tables without a schema.
     (rec_id, parent_key) leads to the parent row, an empty parent_key to the
-    record.  Repeated lines are settled before they are visited, as in
-    :func:`keys_of_lines`.
+    record.  Rows that share a key count once, and are settled before they are
+    visited: the longest text, then the one of the greatest hash, so that a null
+    copy doesn't hide a whole line.  Null, empty and broken texts have no rows.
     """
     src = _lines(lines, key, text)
     once = src.groupBy("rec_id").agg(F.max_by("_text", _line_rank()).alias("_text"))
@@ -386,17 +329,36 @@ def rows_of_lines(lines: DataFrame, key: str = "line_id", text: str = "payload")
 
 
 def rows_of_column(records: DataFrame, key: str, column: str, version: str) -> DataFrame:
-    """The same of a typed struct column, of each record's latest ``version``."""
+    """The same of a typed struct column, of each record's latest ``version``.
+
+    Rows that tie in version are settled by the column's hash; null versions
+    come first; a record whose latest row has a null column has its own row only.
+    """
     once = _columns(records, key, column, version).groupBy("rec_id").agg(F.max_by("_meta", "_rank").alias("_meta"))
     return once.mapInArrow(_flat_column, ROW)
 
 
-def write_tables(rows: DataFrame) -> DataFrame:
-    """Write the rows once, partitioned by table; a filter on ``kind`` then reads its own files only."""
+def _told_apart(rows: DataFrame) -> DataFrame:
     kind = F.lit("other")
     for t in SCHEMAS:
         kind = F.when(F.col(t).isNotNull(), F.lit(t)).otherwise(kind)
-    return materialise(rows.withColumn("kind", kind), "nested", by="kind")
+    return rows.withColumn("kind", kind)
+
+
+def write_tables(rows: DataFrame) -> DataFrame:
+    """Write the rows once, partitioned by table; a filter on ``kind`` then reads its own files only."""
+    return materialise(_told_apart(rows), "nested", by="kind")
+
+
+def children(written: DataFrame) -> DataFrame:
+    """``rec_id, child, child_key`` of every row of the tables of swaps, prepositions and aggregates."""
+    keys = [c for c in written.columns if c == "table_name"]
+    return written.where(F.col("kind").isin("swaps", "preps", "aggregates")).select(*keys, "rec_id", "child", "child_key")
+
+
+def keys_of_column(records: DataFrame, key: str, column: str, version: str) -> DataFrame:
+    """The :func:`children` of a typed column, nothing written."""
+    return children(_told_apart(rows_of_column(records, key, column, version)))
 
 
 def flat_table(written: DataFrame, kind: str) -> DataFrame:

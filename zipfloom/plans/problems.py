@@ -78,15 +78,6 @@ def p2_table(spark: SparkSession, d: str) -> DataFrame:
 _RECORDS = ("record_id", "meta", "written_at")
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Every nested child of the records and lines."""
-    typed = nested.keys_of_column(table(spark, d, "generated_pair").select(*_RECORDS), *_RECORDS)
-    lines = nested.keys_of_lines(table(spark, d, "raw_line").select("line_id", "payload"))
-    cols = ["table_name", "rec_id", "child", "child_key"]
-    both = typed.withColumn("table_name", F.lit("generated_pair")).unionByName(lines.withColumn("table_name", F.lit("raw_line")))
-    return both.select(*cols)
-
-
 def _tables(spark: SparkSession, d: str) -> DataFrame:
     """All flat tables, visited and written once."""
     typed = nested.rows_of_column(table(spark, d, "generated_pair").select(*_RECORDS), *_RECORDS)
@@ -95,6 +86,11 @@ def _tables(spark: SparkSession, d: str) -> DataFrame:
     return nested.write_tables(both)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every nested child of the records and lines: the keys of the flat tables' rows."""
+    return nested.children(_tables(spark, d))
+
+
 def p4_records(spark: SparkSession, d: str) -> DataFrame:
     """The records and lines themselves, parents of the other tables."""
     got = nested.flat_table(_tables(spark, d), "record")
