@@ -1,12 +1,17 @@
 import math
 from collections import Counter, defaultdict
+from datetime import UTC, datetime
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from compare import connect, differences
 from zipfloom.llm import percentiles as P
+from zipfloom.llm import queries
 from zipfloom.llm import terms as T
 
 ROWS = [["a", "b", "a"], None, [], ["b", None, "c"], ["x" * 5000], ["a"], ["é", ""]]
@@ -79,3 +84,13 @@ def test_days_add_up(spark, sf):
     for r in merged:
         n, v = exact[r["phenomenon"], r["metric"], r["q"]]
         assert r["n_values"] == n and abs(r["value"] - v) <= r["max_relative_error"] * abs(v)
+
+
+@pytest.mark.parametrize("name", ["p6_percentiles", "p6_kept"])
+def test_scores_without_an_arrival(spark, tmp_path, name):
+    """A row without a time is passed over beside one that has it, and alone."""
+    at = [None, datetime(2026, 1, 2, tzinfo=UTC), datetime(2026, 1, 1, tzinfo=UTC), None]
+    cols = {"score_id": [1, 1, 2, 3], "ingested_at": pa.array(at, pa.timestamp("us", "UTC")), "phenomenon": ["a", "a", "a", "only"]}
+    pq.write_table(pa.table(cols | {m: [9.0, 1.0, 3.0, 7.0] for m in queries.METRICS}), tmp_path / "pair_score.parquet")
+    got = differences(queries.QUERIES[name], queries.ORACLES[name], spark, str(tmp_path), connect(tmp_path))
+    assert got == ([], [])

@@ -104,8 +104,9 @@ def _phenomenon() -> F.Column:
 
 
 def _score_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Each score once (its earliest arrival), with the values' ordered integers."""
-    rows = table(spark, d, "pair_score").select("score_id", "ingested_at", _phenomenon().alias("phenomenon"), *METRICS)
+    """Each score once (its earliest arrival), with the values' ordered integers; rows without a time never arrived."""
+    arrived = table(spark, d, "pair_score").where("ingested_at is not null")
+    rows = arrived.select("score_id", "ingested_at", _phenomenon().alias("phenomenon"), *METRICS)
     keys = percentiles.radix_keys(rows, ["score_id", "ingested_at", "phenomenon"], METRICS)
     first = keys.groupBy("score_id").agg(
         F.min(F.struct("ingested_at", "phenomenon", "_v0", "_v1")).alias("x")
